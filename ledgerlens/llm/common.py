@@ -54,11 +54,12 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int,
     """
     values = [c for c in groups.columns if c != key]
     least = hot_share(n_rows)
-    told = groups.select(F.col(key), F.struct(*values).alias("_told"))
-    hot = told.where(F.col(f"_told.{size}") >= least).select(F.col(key).alias("_hot_key"), F.col("_told").alias("_hot"))
-    cold = told.where(F.col(f"_told.{size}") < least).select(F.col(key).alias("_cold_key"), F.lit(0).alias("_cold_salt"), F.col("_told").alias("_cold"))
+    told = groups.select(F.col(key).alias("_key"), F.struct(*values).alias("_told"))
+    hot = told.where(F.col(f"_told.{size}") >= least).select(F.col("_key").alias("_hot_key"), F.col("_told").alias("_hot"))
+    # one expression, so that the groups' own partitioning by key can't serve the join
+    cold = told.where(F.col(f"_told.{size}") < least).select(F.struct("_key", F.lit(0).alias("_salt")).alias("_cold_key"), F.col("_told").alias("_cold"))
     salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*spread), F.lit(1_000_000))).cast("int")
-    out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").withColumn("_salt", salt)
-    out = out.join(cold, (F.col(key) == F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt")), "left")
+    out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    out = out.withColumn("_salted", F.struct(F.col(key).alias("_key"), salt.alias("_salt"))).join(cold, F.col("_salted") == F.col("_cold_key"), "left")
     told = F.coalesce("_hot", "_cold")
     return out.select(*rows.columns, *[told[c].alias(c) for c in values])

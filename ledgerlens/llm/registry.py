@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import exact_dedup, line_dedup
+from ledgerlens.llm import decontaminate, exact_dedup, line_dedup, simhash, wavelet
 
 QUERIES = {
+    "op2_spaced_seeds": decontaminate.op2_spaced_seeds,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_simhash": simhash.op4_simhash,
+    "op9_wavelet_shards": wavelet.op9_wavelet_shards,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
