@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import decontaminate, exact_dedup, line_dedup, simhash, wavelet
+from ledgerlens.llm import decontaminate, exact_dedup, langid, line_dedup, lm_score, mixing, secrets, simhash, toxicity, wavelet
 
 QUERIES = {
+    "op1_secret_crf": secrets.op1_secret_crf,
     "op2_spaced_seeds": decontaminate.op2_spaced_seeds,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_simhash": simhash.op4_simhash,
+    "op5_stupid_backoff": lm_score.op5_stupid_backoff,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_pivotal_mix": mixing.op7_pivotal_mix,
+    "op8_language_id": langid.op8_language_id,
     "op9_wavelet_shards": wavelet.op9_wavelet_shards,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 SQL = {
     "op3_line_dedup": line_dedup.ORACLE,
+    "op5_stupid_backoff": lm_score.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
