@@ -1,4 +1,11 @@
 """Queries by name and their SQL."""
 
+from __future__ import annotations
+
+from ledgerlens.plans import calibration, classification, enrichment, scalars, spending
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+for _module in (scalars, classification, enrichment, spending, calibration):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
