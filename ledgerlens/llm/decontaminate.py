@@ -18,7 +18,7 @@ FILTER_BITS, BITS_PER_SEED = 1 << 27, 64
 #: Words kept on both sides of a run of hits, and the gap that ends a run.
 FLANK, GAP = 64, 32
 #: Bytes of text that a task works on at a time.
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 #: ASCII letters and digits and all other bytes from 0x80 make words; capital A-Z are lowered, the rest separates.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -174,7 +174,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         return pa.RecordBatch.from_pylist(rows, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, ids, offsets = [], [], []
+        texts, ids, offsets, size = [], [], [], 0
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 data, offset = fold(text.as_py()), 0
@@ -184,9 +184,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                     ids.append(doc_id)
                     offsets.append(offset)
                     offset += skip
-                    if sum(map(len, texts[-1:])) >= SLICE or len(texts) >= 1000:
+                    size += len(part)
+                    if size >= SLICE:
                         yield regions(texts, ids, offsets)
-                        texts, ids, offsets = [], [], []
+                        texts, ids, offsets, size = [], [], [], 0
         if texts:
             yield regions(texts, ids, offsets)
 

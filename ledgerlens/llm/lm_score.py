@@ -15,7 +15,7 @@ from ledgerlens.llm.decontaminate import mix, word_hashes
 
 ALPHA = 0.4
 #: Words of a chunk, about: what a task counts before it sends anything.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 #: Entries that a partition of the count tables should get, about, and bytes of a hash that are sent besides the partition.
 PART_ENTRIES, HASH_BYTES = 1 << 21, 5
 #: A-Z lower-cased; white space [\x20\x09-\x0D] as blanks.

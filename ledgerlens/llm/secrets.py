@@ -24,7 +24,7 @@ B, I, O = 0, 1, 2
 #: At most this many rows are learnt from, those with the least hash of id, and this many lines of them, each a stretch of so many characters.
 TRAIN_ROWS, TRAIN_LINES, TRAIN_CHARS = 1500, 4000, 300
 #: Bytes of text that a task works on at a time.
-SLICE = 1 << 21
+SLICE = 1 << 19
 NEAR = 1 << 12
 
 

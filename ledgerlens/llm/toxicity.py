@@ -23,7 +23,7 @@ PAD = 10
 #: At most this many labelled rows are learnt from, those with the least hash of id.
 TRAIN_ROWS = 4000
 #: Bytes of text that a task works on at a time.
-SLICE = 1 << 21
+SLICE = 1 << 18
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c > 32 and not 0x7F <= c < 0x80 else 32 for c in range(256))
 _PUNCTUATION = bytes(32 if c < 128 and not (48 <= c <= 57 or 97 <= c <= 122) else c for c in range(256))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -15,14 +16,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import id_text, materialise, table
+from ledgerlens.llm.decontaminate import word_hashes
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 SHARD_TOKENS = 1 << 22
+#: Bytes of text that a task encodes at a time.
+SLICE = 1 << 22
 #: Bits between two stored ranks.
 RANK_STEP = 512
-#: Entries of each of a worker's caches, which are emptied when full.
-CACHE = 300_000
+#: Words in a generation of each worker's cache.
+CACHE = 400_000
 
 
 class WaveletMatrix:
@@ -119,13 +123,19 @@ class WaveletMatrix:
 
 
 class _Cache(dict):
+    """What was made before. When full it becomes the older generation, from which what is still asked for comes back."""
+
     def __init__(self, make):
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
-        self[key] = value = self.make(key)
+        self[key] = value
         return value
 
 
@@ -161,16 +171,19 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.bits <= 16 else "<u4")
         self.end = np.array([END_ID], self.dtype).tobytes()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = [m.encode() for m in ("᠎", *self.special)]
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE writes these bytes as themselves
         rest = [b for b in range(256) if b not in printed]
         self.bytes = {**{b: b for b in printed}, **{b: 256 + i for i, b in enumerate(rest)}}
-        self.word, self.first, self.after = _Cache(self._word), _Cache(self._piece), _Cache(lambda p: self._piece(p, " "))
+        self.blank, self.code = chr(self.bytes[32]), "H" if self.bits <= 16 else "I"
+        self.word = _Cache(self._word)
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _word(self, word: str) -> bytes:
-        return self._pack([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.bytes))])
+        known = word.replace(" ", self.blank) if word.isascii() and word.replace(" ", "").isprintable() else word.encode().decode("latin-1").translate(self.bytes)
+        return self._pack([t.id for t in self.model.tokenize(known)])
 
     def _segment(self, text: str) -> bytes:
         if self.PLAIN.fullmatch(text):
@@ -178,6 +191,8 @@ class Encoder:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _piece(self, piece: str, before: str = "") -> bytes:
+        if piece.isalpha() and max(piece) <= "ɏ":  # one word
+            return self.word[before + piece]
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Odd
         return self._segment(before + piece)
@@ -189,11 +204,56 @@ class Encoder:
             return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         pieces = text.split(" ")
         try:
-            return b"".join(chain([self.first[pieces[0]]], map(self.after.__getitem__, pieces[1:])))
+            return b"".join(chain([self._piece(pieces[0])], (self._piece(p, " ") for p in pieces[1:])))
         except _Odd:
             return b"".join(map(self._segment, self.CUT.split(text)))
 
 
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """What the call gives for each text, with one look-up for each distinct piece.
+
+        Pieces are told apart by a 64-bit hash, their length and the sum of their
+        bytes; where these disagree, or a text isn't plain, the text is encoded alone.
+        """
+        data = [t.encode("utf-8", "surrogatepass") for t in texts]
+        odd = np.array([not d or any(m in d for m in self.marks) for d in data])
+        joined = b" ".join(data)
+        b = np.frombuffer(joined, np.uint8)
+        begins = np.cumsum([0, *(len(d) + 1 for d in data)])[:-1]
+        blank = b == 32
+        twice = np.flatnonzero(blank[1:] & blank[:-1])
+        odd[np.searchsorted(begins, np.concatenate([twice, twice + 1, twice + 2]), "right") - 1] = True
+        if len(b) and blank[0]:
+            odd[0] = True
+        if len(b) and blank[-1]:
+            odd[-1] = True
+        hashed, start = word_hashes(joined)
+        if not len(start):
+            return [self(t) for t in texts]
+        end = np.append(start[1:] - 1, len(b))  # exact for all but odd texts
+        sums = np.concatenate([[0], np.cumsum(b, dtype=np.int64)])
+        _, at, where = np.unique(hashed, return_index=True, return_inverse=True)
+        check = np.stack([end - start, sums[end] - sums[start]])
+        doc = np.searchsorted(begins, start, "right") - 1
+        odd[doc[(check != check[:, at[where]]).any(0)]] = True
+        codes: list[bytes | None] = []
+        for a, e in zip(start[at].tolist(), end[at].tolist(), strict=True):
+            try:
+                codes.append(self._piece(joined[a:e].decode("utf-8", "surrogatepass").rstrip(" "), " "))
+            except _Odd:
+                codes.append(None)
+        odd[doc[np.array([c is None for c in codes])[where]]] = True
+        cuts = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
+        out = []
+        for i, text in enumerate(texts):
+            if odd[i]:
+                out.append(self(text))
+                continue
+            rest = where[cuts[i] + 1 : cuts[i + 1]].tolist()
+            out.append(b"".join(chain([self._piece(text.partition(" ")[0])], map(codes.__getitem__, rest))))
+        return out
+
+
 _encoders: dict[str | None, Encoder] = {}
 
 
@@ -204,6 +264,22 @@ def encoder(path: str | None) -> Encoder:
     return _encoders[path]
 
 
+def encoded(encode: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
+    """(doc_id, packed ids) in order, of some SLICE bytes of text at a time."""
+    ids: list[int | None] = []
+    texts: list[str] = []
+    size = 0
+    for b in batches:
+        for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+            ids.append(doc_id)
+            texts.append(text.as_py())
+            size += len(texts[-1])
+            if size >= SLICE:
+                yield from zip(ids, encode.batch(texts), strict=True)
+                ids, texts, size = [], [], 0
+    yield from zip(ids, encode.batch(texts) if texts else [], strict=True)
+
+
 SHARD = "part int, shard int, n long, doc_ids array<long>, lengths array<long>, zeros array<long>, planes array<binary>, ranks array<binary>"
 
 
@@ -233,14 +309,13 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             row = {"part": part, "shard": shard, "n": m.n, "doc_ids": ids, "lengths": [len(p) // encode.dtype.itemsize for p in packed], "zeros": m.zeros, "planes": [p.tobytes() for p in m.planes], "ranks": [r.tobytes() for r in m.ranks]}
             return pa.RecordBatch.from_pylist([row], schema)
 
-        for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                ids.append(doc_id)
-                packed.append(encode(text.as_py()) + encode.end)
-                held += len(packed[-1]) // encode.dtype.itemsize
-                if held >= shard_tokens:
-                    yield full()
-                    ids, packed, held, shard = [], [], 0, shard + 1
+        for doc_id, code in encoded(encode, batches):
+            ids.append(doc_id)
+            packed.append(code + encode.end)
+            held += len(packed[-1]) // encode.dtype.itemsize
+            if held >= shard_tokens:
+                yield full()
+                ids, packed, held, shard = [], [], 0, shard + 1
         if ids:
             yield full()
 
