@@ -191,8 +191,11 @@ class Encoder:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _piece(self, piece: str, before: str = "") -> bytes:
-        if piece.isalpha() and max(piece) <= "ɏ":  # one word
+        if piece.isalpha() and (piece.isascii() or max(piece) <= "ɏ"):  # one word
             return self.word[before + piece]
+        head = piece[:-1]
+        if head.isalpha() and piece[-1] in ".," and (head.isascii() or max(head) <= "ɏ"):
+            return self.word[before + head] + self.word[piece[-1]]
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Odd
         return self._segment(before + piece)
@@ -243,15 +246,17 @@ class Encoder:
             except _Odd:
                 codes.append(None)
         odd[doc[np.array([c is None for c in codes])[where]]] = True
-        cuts = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
-        out = []
-        for i, text in enumerate(texts):
-            if odd[i]:
-                out.append(self(text))
-                continue
-            rest = where[cuts[i] + 1 : cuts[i + 1]].tolist()
-            out.append(b"".join(chain([self._piece(text.partition(" ")[0])], map(codes.__getitem__, rest))))
-        return out
+        cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
+        for i in np.flatnonzero(~odd).tolist():  # the first piece has no blank before it
+            where[cuts[i]] = len(codes)
+            codes.append(self._piece(texts[i].partition(" ")[0]))
+        known = [c or b"" for c in codes]
+        size = np.array([len(c) // self.dtype.itemsize for c in known])
+        flat, began = np.frombuffer(b"".join(known), self.dtype), np.cumsum(size) - size
+        n = size[where]
+        ends = np.append(0, np.cumsum(n))
+        all_ = flat[np.repeat(began[where] - ends[:-1], n) + np.arange(ends[-1])]
+        return [self(text) if odd[i] else all_[ends[cuts[i]] : ends[cuts[i + 1]]].tobytes() for i, text in enumerate(texts)]
 
 
 _encoders: dict[str | None, Encoder] = {}
