@@ -44,7 +44,7 @@ def nih_notices(pages: DataFrame, max_records: int | None = None) -> DataFrame:
     rows = _records(pages, NIH_PAGE).select(
         F.lit("NIH").alias("agency_name"), institute(r).alias("institute"), parse_date(r["project_end_date"]).alias("notice_date"), parse_date(r["date_added"]).alias("date_added"),
         F.concat(F.lit("https://reporter.nih.gov/project-details/"), F.coalesce(r["appl_id"], F.lit(""))).alias("source_url"), r["project_title"].alias("raw_text_snippet"),
-        r["project_num"].alias("grant_number"), r["organization.org_name"].alias("org_name"), r["organization.org_state"].alias("org_state"), r["award_amount"].alias("award_amount"), r["is_active"].alias("is_active"))
+        r["project_num"].alias("grant_number"), r["organization"]["org_name"].alias("org_name"), r["organization"]["org_state"].alias("org_state"), r["award_amount"].alias("award_amount"), r["is_active"].alias("is_active"))
     return one_per_grant(rows, max_records)
 
 
@@ -91,7 +91,7 @@ def file_c_if_available(pages: DataFrame) -> DataFrame:
 def spending_over_time(pages: DataFrame) -> DataFrame:
     """Monthly sums of pages (agency, payload)."""
     r = F.col("r")
-    return _records(pages, FLOW_PAGE, "agency").select("agency", r["time_period.fiscal_year"].try_cast("int").alias("fiscal_year"), r["time_period.month"].try_cast("int").alias("fiscal_period"), to_number(r["Grant_Obligations"]).alias("monthly_grant_obligations"))
+    return _records(pages, FLOW_PAGE, "agency").select("agency", r["time_period"]["fiscal_year"].try_cast("int").alias("fiscal_year"), r["time_period"]["month"].try_cast("int").alias("fiscal_period"), to_number(r["Grant_Obligations"]).alias("monthly_grant_obligations"))
 
 
 def agency_obligations(pages: DataFrame, fiscal_years: list[int] | None = None) -> DataFrame:
