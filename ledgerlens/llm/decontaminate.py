@@ -13,8 +13,8 @@ from ledgerlens.llm.common import materialise, table
 
 #: A seed hashes the words at its 1s and ignores those at its 0s.
 MASKS = ("11111", "110111", "1101011", "11001011", "101010101")
-#: Bits of the filter that every task gets, at most (16 MB), and for each benchmark seed.
-FILTER_BITS, BITS_PER_SEED = 1 << 27, 64
+#: Bits of the filter that every task gets, at most (16 MB), and for each benchmark seed; bits that a seed sets.
+FILTER_BITS, BITS_PER_SEED, PROBES = 1 << 27, 64, 4
 #: Words kept on both sides of a run of hits, and the gap that ends a run.
 FLANK, GAP = 64, 32
 #: Bytes of text that a task works on at a time.
@@ -95,12 +95,23 @@ def _item_seeds(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, "seed long, item_id long, item_at long")
 
 
+def probes(seed: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The filter's bits for each seed: PROBES places from two hashes of 64 bits."""
+    again = mix(seed + np.uint64(_BASE))
+    return [(x >> np.uint64(shift)) & np.uint64(bits - 1) for x in (seed, again) for shift in (0, 32)][:PROBES]
+
+
 def _filter(item_seeds: DataFrame, bits: int) -> np.ndarray:
-    """Which values the seeds' low bits take: `bits` bits, however many seeds there are."""
-    at = F.col("seed").bitwiseAND(F.lit(bits - 1))
-    rows = item_seeds.groupBy(F.shiftright(at, 15).alias("block")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("bits")).toLocalIterator()
+    """A Bloom filter of the seeds, of `bits` bits however many seeds there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in probes(b.column("seed").to_numpy(zero_copy_only=False).view(np.uint64), bits):
+                yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64))], ["at"])
+
+    rows = item_seeds.select("seed").mapInArrow(run, "at long").groupBy(F.shiftright("at", 15).alias("block"))
     out = np.zeros(max(bits, 32768) // 8, np.uint8)
-    for r in rows:
+    for r in rows.agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("bits")).toLocalIterator():
         out[r["block"] * 4096 : r["block"] * 4096 + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out
 
@@ -148,8 +159,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         table_, at, found = told.value, [], []
         for m, mask in enumerate(MASKS):
             s = seeds(words, m)
-            low = s & np.uint64(bits - 1)
-            ok = np.flatnonzero((table_[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1)
+            ok = np.arange(len(s))
+            for n in range(PROBES):  # each looks at what the last one left
+                p = probes(s[ok], bits)[n] if n else s & np.uint64(bits - 1)
+                ok = ok[np.flatnonzero((table_[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1)]
             ok = ok[doc[ok] == doc[ok + len(mask) - 1]]
             at.append(ok)
             found.append(s[ok])

@@ -105,7 +105,7 @@ def test_mix_meets_its_targets(spark, table, monkeypatch):
     sizes, taken, target, top = defaultdict(int), defaultdict(int), {}, defaultdict(int)
     by_key = defaultdict(list)
     for r in table:
-        by_key[r[0], len((r[1] or "").split())].append(r[3])
+        by_key[r[0], len(words(r[1]))].append(r[3])
         sizes[r[3]] += len(words(r[1]))
         top[r[3]] = max(top[r[3]], len(words(r[1])))
     want = brute_targets(sizes) if sum(sizes.values()) else dict.fromkeys(sizes, 0.0)
