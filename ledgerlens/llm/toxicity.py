@@ -16,8 +16,8 @@ from ledgerlens.llm.common import id_text, table
 GRAMS, BUCKETS = (3, 4, 5, 6), 1 << 18
 #: How much a gram's presence must depend on the label.
 CHI2 = 30
-#: How many times as likely as any text one with a gram is to be toxic, if the gram is used.
-LIFT = 3
+#: How many times as likely a toxic text is to have a gram as another text, if the gram is used.
+LIFT = 4
 #: Neutral grams that every text's mean has besides its own, so that one gram is weak evidence and a word's many are strong.
 PAD = 10
 #: At most this many labelled rows are learnt from, those with the least hash of id.
@@ -107,7 +107,7 @@ def _cut(data: bytes) -> tuple[bytes, bytes | None]:
 def train(texts: list[str], toxic: list[int], dim: int = 8, epochs: int = 200, rate: float = 0.05, seed: int = 1) -> Model:
     """Embeddings and softmax jointly, by Adam, over the texts' means of gram embeddings.
 
-    Only grams that mark toxic texts (LIFT times their share, by a chi-square of CHI2
+    Only grams that mark toxic texts (LIFT times as likely in them, by a chi-square of CHI2
     or more) are used: the mean over all would drown a few words in a long text. A
     misspelling or an unseen ending shares most of its grams, and so vectors, with the word.
     """
@@ -121,7 +121,7 @@ def train(texts: list[str], toxic: list[int], dim: int = 8, epochs: int = 200, r
     df, rate_ = present.sum(0), y.mean()
     spread = df * rate_ * (1 - rate_) * (1 - df / n)
     used = (present[1] - df * rate_) ** 2 >= CHI2 * np.maximum(spread, 1e-9)
-    used &= present[1] >= LIFT * df * rate_
+    used &= present[1] * (1 - rate_) >= LIFT * present[0] * rate_
     place = np.cumsum(used) - 1
     doc, gram, weight = [], [], []
     for i, t in enumerate(texts):
