@@ -60,7 +60,7 @@ def a12(spark, d):
     return calibration.confusion(data(spark, d))
 
 
-SWEEP = f"""c AS (SELECT round(i * 0.01, 6) AS threshold, {CELLS.format(p='(our_outlay_ratio < round(i * 0.01, 6) AND elapsed_ratio IS NOT NULL)')} FROM ev, range(1, 51) t(i) GROUP BY i),
+SWEEP = f"""c AS (SELECT CAST(round(i * 0.01, 6) AS DOUBLE) AS threshold, {CELLS.format(p='(our_outlay_ratio < round(i * 0.01, 6) AND elapsed_ratio IS NOT NULL)')} FROM ev, range(1, 51) t(i) GROUP BY i),
     s AS (SELECT *, coalesce({P}, 0) AS precision, coalesce({R}, 0) AS recall FROM c), w AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM s)"""
 
 
