@@ -136,11 +136,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows that agree in id and text share their copies, which repeat one of them.
     """
-    taken = mix(docs, id_col, text_col, source_col, **how).where("taken > 0").groupBy("doc_id", "h").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("_times")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "_times")
+    taken = mix(docs, id_col, text_col, source_col, **how).where("taken > 0").groupBy("doc_id", "h").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("_times")).select(F.col("doc_id").alias("_mix_id"), F.col("h").alias("_mix_hash"), F.col("_times").alias("_mix_times"))
     h = F.xxhash64(docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit("")))
     keyed = docs.withColumn("_mix_h", h)
-    met = keyed.join(taken, (keyed["_mix_h"] == taken["_h"]) & keyed[id_col].cast("long").eqNullSafe(taken["_id"])).dropDuplicates(["_mix_h", id_col])
-    return met.withColumn("_mix_i", F.explode(F.sequence(F.lit(1), "_times"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    met = keyed.join(taken, (keyed["_mix_h"] == taken["_mix_hash"]) & keyed[id_col].cast("long").eqNullSafe(taken["_mix_id"])).dropDuplicates(["_mix_h", id_col])
+    return met.withColumn("_mix_i", F.explode(F.sequence(F.lit(1), "_mix_times"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

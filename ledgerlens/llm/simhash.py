@@ -262,7 +262,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     found = near_duplicates(docs, id_col, text_col, **(NEAR | how))
     first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
-    named = docs.join(first, docs[id_col].cast("long") == first["_first"]).drop("_first").dropDuplicates([id_col])
+    named = docs.join(first, docs[id_col].cast("long") == first["_first"], "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.where(docs[id_col].isNull()))
 
 
