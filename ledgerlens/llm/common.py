@@ -39,6 +39,18 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+def draw(rows: DataFrame, max_rows: int) -> DataFrame:
+    """At most max_rows of rows (doc_id, text, ...), those with the least hash of id; rows that repeat come once.
+
+    Hashes and ids are drawn first, so that a task sends no texts but those of the rows that are drawn.
+    """
+    rows = rows.withColumns({"_h": F.xxhash64("doc_id"), "_rest": F.xxhash64(*[c for c in rows.columns if c != "doc_id"])})
+    drawn = rows.select("_h", "doc_id", "_rest").orderBy("_h", "doc_id", "_rest").limit(max_rows).distinct()
+    drawn = F.broadcast(drawn.select(F.col("doc_id").alias("_id"), F.col("_rest").alias("_drawn")))
+    met = rows.join(drawn, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_rest") == F.col("_drawn")), "left_semi")
+    return met.dropDuplicates(["doc_id", "_rest"]).orderBy("_h", "doc_id", "_rest").drop("_h", "_rest")
+
+
 def hot_share(n_rows: int) -> int:
     """The size from which a group counts as hot: of disjoint groups, at most MAX_HOT_GROUPS reach it."""
     return max(200, -(-n_rows // MAX_HOT_GROUPS))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import id_text, table
+from ledgerlens.llm.common import draw, id_text, table
 from ledgerlens.llm.toxicity import id_remainder
 
 #: Bytes of a window, filter widths, filters of each width, size of a byte's vector.
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, may_learn: Column | None = None, id_col: str = "doc_id"
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.where("text is not null and lang is not null and doc_id is not null")
     rows = rows if may_learn is None else rows.where(may_learn)
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_rows).toPandas()
+    got = draw(rows, max_rows).toPandas()
     return train(got["text"].tolist(), got["lang"].tolist())
 
 

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from ledgerlens.llm import langid, secrets, toxicity
+from ledgerlens.llm import common, langid, secrets, toxicity
 from tests.llm.cases import ODD, clashing, docs, rows
 
 BAD = ["idiot", "moron", "worthless", "scumbag"]
@@ -172,3 +172,13 @@ def test_training_follows_the_gradient():
 
 def test_rows_helper(spark):
     assert rows(docs(spark, [])) == []
+
+
+def test_draw_is_bounded_and_the_same_in_any_order(spark):
+    rows = [(i, f"text {i}") for i in range(50)] + [(None, "no id"), (7, "text 7"), (7, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in common.draw(docs, 20).collect()]
+    assert len(got) == len(set(got)) <= 20 and set(got) <= set(rows)
+    assert got == [tuple(r) for r in common.draw(docs.repartition(7).orderBy("text"), 20).collect()]
+    assert sorted(common.draw(docs, 1000).collect(), key=str) == sorted(docs.distinct().collect(), key=str)
+    assert common.draw(docs.where("false"), 20).count() == 0
