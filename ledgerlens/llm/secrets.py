@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import id_text, table
+from ledgerlens.llm.common import draw, id_text, table
 
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -308,7 +308,7 @@ def examples(texts: list[str], max_lines: int = TRAIN_LINES, seed: int = 5) -> t
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = TRAIN_ROWS) -> Crf:
     """Learn from at most max_rows rows, those with the least hash of id, whatever the size of docs."""
     rows = id_text(docs, id_col, text_col)
-    got = rows.where("text <> ''").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_rows).toPandas()
+    got = draw(rows.where("text <> ''"), max_rows).toPandas()
     return train(*examples(got["text"].tolist()))
 
 
