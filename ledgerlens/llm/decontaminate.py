@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -124,7 +125,22 @@ def _best_segment(same: np.ndarray) -> tuple[int, int]:
     return int(np.argmin(total[: end + 1])), end
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_words: int = 12, identity: float = 0.8) -> DataFrame:
+def _longest_stretch(same: np.ndarray, least: int, identity: float) -> tuple[int, int]:
+    """Start and end of the longest stretch of `least` words or more of which the share `identity` agrees; (0, 0) if none does.
+
+    Of several that long, the first of those with the most words that agree.
+    """
+    share = Fraction(str(identity))
+    count = np.concatenate([[0], np.cumsum(same, dtype=np.int64)])
+    total = count * share.denominator - np.arange(len(count)) * share.numerator  # whole numbers: no rounding at the share itself
+    start = np.searchsorted(-np.minimum.accumulate(total), -total)  # the first place that is not above each end
+    length = np.arange(len(count)) - start
+    ends = np.flatnonzero(length == length.max())
+    end = int(ends[np.argmax(count[ends] - count[start[ends]])])
+    return (int(start[end]), end) if length[end] >= least else (0, 0)
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_words: int = 12, identity: float = 0.8, any_stretch: bool = False) -> DataFrame:
     """Documents that hold a passage of a benchmark item, up to substituted words.
 
     One row per document id and item: doc_id, item_id, n_words (of the aligned
@@ -138,8 +154,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     2. What is kept joins the benchmark's seeds, an ordinary join whose side
        Spark broadcasts only below its size threshold.
     3. Each (passage, item, offset) is compared word by word around the hits;
-       the best stretch counts if it has min_words words (or the whole item, if
-       that is shorter, of 5 words at least) and the share `identity` of them agrees.
+       a stretch counts if it has min_words words (or the whole item, if that is
+       shorter, of 5 words at least) and the share `identity` of them agrees.
+       With any_stretch, as in the queries, the longest that counts is found;
+       else only the one with the most matches less mismatches is tried.
 
     Null texts have no words; null item or document ids are ids like others.
     Repeated rows give one result. Empty tables give no rows; other columns
@@ -220,9 +238,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                 o, w, i = r["offset"], np.array(r["words"], np.int64), np.array(r["item_words"], np.int64)
                 a, e = max(0, o), min(len(w), o + len(i))
                 same = w[a:e] == i[a - o : e - o]
-                s, t = _best_segment(same)
+                least = max(5, min(min_words, len(i)))
+                s, t = _longest_stretch(same, least, identity) if any_stretch else _best_segment(same)
                 n, ok = t - s, int(same[s:t].sum())
-                if n >= max(5, min(min_words, len(i))) and ok >= identity * n:
+                if n >= least and (any_stretch or ok >= identity * n):
                     for c, v in zip(out, (r["doc_id"], r["item_id"], n, ok, r["start"] + a + s), strict=True):
                         out[c].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
@@ -257,4 +276,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
 
 def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), any_stretch=True)

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from ledgerlens.llm import decontaminate
 from ledgerlens.llm.decontaminate import MASKS, drop_contaminated, fold, overlaps, seeds, word_hashes
 from tests.llm.cases import clashing, docs, rows
@@ -107,3 +108,43 @@ def test_drop_contaminated_keeps_columns_and_clean_rows(spark):
     bad = {r[0] for r in brute(table, items)}
     assert kept.columns == docs(spark).columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in table if r[0] not in bad)
+
+
+def every_stretch(table, items, min_words=12):
+    """The rule itself: over all stretches of every alignment that shares a seed, the longest of which 80 % agree."""
+    best = {}
+    for doc_id, text, *_ in table:
+        w = words(text)
+        for item_id, item in items:
+            i = words(item)
+            for offset in range(-len(i) + 1, len(w)):
+                first = max(0, offset)
+                same = [w[at] == i[at - offset] for at in range(first, min(len(w), offset + len(i)))]
+                if not any(all(same[p + q] for q, c in enumerate(m) if c == "1") for m in MASKS for p in range(len(same) - len(m) + 1)):
+                    continue
+                least = max(5, min(min_words, len(i)))
+                found = [(b - a, sum(same[a:b]), -a) for a in range(len(same)) for b in range(a + least, len(same) + 1) if 5 * sum(same[a:b]) >= 4 * (b - a)]
+                if found:
+                    n, ok, a = max(found)
+                    key = (ok, -n, a - first)
+                    best[doc_id, item_id] = max(key, best.get((doc_id, item_id), key))
+    return sorted(((d, i, -k[1], k[0], -k[2]) for (d, i), k in best.items()), key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 5])
+def test_any_stretch_is_every_stretch_of_the_rule(spark, seed):
+    table, items = make(seed)
+    found = overlaps(docs(spark, table), spark.createDataFrame(items, "item_id long, text string"), any_stretch=True)
+    assert rows(found) == every_stretch(table, items)
+
+
+def test_query_finds_exact_words_before_a_part_that_agrees_less(spark, tmp_path):
+    """15 exact words, then 30 with every third replaced: 35 of 44 agree, which is less than 0.8, but 15 of 15 do."""
+    passage = [f"p{i}" for i in range(45)]
+    text = " ".join(w if i < 15 or i % 3 < 2 else f"x{i}" for i, w in enumerate(passage))
+    table, items = [(1, text, "en", "s", 1), (2, "nothing of it", "en", "s", 1)], [(7, " ".join(passage))]
+    docs(spark, table).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert rows(decontaminate.op2_spaced_seeds(spark, str(tmp_path))) == every_stretch(table, items) != []
+    kept = dict(corpus_pipeline.STAGES)["benchmark_decontamination"](spark, docs(spark, table), str(tmp_path))
+    assert [r.doc_id for r in kept.collect()] == [2]
