@@ -14,8 +14,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose sets of five-word shingles are similar to 0.8 or more, by SimHash, the one with the least id stays."""
-    return simhash.keep_one_of_each(docs)
+    """Of documents whose sets of five-word shingles are similar to 0.8 or more, the one with the least id stays."""
+    return simhash.keep_one_of_each(docs, similarity=0.8)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,11 @@ def shingle_hashes(text: str, shingle: int) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + SLICE], ends[i : i + SLICE], strict=True)], np.uint64)
 
 
-def fingerprint(text: str, shingle: int = 4, words: int = 1) -> np.ndarray:
-    """`words` 64-bit words; a bit is 1 if set in over half the hashes. Without any word of text: zero."""
-    counts, n = np.zeros(64 * words, np.int64), 0
-    for h in shingle_hashes(text, shingle):
-        n += len(h)
+def _ones(hashes: np.ndarray, words: int) -> np.ndarray:
+    """How many of the hashes set each bit of `words` 64-bit words."""
+    counts = np.zeros(64 * words, np.int64)
+    for i in range(0, len(hashes), SLICE):
+        h = hashes[i : i + SLICE]
         for w in range(words):
             x = h
             if w:  # a mixed copy of the hash, as good as another seed
@@ -50,9 +51,23 @@ def fingerprint(text: str, shingle: int = 4, words: int = 1) -> np.ndarray:
                 x ^= x >> np.uint64(32)
             bits = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
             counts[64 * w : 64 * w + 64] += bits.sum(0, dtype=np.int64)
+    return counts
+
+
+def fingerprint(text: str, shingle: int = 4, words: int = 1) -> np.ndarray:
+    """`words` 64-bit words; a bit is 1 if set in over half the hashes. Without any word of text: zero."""
+    counts, n = np.zeros(64 * words, np.int64), 0
+    for h in shingle_hashes(text, shingle):
+        n += len(h)
+        counts += _ones(h, words)
     return np.packbits(counts * 2 > n).view(">u8").astype(np.uint64)
 
 
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The text's shingle hashes, each once, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle)]))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
     """One row per row of docs: doc_id and f0, f1, ... (the fingerprint's words as longs)."""
 
@@ -249,18 +264,142 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return attach(rows, groups, "node", "_size", own.count(), ["doc_id"]).select("doc_id", "fingerprint", "component_id")
 
 
+def open_pairs(nodes: DataFrame, bands: list[list[int]], words: int, radius: int, similarity: float) -> DataFrame:
+    """(u, v): every pair within the radius that shares a band's value, lies in two components and has sizes that allow the similarity, once.
+
+    nodes: node, n (size of its set), comp, f0, f1, ...
+    """
+    f = [f"f{w}" for w in range(words)]
+    masks = np.array([_masks(band, words) for band in bands], np.int64).view(np.uint64)
+    share = Fraction(str(similarity))
+    keys = [F.struct(F.lit(j).alias("band"), F.xxhash64(F.lit(j), *[F.col(c).bitwiseAND(F.lit(m)) for c, m in zip(f, _masks(band, words), strict=True)]).alias("key")) for j, band in enumerate(bands)]
+    rows = nodes.select("node", "n", "comp", *f, F.explode(F.array(*keys)).alias("k")).select("node", "n", "comp", *f, "k.band", "k.key").repartition("key").sortWithinPartitions("key")
+
+    def pairs(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        x = np.stack([c[name] for name in f], 1).view(np.uint64)
+        i, d, found, size = np.arange(len(x)), 0, [], 0
+        while len(i):  # pairs that are d rows apart
+            d += 1
+            i = i[i + d < len(x)]
+            i = i[c["key"][i] == c["key"][i + d]]
+            a = i[c["comp"][i] != c["comp"][i + d]]
+            small, large = np.minimum(c["n"][a], c["n"][a + d]), np.maximum(c["n"][a], c["n"][a + d])
+            a = a[small * share.denominator >= large * share.numerator]
+            apart = x[a] ^ x[a + d]
+            near = np.bitwise_count(apart).sum(1, dtype=np.int64) <= radius
+            a, apart = a[near], apart[near]
+            first = np.ones(len(a), bool)  # no band before this one is shared
+            for j in range(len(masks) - 1):
+                first &= (c["band"][a] <= j) | ((apart & masks[j]) != 0).any(1)
+            a = a[first]
+            found.append((c["node"][a], c["node"][a + d]))
+            size += len(a)
+            if size > CHUNK or not len(i):
+                u, v = (np.concatenate(y) for y in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                found, size = [], 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        join = lambda: {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append({c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names})
+            if sum(len(h["key"]) for h in held) >= CHUNK:  # all but the last key, which may go on
+                whole = join()
+                cut = int(np.searchsorted(whole["key"], whole["key"][-1]))
+                held = [{c: v[cut:] for c, v in whole.items()}]
+                if cut:
+                    yield from pairs({c: v[:cut] for c, v in whole.items()})
+        if held:
+            yield from pairs(join())
+
+    return rows.mapInArrow(run, "u long, v long")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (u, v) whose sets (node, grams) have a Jaccard similarity of `similarity` or more."""
+    share = Fraction(str(similarity))
+    sides = [sets.select(F.col("node").alias(c), F.col("grams").alias(f"{c}_grams")) for c in ("u", "v")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = np.zeros(b.num_rows, bool)
+            for i, (x, y) in enumerate(zip(b.column("u_grams"), b.column("v_grams"), strict=True)):
+                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok[i] = both * share.denominator >= (len(x) + len(y) - both) * share.numerator
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(ok))
+
+    return pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "u_grams", "v_grams").mapInArrow(run, "u long, v long")
+
+
+def similar_groups(docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 64, words: int = 4, bands: list[list[int]] | None = None) -> DataFrame:
+    """One row per row of docs: doc_id and component_id, the least doc_id reachable by pairs of texts that are similar.
+
+    Two texts are similar if their shingle sets (64-bit hashes) have a Jaccard
+    similarity of `similarity` or more. Equal sets are one class. SimHash only
+    proposes: fingerprints of the sets within the radius that share a band. Links
+    that span the proposals of a task are checked first, set against set; then
+    all other proposals between the components that these leave.
+    """
+    bands = bands or sampled_bands(64 * words, 13, 64)
+    f = [f"f{w}" for w in range(words)]
+    texts = id_text(docs, id_col, text_col).withColumn("t", F.xxhash64("text"))
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, n, x = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, words), np.uint64)
+            for i, text in enumerate(b.column("text")):
+                grams = shingle_set(text.as_py(), shingle)
+                node[i], n[i] = xxhash.xxh64_intdigest(grams.tobytes(), SEED), len(grams)
+                x[i] = np.packbits(_ones(grams, words) * 2 > len(grams)).view(">u8")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), pa.array(node.view(np.int64)), pa.array(n), *(pa.array(x[:, w].view(np.int64)) for w in range(words))], ["doc_id", "t", "node", "n", *f])
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(t.as_py(), shingle).astype("<u8").tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(found, pa.binary())], ["node", "grams"])
+
+    own = materialise(texts.mapInArrow(prints, "doc_id long, t long, node long, n long, " + ", ".join(f"{c} long" for c in f)), "set-fingerprints")
+    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias("_one")  # a row that holds the set
+    classes = materialise(own.groupBy("node").agg(*[F.min(c).alias(c) for c in ("n", *f)], F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_size"), one), "set-classes")
+    proposed = links(classes.where("n > 0").select("node", *f), bands, words, radius)
+    proposed = materialise(proposed.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "proposed")
+    touched = classes.join(proposed.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi")
+    held = touched.select("node", F.col("_one.doc_id").alias("_id"), F.col("_one.t").alias("_t"))
+    held = texts.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).select("node", "text")
+    sets = materialise(held.mapInArrow(grams, "node long, grams binary").dropDuplicates(["node"]), "candidate-sets")
+    linked = materialise(similar_pairs(proposed, sets, similarity), "similar")
+    parts = components(linked)
+    rest = touched.join(parts, "node", "left").select("node", "n", F.coalesce("root", "node").alias("comp"), *f)
+    more = materialise(similar_pairs(open_pairs(rest, bands, words, radius, similarity), sets, similarity), "similar-rest")
+    roots = components(linked.unionByName(more))
+    met = roots.join(classes.select("node", "_least"), "node")
+    named = met.join(met.groupBy("root").agg(F.min("_least").alias("_named")), "root").select("node", "_named")
+    groups = classes.join(named, "node", "left").select("node", "_size", F.coalesce("_named", "_least").alias("component_id"))
+    return attach(own.select("doc_id", "node"), groups, "node", "_size", own.count(), ["doc_id"]).select("doc_id", "component_id")
+
+
 #: For texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
 #: more: their 256-bit fingerprints differ in 39 bits on average, with a standard
 #: deviation of 6. 40 bands of 13 bits meet 99 % of pairs at 0.8, more above.
 NEAR = {"shingle": 5, "words": 4, "radius": 48, "bands": sampled_bands(256, 13, 40)}
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **how) -> DataFrame:
     """The rows of docs, all columns, that are the first of their near-duplicate component.
 
+    With a similarity, as in the pipeline, components are of texts that are that
+    similar by their sets of shingles; else of fingerprints within a radius (NEAR).
+
     Rows with a null id stay, since none can stand for them; of rows that repeat an id, one stays.
     """
-    found = near_duplicates(docs, id_col, text_col, **(NEAR | how))
+    if similarity is None:
+        found = near_duplicates(docs, id_col, text_col, **(NEAR | how))
+    else:
+        found = similar_groups(docs, similarity, id_col, text_col, **how)
     first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
     named = docs.join(first, docs[id_col].cast("long") == first["_first"], "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.where(docs[id_col].isNull()))

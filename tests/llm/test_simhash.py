@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from ledgerlens.llm import simhash
 from ledgerlens.llm.graph import components
 from ledgerlens.llm.simhash import exact_bands, fingerprint, keep_one_of_each, link_bands, near_duplicates
@@ -137,3 +138,45 @@ def test_rows_without_id_stay(spark):
     assert kept.columns == docs(spark).columns
     assert sum(r.doc_id is None for r in kept.collect()) == 2
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 7, 8, 9]
+
+
+def brute_similar(table, similarity=0.8):
+    """(ids kept, similar pairs) over all pairs of texts by their sets of five-word shingles."""
+    split = [(r[1] or "").lower().split() for r in table]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in split]
+    pairs = [(i, j) for j in range(len(table)) for i in range(j) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    root = list(range(len(table)))
+    for i, j in pairs * 3:  # ids ascend, and no chain here is long
+        root[i] = root[j] = min(root[i], root[j])
+    return {table[i][0] for i in range(len(table)) if root[i] == i}, pairs
+
+
+def edited(seed):
+    """Families of a text and copies of it with one word of every 20 to 80 replaced: similarity 0.6 to 0.9."""
+    rng = random.Random(seed)
+    table = []
+    for i in range(0, 320, 4):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(80, 400))]
+        table.append((i, " ".join(words), "en", "s", 1))
+        for k in range(1, 4):
+            copy, step = list(words), rng.randrange(20, 80)
+            for at in range(rng.randrange(step), len(words), step):
+                copy[at] = f"x{rng.randrange(10**6)}"
+            table.append((i + k, " ".join(copy), "en", "s", 1))
+    return table
+
+
+def test_pipeline_stage_is_brute_force_on_both_sides_of_08(spark):
+    table = edited(3)
+    kept, pairs = brute_similar(table)
+    assert len(pairs) > 100 and len(kept) > 100
+    found = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs(spark, table), "").collect()}
+    assert found == kept
+
+
+def test_similarity_takes_odd_rows(spark):
+    kept = corpus_pipeline.drop_near_copies(spark, clashing(docs(spark)), "")
+    assert kept.columns == clashing(docs(spark)).columns
+    assert sum(r.doc_id is None for r in kept.collect()) == 2
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 7, 8, 9]
+    assert corpus_pipeline.drop_near_copies(spark, docs(spark, []), "").count() == 0
