@@ -23,19 +23,7 @@ SLICE = 1 << 20
 
 #: ASCII letters and digits and all other bytes from 0x80 make words; capital A-Z are lowered, the rest separates.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n-1), modulo 2**64."""
-    key = str(base)
-    if key not in _powers or len(_powers[key]) < n:
-        a = np.full(max(n, 1), base, np.uint64)
-        a[0] = 1
-        _powers[key] = np.multiply.accumulate(a)
-    return _powers[key][:n]
+_STEP, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,16 +32,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A random number for each byte.
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash, start) of each word of folded bytes: differences of prefix sums of byte x base ** position."""
+    """(64-bit hash, start) of each word of folded bytes: differences of prefix sums of mixed bytes and places in the word."""
     b = np.frombuffer(data, np.uint8)
     inside = np.concatenate([[False], b != 32, [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edges[0::2], edges[1::2]
     if not len(start):
         return np.zeros(0, np.uint64), start
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(b)))])
-    return mix((total[end] - total[start]) * _power(_INVERSE, len(b))[start] + (end - start).astype(np.uint64)), start
+    first = start[0]
+    place = np.arange(first, len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))
+    v = _BYTE[b[first:]] + place.astype(np.uint64) * _STEP
+    v = (v ^ (v >> np.uint64(29))) * _ODD  # not linear in the bytes
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(v ^ (v >> np.uint64(32)))])
+    return mix(total[end - first] - total[start - first] + (end - start).astype(np.uint64)), start
 
 
 def seeds(words: np.ndarray, mask: int) -> np.ndarray:
@@ -98,7 +94,7 @@ def _item_seeds(items: DataFrame) -> DataFrame:
 
 def probes(seed: np.ndarray, bits: int) -> list[np.ndarray]:
     """The filter's bits for each seed: PROBES places from two hashes of 64 bits."""
-    again = mix(seed + np.uint64(_BASE))
+    again = mix(seed + _STEP)
     return [(x >> np.uint64(shift)) & np.uint64(bits - 1) for x in (seed, again) for shift in (0, 32)][:PROBES]
 
 
@@ -117,14 +113,6 @@ def _filter(item_seeds: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _best_segment(same: np.ndarray) -> tuple[int, int]:
-    """Start and end of the stretch with the most matches less mismatches."""
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -1))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    return int(np.argmin(total[: end + 1])), end
-
-
 def _longest_stretch(same: np.ndarray, least: int, identity: float) -> tuple[int, int]:
     """Start and end of the longest stretch of `least` words or more of which the share `identity` agrees; (0, 0) if none does.
 
@@ -140,7 +128,7 @@ def _longest_stretch(same: np.ndarray, least: int, identity: float) -> tuple[int
     return (int(start[end]), end) if length[end] >= least else (0, 0)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_words: int = 12, identity: float = 0.8, any_stretch: bool = False) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_words: int = 12, identity: float = 0.8, any_stretch: bool = True) -> DataFrame:
     """Documents that hold a passage of a benchmark item, up to substituted words.
 
     One row per document id and item: doc_id, item_id, n_words (of the aligned
@@ -153,11 +141,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
        is all that is broadcast, and its size is bounded (FILTER_BITS).
     2. What is kept joins the benchmark's seeds, an ordinary join whose side
        Spark broadcasts only below its size threshold.
-    3. Each (passage, item, offset) is compared word by word around the hits;
-       a stretch counts if it has min_words words (or the whole item, if that is
-       shorter, of 5 words at least) and the share `identity` of them agrees.
-       With any_stretch, as in the queries, the longest that counts is found;
-       else only the one with the most matches less mismatches is tried.
+    3. Each (passage, item) is compared word by word at every offset that a hit
+       gives; a stretch counts if it has min_words words (or the whole item, if
+       that is shorter, of 5 words at least) and the share `identity` of them
+       agrees. The longest stretch of each offset is found; of several offsets,
+       the one with the most words that agree.
 
     Null texts have no words; null item or document ids are ids like others.
     Repeated rows give one result. Empty tables give no rows; other columns
@@ -166,8 +154,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     spark = docs.sparkSession
     items = materialise(_items(benchmark, item_col, item_text_col), "benchmark-words")
     item_seeds = materialise(_item_seeds(items), "benchmark-seeds")
-    bits = 1 << 15
-    while bits < FILTER_BITS and bits < item_seeds.count() * BITS_PER_SEED:
+    bits, n_seeds = 1 << 15, item_seeds.count()
+    while bits < FILTER_BITS and bits < n_seeds * BITS_PER_SEED:
         bits *= 2
     told = spark.sparkContext.broadcast(_filter(item_seeds, bits))
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("words", pa.list_(pa.int64())), ("hit_seed", pa.list_(pa.int64())), ("hit_at", pa.list_(pa.int64()))])
@@ -226,24 +214,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     found = rows.mapInArrow(run, "doc_id long, start long, words array<long>, hit_seed array<long>, hit_at array<long>")
     found = materialise(found.withColumn("region", F.xxhash64("doc_id", "start", "words")), "seed-hits")
     hit = found.select("region", F.explode(F.arrays_zip("hit_seed", "hit_at")).alias("h")).select("region", F.col("h.hit_seed").alias("seed"), F.col("h.hit_at").alias("at"))
-    aligned = hit.join(item_seeds, "seed").select("region", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("offset")).groupBy("region", "item_id", "offset").agg(F.min("item_at").alias("item_at"))
+    # a region and an item are both of bounded length, and so are the offsets between them
+    aligned = hit.join(item_seeds, "seed").groupBy("region", "item_id").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("offsets"))
     both = aligned.join(found.select("region", "doc_id", "start", "words").dropDuplicates(["region"]), "region")
     named = items.select(F.col("item_id").alias("_item"), F.col("words").alias("item_words"))
-    both = both.join(named, F.col("item_id").eqNullSafe(F.col("_item"))).select("doc_id", "item_id", "start", "words", "item_words", "offset")
+    both = both.join(named, F.col("item_id").eqNullSafe(F.col("_item"))).select("doc_id", "item_id", "start", "words", "item_words", "offsets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = {c: [] for c in ("doc_id", "item_id", "n_words", "n_same", "doc_start")}
             for r in b.to_pylist():
-                o, w, i = r["offset"], np.array(r["words"], np.int64), np.array(r["item_words"], np.int64)
-                a, e = max(0, o), min(len(w), o + len(i))
-                same = w[a:e] == i[a - o : e - o]
+                w, i = np.array(r["words"], np.int64), np.array(r["item_words"], np.int64)
                 least = max(5, min(min_words, len(i)))
-                s, t = _longest_stretch(same, least, identity) if any_stretch else _best_segment(same)
-                n, ok = t - s, int(same[s:t].sum())
-                if n >= least and (any_stretch or ok >= identity * n):
-                    for c, v in zip(out, (r["doc_id"], r["item_id"], n, ok, r["start"] + a + s), strict=True):
-                        out[c].append(v)
+                for o in r["offsets"]:
+                    a, e = max(0, o), min(len(w), o + len(i))
+                    same = w[a:e] == i[a - o : e - o]
+                    s, t = _longest_stretch(same, least, identity)
+                    if t:
+                        for c, v in zip(out, (r["doc_id"], r["item_id"], t - s, int(same[s:t].sum()), r["start"] + a + s), strict=True):
+                            out[c].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
 
     held = both.mapInArrow(check, "doc_id long, item_id long, n_words long, n_same long, doc_start long")
@@ -270,10 +259,15 @@ def _next_slice(data: bytes) -> tuple[bytes, bytes | None, int]:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs, all columns, whose id overlaps() doesn't find; rows with a null id stay."""
-    bad = overlaps(docs, benchmark, id_col, text_col, **how).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long") == bad["_bad"], "left_anti")
+    """The rows of docs, all columns, in which overlaps() finds nothing.
+
+    Rows are told apart by a hash of id and text, so a row goes or stays by its own
+    text, whether its id is null or repeats.
+    """
+    key = F.xxhash64(docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    bad = overlaps(docs.select(key.alias("doc_id"), docs[text_col].alias("text")), benchmark, **how).select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, key == bad["_bad"], "left_anti")
 
 
 def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), any_stretch=True)
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
