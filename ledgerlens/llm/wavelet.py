@@ -143,6 +143,23 @@ class _Odd(Exception):
     """A piece that white space touches: the text can't be cut there."""
 
 
+def _same(data: bytes, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each piece data[start:end] has the same bytes as the piece at `other` (a place in start)."""
+    padded = np.frombuffer(data + bytes(8), np.uint8)
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    n = end - start
+    ok = n == n[other]
+    for at in range(0, 64, 8):  # 8 bytes of each piece at a time
+        i = np.flatnonzero(ok & (n > at) & (other != np.arange(len(n))))
+        x, y = (np.ascontiguousarray(eight[s[i] + at]).view("<u8")[:, 0] for s in (start, start[other]))
+        spare = (np.maximum(0, 8 - (n[i] - at)) * 8).astype(np.uint64)
+        ok[i[(x ^ y) << spare != 0]] = False
+    for i in np.flatnonzero(ok & (n > 64) & (other != np.arange(len(n)))).tolist():
+        j = other[i]
+        ok[i] = data[start[i] : end[i]] == data[start[j] : end[j]]
+    return ok
+
+
 class Encoder:
     """The tokenizer's ids of a text, as packed little-endian integers.
 
@@ -156,6 +173,8 @@ class Encoder:
     PLAIN = re.compile(rf"[\x21-\x7e\n {LETTER[6:]}]+")
     SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s0-9{LETTER}]+|\s+(?!\S)|\s+")
     CUT = re.compile(r"(?<=\S)(?= \S)")
+    #: Where any text can be cut, also one with special tokens or odd white space elsewhere.
+    SAFE = re.compile(r"(?<=[^\W_])(?= [^\W_])")
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -211,12 +230,21 @@ class Encoder:
         except _Odd:
             return b"".join(map(self._segment, self.CUT.split(text)))
 
+    def long(self, text: str) -> bytes:
+        """What the call gives, in parts of some SLICE characters."""
+        parts, at = [], 0
+        while at < len(text):
+            cut = self.SAFE.search(text, at + SLICE)
+            end = cut.start() if cut else len(text)
+            parts.append(self(text[at:end]))
+            at = end
+        return b"".join(parts)
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """What the call gives for each text, with one look-up for each distinct piece.
 
-        Pieces are told apart by a 64-bit hash, their length and the sum of their
-        bytes; where these disagree, or a text isn't plain, the text is encoded alone.
+        Pieces are found by a 64-bit hash and compared byte by byte with the first of
+        that hash; where they disagree, or a text isn't plain, the text is encoded alone.
         """
         data = [t.encode("utf-8", "surrogatepass") for t in texts]
         odd = np.array([not d or any(m in d for m in self.marks) for d in data])
@@ -234,11 +262,9 @@ class Encoder:
         if not len(start):
             return [self(t) for t in texts]
         end = np.append(start[1:] - 1, len(b))  # exact for all but odd texts
-        sums = np.concatenate([[0], np.cumsum(b, dtype=np.int64)])
         _, at, where = np.unique(hashed, return_index=True, return_inverse=True)
-        check = np.stack([end - start, sums[end] - sums[start]])
         doc = np.searchsorted(begins, start, "right") - 1
-        odd[doc[(check != check[:, at[where]]).any(0)]] = True
+        odd[doc[~_same(joined, start, end, at[where])]] = True
         codes: list[bytes | None] = []
         for a, e in zip(start[at].tolist(), end[at].tolist(), strict=True):
             try:
@@ -276,9 +302,14 @@ def encoded(encode: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[tupl
     size = 0
     for b in batches:
         for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+            if len(text := text.as_py()) > SLICE:
+                yield from zip(ids, encode.batch(texts) if texts else [], strict=True)
+                ids, texts, size = [], [], 0
+                yield doc_id, encode.long(text)
+                continue
             ids.append(doc_id)
-            texts.append(text.as_py())
-            size += len(texts[-1])
+            texts.append(text)
+            size += len(text)
             if size >= SLICE:
                 yield from zip(ids, encode.batch(texts), strict=True)
                 ids, texts, size = [], [], 0
@@ -298,7 +329,7 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     a task holds one Arrow batch and one shard. path names a tokenizer file that
     every executor has; by default that of the installed package.
     """
-    ordered = id_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = id_text(docs, id_col, text_col).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("doc_ids", "lengths", "zeros")), *((c, pa.list_(pa.binary())) for c in ("planes", "ranks"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

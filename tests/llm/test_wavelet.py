@@ -7,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from ledgerlens.llm import wavelet
+from ledgerlens.llm.decontaminate import word_hashes
 from ledgerlens.llm.wavelet import END_ID, Encoder, WaveletMatrix, matrix, token_shards, write_shards
 from tests.llm.cases import ODD, clashing, docs, rows
 
@@ -51,6 +52,39 @@ def test_caches_that_fill_up_change_nothing(tokenizer, monkeypatch):
     assert [np.frombuffer(x, e.dtype).tolist() for x in e.batch(texts)] == [tokenizer.encode(t).ids for t in texts]
 
 
+def test_words_whose_polynomial_hashes_collide(tokenizer):
+    """Thue-Morse words: equal under any polynomial modulo 2**64, and with the same letters."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    two = one.translate(str.maketrans("ab", "ba"))
+    texts = [f"x {one} {two}", f"{two} {one}", f"y {one}"]
+    e = Encoder()
+    assert [np.frombuffer(x, e.dtype).tolist() for x in e.batch(texts)] == [tokenizer.encode(t).ids for t in texts]
+    hashed, _ = word_hashes(" ".join(texts).encode())
+    assert len(set(hashed.tolist())) == 4
+
+
+def test_pieces_are_compared_by_their_bytes(tokenizer, monkeypatch):
+    words = ["a", "b", "abcdefgh", "abcdefgi", "abcdefghi", "abcdefghj", "y" * 64, "y" * 63 + "z", "y" * 70, "y" * 69 + "z"]
+    texts = [f"q {x} {y} {x}" for x in words for y in words]
+
+    def lengths_only(data):  # the weakest hash there is
+        _, start = word_hashes(data)
+        return np.diff(np.append(start, len(data) + 1)).astype(np.uint64), start
+
+    monkeypatch.setattr(wavelet, "word_hashes", lengths_only)
+    e = Encoder()
+    assert [np.frombuffer(x, e.dtype).tolist() for x in e.batch(texts)] == [tokenizer.encode(t).ids for t in texts]
+
+
+def test_long_texts_are_encoded_in_parts(tokenizer, monkeypatch):
+    monkeypatch.setattr(wavelet, "SLICE", 50)
+    rng = random.Random(3)
+    parts = ["the", " ", "  ", "\n", "é", "don't", "12", " <|endoftext|>", "᠎", "A", " 数字", " ünï"]
+    texts = ["".join(rng.choice(parts) for _ in range(400)) for _ in range(20)] + ["word " * 100, "x" * 500]
+    e = Encoder()
+    assert [np.frombuffer(e.long(t), e.dtype).tolist() for t in texts] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def expected(table, tokenizer):
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
