@@ -14,13 +14,20 @@ MAX_HOT_GROUPS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset one of our own.
+
+    A folder of our own is only made where all tasks run in the driver's process;
+    on a cluster the setting is required, since executors share no local folder.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlens-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlens-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -40,15 +47,27 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def draw(rows: DataFrame, max_rows: int) -> DataFrame:
-    """At most max_rows of rows (doc_id, text, ...), those with the least hash of id; rows that repeat come once.
+    """At most max_rows of rows (doc_id, text, ...): those of the ids with the least hash, one row for each id.
 
-    Hashes and ids are drawn first, so that a task sends no texts but those of the rows that are drawn.
+    An id that repeats gives the row with the least hash of its other columns; null
+    ids are left out. Ids are drawn first, from those below a bound on their
+    hash that is raised until enough are found, so that a task neither sorts nor
+    sends more than it must, and no texts but those of the ids that are drawn.
     """
-    rows = rows.withColumns({"_h": F.xxhash64("doc_id"), "_rest": F.xxhash64(*[c for c in rows.columns if c != "doc_id"])})
-    drawn = rows.select("_h", "doc_id", "_rest").orderBy("_h", "doc_id", "_rest").limit(max_rows).distinct()
-    drawn = F.broadcast(drawn.select(F.col("doc_id").alias("_id"), F.col("_rest").alias("_drawn")))
-    met = rows.join(drawn, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_rest") == F.col("_drawn")), "left_semi")
-    return met.dropDuplicates(["doc_id", "_rest"]).orderBy("_h", "doc_id", "_rest").drop("_h", "_rest")
+    rows = rows.where("doc_id is not null").withColumn("_h", F.xxhash64("doc_id"))
+    share = 4 * max_rows / max(1, rows.count())
+    while True:
+        low = rows if share >= 1 else rows.where(F.col("_h") < F.lit(int(share * 2**64) - 2**63))
+        ids = low.select("_h", "doc_id").distinct().orderBy("_h", "doc_id").limit(max_rows)
+        if share >= 1 or ids.count() == max_rows:
+            break
+        share *= 16
+    drawn = F.broadcast(ids.select(F.col("doc_id").alias("_id")))
+    met = rows.join(drawn, F.col("doc_id") == F.col("_id"), "left_semi")
+    others = [c for c in rows.columns if c not in ("doc_id", "_h")]
+    row = F.struct(*[F.col(c) for c in others])
+    one = met.groupBy("_h", "doc_id").agg(F.min_by(row, F.xxhash64(*others)).alias("_row"))
+    return one.orderBy("_h", "doc_id").select("doc_id", "_row.*")
 
 
 def hot_share(n_rows: int) -> int:

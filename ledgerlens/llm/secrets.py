@@ -23,6 +23,8 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 B, I, O = 0, 1, 2
 #: At most this many rows are learnt from, those with the least hash of id, and this many lines of them, each a stretch of so many characters.
 TRAIN_ROWS, TRAIN_LINES, TRAIN_CHARS = 1500, 4000, 300
+#: The share of lines without a secret that get a made-up one.
+PLANTED = 0.3
 #: Bytes of text that a task works on at a time.
 SLICE = 1 << 19
 NEAR = 1 << 12
@@ -71,10 +73,17 @@ def _bucket(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x, n - 1).astype(np.int64)
 
 
-def tokens(data: bytes, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def file_counts(data: bytes) -> tuple[int, int, int]:
+    """Digits, symbols and bytes of a whole text, for the file features of its tokens."""
+    c = np.bincount(_CLASS[np.frombuffer(data, np.uint8)], minlength=7)
+    return int(c[3]), int(c[6]), len(data)
+
+
+def tokens(data: bytes, begins: np.ndarray, files: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """start, end, line and features (tokens x features, as rows of the weight table) of texts laid end to end.
 
     begins: where each text begins. A line is what stands between newlines.
+    files: file_counts() of the text that each is a part of, a row each; by default each is whole.
     """
     b = np.frombuffer(data, np.uint8)
     c = _CLASS[b]
@@ -105,9 +114,11 @@ def tokens(data: bytes, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     before[1:][same1[1:]] = word[:-1][same1[1:]]
     before2[2:][same2[2:]] = word[:-2][same2[2:]]
     after[:-1][same1[1:]] = word[1:][same1[1:]]
-    bounds = np.append(begins, len(b))
-    long = np.maximum(1, np.diff(bounds))
-    share = {k: ((sums[k][bounds[1:]] - sums[k][bounds[:-1]]) * 40 // long)[text] for k in (3, 6)}
+    if files is None:
+        bounds = np.append(begins, len(b))
+        files = np.stack([*(sums[k][bounds[1:]] - sums[k][bounds[:-1]] for k in (3, 6)), np.diff(bounds)], 1)
+    long = np.maximum(1, files[:, 2])
+    share = {k: (files[:, i].astype(np.int64) * 40 // long)[text] for i, k in enumerate((3, 6))}
     masks = sum(((count[k] > 0).astype(np.int64) << (k - 1)) for k in range(1, 7))
     columns = {
         "length": _bucket(np.where(n < 8, n, 3 + np.log2(n) * 5 / 3), 12), "classes": masks, "turns": _bucket(turns, 8),
@@ -162,34 +173,53 @@ class Crf:
         return tags
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int]]]:
-        """(start, end) in code points of what is tagged in each text."""
-        data = [t.encode("utf-8", "surrogatepass") for t in texts]
+        """(start, end) in code points of what is tagged in each text. A text is worked on in slices of lines, or of words where a line is longer than that."""
         out: list[list[tuple[int, int]]] = [[] for _ in texts]
-        i = 0
-        while i < len(data):
-            j, size = i, 0
-            while j < len(data) and (j == i or size + len(data[j]) <= SLICE):
-                size += len(data[j]) + 1
-                j += 1
-            begins = np.cumsum([0, *(len(d) + 1 for d in data[i:j])])[:-1]
-            start, end, line, features = tokens(b" ".join(data[i:j]), begins)
+        held: list[tuple[int, int, bytes, tuple[int, int, int]]] = []  # text, code points before, bytes, file counts
+        size = 0
+
+        def work() -> None:
+            begins = np.cumsum([0, *(len(d) + 1 for _, _, d, _ in held)])[:-1]
+            start, end, line, features = tokens(b"\n".join(d for _, _, d, _ in held), begins, np.array([f for *_, f in held]))
             tags = self.viterbi(self.emissions(features), line)
             heads = np.flatnonzero(tags == B)
-            tails = [h + 1 for h in heads]
-            for x, h in enumerate(heads):
-                while tails[x] < len(tags) and tags[tails[x]] == I and line[tails[x]] == line[h]:
-                    tails[x] += 1
+            for h in heads.tolist():
+                t = h + 1
+                while t < len(tags) and tags[t] == I and line[t] == line[h]:
+                    t += 1
                 k = int(np.searchsorted(begins, start[h], "right")) - 1
-                own = data[i + k]
-                a, b = int(start[h] - begins[k]), int(end[tails[x] - 1] - begins[k])
+                i, before, own, _ = held[k]
+                a, b = int(start[h] - begins[k]), int(end[t - 1] - begins[k])
                 while b > a + 1 and own[b - 1] in b".,":
                     b -= 1
-                p = len(own[:a].decode("utf-8", "surrogatepass"))
-                out[i + k].append((p, p + len(own[a:b].decode("utf-8", "surrogatepass"))))
-            i = j
+                b += len(own[b : b + 2]) - len(own[b : b + 2].lstrip(b"="))  # the filling of base64
+                p = before + len(own[:a].decode("utf-8", "surrogatepass"))
+                out[i].append((p, p + len(own[a:b].decode("utf-8", "surrogatepass"))))
+
+        for i, text in enumerate(texts):
+            data, before = text.encode("utf-8", "surrogatepass"), 0
+            counts = file_counts(data)
+            while data:
+                part, data = _cut(data)
+                if size and size + len(part) > SLICE:
+                    work()
+                    held, size = [], 0
+                held.append((i, before, part, counts))
+                size += len(part) + 1
+                before += len(part.decode("utf-8", "surrogatepass")) if data else 0
+        if held:
+            work()
         return out
 
 
+def _cut(data: bytes) -> tuple[bytes, bytes]:
+    """SLICE bytes or less, up to the end of a line, or else of a word; a word that is longer stays whole."""
+    if len(data) <= SLICE:
+        return data, b""
+    end = data.rfind(b"\n", 0, SLICE) + 1 or data.rfind(b" ", 0, SLICE) + 1 or data.find(b" ", SLICE) + 1 or len(data)
+    return data[:end], data[end:]
+
+
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis, keepdims=True)
     top = np.where(np.isfinite(top), top, 0)
@@ -261,41 +291,70 @@ def _made(rng: np.random.Generator) -> str:
         return ("sk_", "pk-", "ghp_", "xoxb-", "key-")[rng.integers(5)] + body(int(rng.integers(16, 40)))
     if kind == 1:
         return ".".join(body(int(rng.integers(12, 40))) for _ in range(3))
-    return body(int(rng.integers(14, 64)))
+    return body(int(rng.integers(10, 64) if rng.random() < 0.7 else rng.integers(9, 16)))
 
 
-def examples(texts: list[str], max_lines: int = TRAIN_LINES, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """features, line and tags to learn from.
+def _harmless(rng: np.random.Generator, words: list[str]) -> str:
+    """A made-up token that looks odd but is no secret: an address, a number, a name with digits or a long word."""
+    n = lambda low, high: str(int(rng.integers(low, high)))
+    word = lambda: words[rng.integers(len(words))] if words else "word"
+    kind = rng.integers(8)
+    if kind == 0:
+        return ".".join(n(1, 256) for _ in range(4))
+    if kind == 1:
+        return f"{word()}.{n(1, 100)}@{word()}{n(1, 10)}.example.com"
+    if kind == 2:
+        return f"({n(100, 1000)}) {n(100, 1000)}-{n(1000, 10000)}"
+    if kind == 3:
+        return "".join(n(0, 10) for _ in range(int(rng.integers(9, 20))))
+    if kind == 4:
+        return f"{n(1970, 2030)}-{n(10, 13)}-{n(10, 29)}T{n(10, 24)}:{n(10, 60)}"
+    if kind == 5:
+        return f"https://{word()}.example.org/{word()}/{word()}-{n(1, 1000)}.html"
+    if kind == 6:
+        return f"{word()}.{n(1, 100)}"
+    return "".join(word() for _ in range(int(rng.integers(2, 5))))
+
+
+def examples(texts: list[str], max_lines: int = TRAIN_LINES, max_chars: int = TRAIN_CHARS, planted: float = PLANTED, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """features, line and tags to learn from: at most max_lines lines of the texts, a stretch of at most max_chars of each.
 
     Tags come from the values that the fixed patterns find, and from made-up
-    secrets put into other lines of the texts, with a telling word before them or
-    none, so that shape and neighbours are learnt and not the patterns.
+    secrets put into a share `planted` of the other lines, with a telling word
+    before them or none, so that shape and neighbours are learnt and not the
+    patterns. As many lines get an odd token that is no secret. File features
+    are those of the whole text that a line is from.
     """
     rng = np.random.default_rng(seed)
     lead = ("password", "passphrase", "pwd", "secret", "key", "auth", "bearer", "credential", "private key", "client id", "access")
-    made, spans = [], []
-    lines = [line for t in texts for line in t.split("\n") if line.strip()]
+    made, spans, files = [], [], []
+    counts = [file_counts(t.encode("utf-8", "surrogatepass")) for t in texts]
+    lines = [(line, f) for t, f in zip(texts, counts, strict=True) for line in t.split("\n") if line.strip()]
     for i in rng.permutation(len(lines))[:max_lines].tolist():
-        line = lines[i]
-        if len(line) > TRAIN_CHARS:
+        line, file = lines[i]
+        if len(line) > max_chars:
             hit = next(iter(base_spans(line)), None)
-            at = max(0, hit[0] - TRAIN_CHARS // 2) if hit else int(rng.integers(len(line) - TRAIN_CHARS))
-            line = line[at : at + TRAIN_CHARS]
+            at = max(0, hit[0] - max_chars // 2) if hit else int(rng.integers(len(line) - max_chars))
+            line = line[at : at + max_chars]
         held = [m.span(2) for m in ASSIGN.finditer(line) if len(m[2]) >= 6] + [(s, e) for s, kind, e in base_spans(line) if kind]
-        if not held and rng.random() < 0.3:
-            at = line.find(" ", int(rng.integers(len(line))))
-            at = len(line) if at < 0 else at
+        chance = rng.random()
+        at = line.find(" ", int(rng.integers(len(line))))
+        at = len(line) if at < 0 else at
+        if not held and planted <= chance < 2 * planted:
+            line = f"{line[:at]} {_harmless(rng, [w for w in line.split() if w.isalpha()])}{line[at:]}"
+        if not held and chance < planted:
             before = " " + (lead[rng.integers(len(lead))] + (" ", ": ", " = ", ' = "', " is ")[rng.integers(5)] if rng.random() < 0.7 else "")
             secret = _made(rng)
             held = [(at + len(before), at + len(before) + len(secret))]
             line = line[:at] + before + secret + line[at:]
         made.append(line)
         spans.append(held)
+        files.append(file)
     data = [m.encode("utf-8", "surrogatepass") for m in made]
     begins = np.cumsum([0, *(len(d) + 1 for d in data)])[:-1]
-    start, end, line, features = tokens(b" ".join(data), begins)
+    start, end, line, features = tokens(b"\n".join(data), begins, np.array(files).reshape(-1, 3))
     tags = np.full(len(start), O)
-    for d, m, at, held in zip(data, made, begins.tolist(), spans, strict=True):
+    for m, at, held in zip(made, begins.tolist(), spans, strict=True):
         for s, e in sorted(set(held)):
             a, b = at + len(m[:s].encode("utf-8", "surrogatepass")), at + len(m[:e].encode("utf-8", "surrogatepass"))
             i, j = np.searchsorted(end, a, "right"), np.searchsorted(start, b, "left")
@@ -305,11 +364,11 @@ def examples(texts: list[str], max_lines: int = TRAIN_LINES, seed: int = 5) -> t
     return features, line, tags
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = TRAIN_ROWS) -> Crf:
-    """Learn from at most max_rows rows, those with the least hash of id, whatever the size of docs."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = TRAIN_ROWS, max_lines: int = TRAIN_LINES, max_chars: int = TRAIN_CHARS) -> Crf:
+    """Learn from at most max_rows rows that have an id (common.draw), max_lines lines of them and max_chars of a line, whatever the size of docs."""
     rows = id_text(docs, id_col, text_col)
     got = draw(rows.where("text <> ''"), max_rows).toPandas()
-    return train(*examples(got["text"].tolist()))
+    return train(*examples(got["text"].tolist(), max_lines, max_chars))
 
 
 def scan(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

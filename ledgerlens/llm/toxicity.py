@@ -14,11 +14,13 @@ from ledgerlens.llm.common import id_text, table
 
 #: Bytes of the character n-grams of a word with its borders, and buckets that they are hashed into.
 GRAMS, BUCKETS = (3, 4, 5, 6), 1 << 18
-#: How much a gram's presence must depend on the label.
+#: The dependence of a gram's presence on the label (chi-square) at which the gram has half its weight in a text's mean.
 CHI2 = 30
-#: How many times as likely a toxic text is to have a gram as another text, if the gram is used.
+#: How many times as likely a toxic text is to have a gram as another text, where the gram has half its weight.
 LIFT = 4
-#: Neutral grams that every text's mean has besides its own, so that one gram is weak evidence and a word's many are strong.
+#: How fast weights fall below these two.
+STEEP = 3
+#: The weight of neutral grams that every text's mean has besides its own, so that one gram is weak evidence and a word's many are strong.
 PAD = 10
 #: At most this many labelled rows are learnt from, those with the least hash of id.
 TRAIN_ROWS = 4000
@@ -61,15 +63,16 @@ def fold(text: str) -> bytes:
 
 @dataclass
 class Model:
-    """value: for each bucket its embedding times the output's weights, 0 for those that are not used."""
+    """weight: of each bucket in a text's mean; value: its embedding times the output's weights; bias: the output's."""
 
+    weight: np.ndarray
     value: np.ndarray
-    used: np.ndarray
     bias: float
 
     def logits(self, texts: list[str]) -> np.ndarray:
-        """The mean value over all used grams of each whole text and PAD neutral ones, plus the bias; texts are laid end to end in slices of bounded length."""
+        """The weighted mean value over all grams of each whole text and PAD of neutral ones, plus the bias; texts are laid end to end in slices of bounded length."""
         total, count = np.zeros(len(texts)), np.zeros(len(texts))
+        share = self.weight * self.value
         held: list[tuple[int, bytes]] = []
         size = 0
 
@@ -77,10 +80,9 @@ class Model:
             begins = np.cumsum([0, *(len(t) + 1 for _, t in held)])[:-1]
             who = np.array([i for i, _ in held])
             g, at = grams(b" ".join(t for _, t in held))
-            ok = np.flatnonzero(self.used[g])
-            doc = who[np.searchsorted(begins, at[ok], "right") - 1]
-            np.add(total, np.bincount(doc, self.value[g[ok]], len(texts)), out=total)
-            np.add(count, np.bincount(doc, minlength=len(texts)), out=count)
+            doc = who[np.searchsorted(begins, at, "right") - 1]
+            np.add(total, np.bincount(doc, share[g], len(texts)), out=total)
+            np.add(count, np.bincount(doc, self.weight[g], len(texts)), out=count)
 
         for i, text in enumerate(texts):
             data = fold(text)
@@ -104,64 +106,82 @@ def _cut(data: bytes) -> tuple[bytes, bytes | None]:
     return (data, None) if end < 0 else (data[:end], data[end + 1 :])
 
 
-def train(texts: list[str], toxic: list[int], dim: int = 8, epochs: int = 200, rate: float = 0.05, seed: int = 1) -> Model:
-    """Embeddings and softmax jointly, by Adam, over the texts' means of gram embeddings.
+def gram_weights(present: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A weight above 0 for every gram; present: how many of the n texts of each label have it, a row for each label.
 
-    Only grams that mark toxic texts (LIFT times as likely in them, by a chi-square of CHI2
-    or more) are used: the mean over all would drown a few words in a long text. A
-    misspelling or an unseen ending shares most of its grams, and so vectors, with the word.
+    Close to 1 for grams that mark toxic texts, surely and much more often than
+    others; almost 0 for those as common in both, which would drown the few
+    telling words of a long text.
     """
-    n, y = len(texts), np.array(toxic, float)
+    df, rate = present.sum(0), n[1] / n.sum()
+    spread = df * rate * (1 - rate) * (1 - df / n.sum())
+    chi2 = (present[1] - df * rate) ** 2 / np.maximum(spread, 1e-9)
+    lift = (present[1] + 0.1) * (n[0] + 0.2) / ((present[0] + 0.1) * (n[1] + 0.2))
+    return 1 / ((1 + (CHI2 / np.maximum(chi2, 1e-2)) ** STEEP) * (1 + (LIFT / np.maximum(lift, 1e-2)) ** STEEP))
+
+
+def gradients(emb: np.ndarray, out: np.ndarray, bias: np.ndarray, doc: np.ndarray, gram: np.ndarray, share: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the mean cross-entropy by emb, out and bias; (doc, gram, share): how much of each text's mean each gram is."""
+    n, k = len(truth), len(emb)
+    mean = np.stack([np.bincount(doc, share * emb[gram, j], n) for j in range(emb.shape[1])], 1)
+    z = mean @ out + bias
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    d = (p - truth) / n
+    back = d @ out.T
+    return np.stack([np.bincount(gram, share * back[doc, j], k) for j in range(emb.shape[1])], 1), mean.T @ d, d.sum(0)
+
+
+def train(texts: list[str], toxic: list[int], dim: int = 8, epochs: int = 16, batch: int = 256, rate: float = 0.1, seed: int = 1) -> Model:
+    """Embeddings and softmax jointly, over the texts' weighted means of the embeddings of all their grams.
+
+    Every gram is in the mean, by its weight (gram_weights). Each step takes a
+    batch of texts and moves each number by its gradient over the root of
+    the sum of its squared gradients. A misspelling or an unseen ending shares
+    most of its grams, and so vectors, with the word.
+    """
+    y, n = np.array(toxic, int), len(texts)
     if len(set(toxic)) < 2:  # nothing to tell apart: the rate of what there is
         share = float(np.clip(y.mean(), 0.01, 0.99)) if n else 0.5
-        return Model(np.zeros(BUCKETS), np.zeros(BUCKETS, bool), float(np.log(share / (1 - share))))
-    present = np.zeros((2, BUCKETS))
-    for t, label in zip(texts, toxic, strict=True):
-        present[label] += np.bincount(np.unique(grams(fold(t))[0]), minlength=BUCKETS)
-    df, rate_ = present.sum(0), y.mean()
-    spread = df * rate_ * (1 - rate_) * (1 - df / n)
-    used = (present[1] - df * rate_) ** 2 >= CHI2 * np.maximum(spread, 1e-9)
-    used &= present[1] * (1 - rate_) >= LIFT * present[0] * rate_
-    place = np.cumsum(used) - 1
-    doc, gram, weight = [], [], []
-    for i, t in enumerate(texts):
-        g = grams(fold(t))[0]
-        g, c = np.unique(place[g[used[g]]], return_counts=True)
-        doc.append(np.full(len(g), i))
-        gram.append(g)
-        weight.append(c / (c.sum() + PAD))
-    doc, gram, weight = np.concatenate(doc), np.concatenate(gram), np.concatenate(weight)
-    k = int(used.sum())
+        return Model(np.zeros(BUCKETS), np.zeros(BUCKETS), float(np.log(share / (1 - share))))
+    bags = [np.unique(grams(fold(t))[0].astype(np.int32), return_counts=True) for t in texts]
+    bags = [(g, c.astype(np.float32)) for g, c in bags]
+    present = np.stack([np.bincount(np.concatenate([np.zeros(0, np.int32), *(g for (g, _), label in zip(bags, toxic, strict=True) if label == v)]), minlength=BUCKETS) for v in (0, 1)])
+    weight = gram_weights(present, np.bincount(y, minlength=2))
+    for g, c in bags:  # counts become shares, in place
+        c *= weight[g]
+        c /= c.sum() + PAD
     rng = np.random.default_rng(seed)
-    emb, out, bias = rng.normal(0, 0.1, (k, dim)), rng.normal(0, 0.5, (dim, 2)), np.zeros(2)
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, out, bias)]
-    truth = np.stack([1 - y, y], 1)
-    for step in range(1, epochs + 1):
-        mean = np.stack([np.bincount(doc, weight * emb[gram, j], n) for j in range(dim)], 1)
-        z = mean @ out + bias
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        d = (p - truth) / n
-        back = d @ out.T
-        g_emb = np.stack([np.bincount(gram, weight * back[doc, j], k) for j in range(dim)], 1)
-        grads = (g_emb + 1e-6 * emb, mean.T @ d + 1e-4 * out, d.sum(0))
-        for param, grad, (m, v) in zip((emb, out, bias), grads, state, strict=True):
-            m += 0.1 * (grad - m)
-            v += 0.001 * (grad**2 - v)
-            param -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    value = np.zeros(BUCKETS)
-    value[used] = emb @ (out[:, 1] - out[:, 0])
-    return Model(value, used, float(bias[1] - bias[0]))
+    params = (rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32), rng.normal(0, 0.5, (dim, 2)), np.zeros(2))
+    squares = [np.full_like(p, 1e-6) for p in params]
+    truth = np.eye(2)[y]
+    for _ in range(epochs):
+        order = rng.permutation(n)
+        for s in range(0, n, batch):
+            at = order[s : s + batch]
+            doc = np.repeat(np.arange(len(at)), [len(bags[i][0]) for i in at])
+            gram, share = (np.concatenate([bags[i][k] for i in at]) for k in (0, 1))
+            live = np.flatnonzero(share > 1e-7)
+            own, place = np.unique(gram[live], return_inverse=True)
+            grads = gradients(params[0][own], params[1], params[2], doc[live], place, share[live], truth[at])
+            for param, square, grad, rows in zip(params, squares, grads, (own, slice(None), slice(None)), strict=True):
+                square[rows] += grad**2
+                param[rows] -= rate * grad / np.sqrt(square[rows])
+    emb, out, bias = params
+    return Model(weight, emb @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", max_rows: int = TRAIN_ROWS) -> Model:
-    """Train on at most max_rows labelled rows: whole texts, those with the least hash of doc_id, whatever the size of docs."""
+    """Train on whole texts of at most max_rows labelled ids, those with the least hash, whatever the size of docs.
+
+    An id that repeats in labels is toxic if any of its rows is; one that repeats in docs gives the text with the least hash.
+    """
     told = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
     told = told if may_learn is None else told.where(may_learn)
     # the ids are drawn before any text is read
     told = told.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    rows = id_text(docs, id_col, text_col).join(F.broadcast(told), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic").toPandas()
-    rows = rows.sort_values(["doc_id", "text"])
+    met = id_text(docs, id_col, text_col).join(F.broadcast(told), F.col("doc_id") == F.col("_id"))
+    rows = met.groupBy("doc_id", "_toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).toPandas().sort_values("doc_id")
     return train(rows["text"].tolist(), rows["_toxic"].astype(int).tolist())
 
 
