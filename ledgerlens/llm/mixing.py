@@ -66,12 +66,14 @@ aggregate(_items, {start}, (s, b) -> if(s.left is null, named_struct('left', b,
     'done', concat(s.done, filter(array({a}, {b}), x -> x.p <= 0 or x.p >= 1))))[0])[0]))
 """
 
-#: Rounds what is left of each band, from the largest size down; what a rounding adds or takes is carried to the next.
+#: Rounds what is left of each band, from the largest size down. What a rounding adds or takes is carried to the next, which is
+#: drawn with its own probability and the carried words over its size: so each keeps its expectation, but for those where that
+#: is below 0 or above 1, and for the smallest, which goes to the nearer side.
 _LAST = """
-aggregate(_items, named_struct('carry', 0D, 'done', cast(array() as array<{item}>)), (s, b) ->
-  if(b.p * b.size + s.carry >= b.size / 2D,
-    named_struct('carry', s.carry + (b.p - 1) * b.size, 'done', concat(s.done, array({one}))),
-    named_struct('carry', s.carry + b.p * b.size, 'done', concat(s.done, array({zero})))))
+aggregate(_items, named_struct('carry', 0D, 'i', 1, 'done', cast(array() as array<{item}>)), (s, b) ->
+  if(b.p * b.size + s.carry >= b.size * if(s.i = size(_items), 0.5D, shiftrightunsigned(xxhash64(b.h, {seed}), 11) / 9007199254740992D),
+    named_struct('carry', s.carry + (b.p - 1) * b.size, 'i', s.i + 1, 'done', concat(s.done, array({one}))),
+    named_struct('carry', s.carry + b.p * b.size, 'i', s.i + 1, 'done', concat(s.done, array({zero})))))
 """
 
 
@@ -83,15 +85,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Pairs of documents of a source, of about the same size, shift probability
     (as words) at random until one is integral. That is folded in leaves of some
     LEAF documents, whose remainders meet again in a tree, FAN_BITS hash bits a
-    level, until each source has one remainder a size band; those are rounded
+    level, until each source has one remainder a size band; those are drawn
     from the largest down with the error carried on, so that a source's words
-    end within about a small document of its target. No key gathers its rows:
-    leaves and nodes are bounded, whatever a source's share.
+    end within about a small document of its target. Rows that agree in id and
+    text would meet in every leaf; they are one item, since pairing them with
+    each other leaves one with a fraction at most. So no key gathers its rows:
+    leaves and nodes are bounded, whatever a source's or a row's share.
 
     Draws come from hashes of the documents and the seed: reruns agree. A null
     text has size 0, and sizes of 0 take 0. A null source comes last in order;
-    null ids are allowed; rows that repeat are rounded each for itself. No rows
-    give no rows; other columns are not read.
+    null ids are allowed; of rows that repeat, some are taken once more than the
+    others. No rows give no rows; other columns are not read.
     """
     rows = docs.select(docs[source_col].cast("string").alias("source"), docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     named = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
@@ -106,7 +110,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     done = told.where(sure).select("doc_id", "size", "source_size", "target", (F.col("_base") * F.col("size")).alias("taken"), "h")
 
     fixed = ["_s", "source_size", "target", "_base"]
-    open_ = told.where(~sure)
+    # rows that repeat: of n with the probability p, whole ones are taken or left, and one has what remains of n x p
+    same = told.where(~sure).groupBy(*fixed, "_band", "h", "doc_id", "size", "p").agg(F.count(F.lit(1)).alias("_n"))
+    same = same.withColumn("_up", F.when(F.col("_n") > 1, F.floor(F.round(F.col("_n") * F.col("p"), 9))).otherwise(0))
+    same = materialise(same.withColumn("_p", F.when(F.col("_n") > 1, F.round(F.col("_n") * F.col("p"), 9) - F.col("_up")).otherwise(F.col("p"))), "open-copies")
+    whole = same.where("_n > 1").withColumn("_i", F.explode(F.sequence(F.lit(1), (F.col("_n") - (F.col("_p") > 0).cast("long")).cast("int"))))
+    done = done.unionByName(whole.select("doc_id", "size", "source_size", "target", ((F.col("_base") + (F.col("_i") <= F.col("_up")).cast("long")) * F.col("size")).alias("taken"), "h"))
+    open_ = same.where("_p > 0").select(*fixed, "_band", "h", "doc_id", "size", F.col("_p").alias("p"))
     most = open_.groupBy("_s", "_band").count().agg(F.max("count")).first()[0] or 0
     bits = max(0, (max(1, most // LEAF)).bit_length())
     fold = _FOLD.format(start=_START, pair=_PAIR.format(seed=seed), a=_WITH.format("a", "q.a"), b=_WITH.format("b", "q.b"))
@@ -127,7 +137,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         bits = max(0, bits - FAN_BITS)
     by_size = F.reverse(F.array_sort(F.collect_list(F.struct(F.col("_item.size").alias("s"), "_item"))))
     last = items.groupBy(*fixed).agg(by_size.alias("_items")).withColumn("_items", F.transform("_items", lambda x: x["_item"]))
-    end = _LAST.format(item=_ITEM, one=_WITH.format("b", "1D"), zero=_WITH.format("b", "0D"))
+    end = _LAST.format(item=_ITEM, seed=seed, one=_WITH.format("b", "1D"), zero=_WITH.format("b", "0D"))
     return done.unionByName(emit(last.select(*fixed, F.expr(end).alias("_f"))))
 
 
