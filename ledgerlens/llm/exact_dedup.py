@@ -2,68 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import attach, id_text, table
+from ledgerlens.llm.common import attach, id_text, materialise, table
 
 #: Bits of one filter block: what one bitmap of Spark's bitmap functions holds (4 KB).
 BLOCK_BITS = 32768
 
 
-def possibly_repeated(hashed: DataFrame, n_rows: int, bits_per_row: int = 16, max_blocks: int = 8192) -> DataFrame:
-    """Add `maybe` (boolean) to rows with a column text_sha256: false only where no other row has the same hash.
+def repeated_cells(hashes: DataFrame, n_rows: int, bits_per_row: int = 16, max_blocks: int = 8192) -> tuple[DataFrame, int]:
+    """First pass over a column `hash` (binary): the filter as (_block, _bits), and how many blocks it may have.
 
-    First pass: each hash sets two cells of a blocked Bloom filter; a cell that
-    two rows set goes into a bitmap. Second pass: a row whose two cells are both
-    in the bitmap may be repeated. The bitmaps are broadcast; max_blocks bounds
-    them (8192 x 4 KB = 32 MB), whatever the number of rows. With more rows than
-    that filter serves, more rows are called possibly repeated, never fewer.
+    Each hash sets two cells of a blocked Bloom filter; cells that are set twice go
+    into the block's bitmap. Cells, and not rows, are what is shuffled, once for
+    each task that has them. max_blocks bounds the bitmaps (8192 x 4 KB = 32 MB)
+    whatever the number of rows.
     """
     blocks = 1
     while blocks < max_blocks and blocks * BLOCK_BITS < n_rows * bits_per_row:
         blocks *= 2
-    h = F.xxhash64("text_sha256")
-    cells = hashed.withColumns({
-        "_block": F.pmod(h, F.lit(blocks)).cast("int"),
-        "_p1": F.shiftrightunsigned(h, 34).bitwiseAND(F.lit(BLOCK_BITS - 1)),
-        "_p2": F.shiftrightunsigned(h, 49).bitwiseAND(F.lit(BLOCK_BITS - 1)),
-    })
-    bitmaps = (
-        cells.select("_block", F.explode(F.array("_p1", "_p2")).alias("_p"))
-        .groupBy("_block", "_p").count().where("count > 1")
-        .groupBy("_block").agg(F.bitmap_construct_agg("_p").alias("_bits"))
-    )
+    block, p1, p2 = _cells(blocks)
+    # one long for each cell: its place in the whole filter
+    cells = hashes.select(F.explode(F.array(*[block.cast("long") * BLOCK_BITS + p for p in (p1, p2)])).alias("_cell"))
+    twice = cells.groupBy("_cell").count().where("count > 1")
+    bitmaps = twice.groupBy(F.floor(F.col("_cell") / BLOCK_BITS).cast("int").alias("_block")).agg(F.bitmap_construct_agg(F.pmod("_cell", F.lit(BLOCK_BITS))).alias("_bits"))
+    return materialise(bitmaps, "repeated-cells"), blocks
+
+
+def _cells(blocks: int) -> tuple[Column, Column, Column]:
+    """Block and two cells in it of a column `hash`."""
+    h = F.xxhash64("hash")
+    return F.pmod(h, F.lit(blocks)).cast("int"), F.shiftrightunsigned(h, 34).bitwiseAND(F.lit(BLOCK_BITS - 1)), F.shiftrightunsigned(h, 49).bitwiseAND(F.lit(BLOCK_BITS - 1))
+
+
+def possibly_repeated(rows: DataFrame, bitmaps: DataFrame, blocks: int) -> DataFrame:
+    """Second pass: add `maybe` to rows with a column `hash`: false only where no other row has the same hash.
+
+    The bitmaps are broadcast, since repeated_cells() bounds them. With more rows
+    than that filter serves, more rows are called possibly repeated, never fewer.
+    """
+    block, p1, p2 = _cells(blocks)
+    cells = rows.withColumns({"_at": block, "_p1": p1, "_p2": p2})
 
     def is_set(p: str):
         byte = F.conv(F.hex(F.substring("_bits", (F.col(p) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         return F.pmod(F.floor(byte / F.pow(F.lit(2), F.col(p) % 8)), F.lit(2)) == 1
 
-    return cells.join(F.broadcast(bitmaps), "_block", "left").select(*hashed.columns, F.coalesce(is_set("_p1") & is_set("_p2"), F.lit(False)).alias("maybe"))
+    maybe = F.coalesce(is_set("_p1") & is_set("_p2"), F.lit(False)).alias("maybe")
+    return cells.join(F.broadcast(bitmaps), F.col("_at") == F.col("_block"), "left").select(*rows.columns, maybe)
+
+
+def text_hash(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_blocks: int = 8192) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical (a null text is empty); of equal texts the
-    row with the largest doc_id stays. Rows that the filter clears pass straight
-    through; of the others only (hash, doc_id) is shuffled, counted per task first.
+    row with the largest doc_id stays. Texts are read once, into a table of ids
+    and hashes. Rows that the filter clears pass straight through; of the others
+    only (hash, doc_id) is shuffled, counted per task first.
 
     Null ids rank below all others; a group of null ids only has keep_id null.
     Of rows that repeat both id and text, one is kept. No rows give no rows;
     other columns of docs are not read, so their names cannot clash.
     """
-    n = docs.count()
-    hashed = id_text(docs, id_col, text_col).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
-    tested = possibly_repeated(hashed, n, bits_per_row, max_blocks)
-    single = tested.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    pairs = tested.where("maybe").groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("_copies"))
-    groups = pairs.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("_copies").alias("group_size"))
-    told = attach(pairs, groups, "text_sha256", "group_size", n, ["doc_id"])
+    hashed = materialise(id_text(docs, id_col, text_col).select("doc_id", text_hash(F.col("text")).alias("hash")), "text-hashes")
+    n = hashed.count()
+    tested = possibly_repeated(hashed, *repeated_cells(hashed, n, bits_per_row, max_blocks))
+    single = tested.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "hash")
+    pairs = materialise(tested.where("maybe").groupBy("hash", "doc_id").agg(F.count(F.lit(1)).alias("_copies")), "maybe-repeated")
+    groups = pairs.groupBy("hash").agg(F.max("doc_id").alias("keep_id"), F.sum("_copies").alias("group_size"))
+    told = attach(pairs, groups, "hash", "group_size", n, ["doc_id"])
     repeated = told.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_i") == 1)).alias("kept"), "text_sha256"
+        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_i") == 1)).alias("kept"), "hash"
     )
-    return single.unionByName(repeated)
+    return single.unionByName(repeated).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("hash")).alias("text_sha256"))
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_blocks: int = 8192) -> DataFrame:
@@ -72,9 +88,9 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that the filter clears are not shuffled; each task sends one candidate
     per repeated hash at most, so a hot text never gathers its rows.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256).alias("text_sha256"))
-    tested = possibly_repeated(rows, docs.count(), bits_per_row, max_blocks)
-    best = tested.where("maybe").groupBy("text_sha256").agg(F.max_by("_row", F.coalesce(F.col(f"_row.`{id_col}`").cast("long"), F.lit(-(2**63)))).alias("_row"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text_hash(F.col(f"`{text_col}`")).alias("hash"))
+    tested = possibly_repeated(rows, *repeated_cells(rows.select("hash"), docs.count(), bits_per_row, max_blocks))
+    best = tested.where("maybe").groupBy("hash").agg(F.max_by("_row", F.coalesce(F.col(f"_row.`{id_col}`").cast("long"), F.lit(-(2**63)))).alias("_row"))
     return tested.where(~F.col("maybe")).select("_row.*").unionByName(best.select("_row.*"))
 
 
