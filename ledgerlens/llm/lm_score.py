@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import id_text, materialise, table
 from ledgerlens.llm.decontaminate import mix, word_hashes
 
-ALPHA = 0.4
-#: Words of a chunk, about: what a task counts before it sends anything.
-CHUNK = 1 << 21
-#: Entries that a partition of the count tables should get, about, and bytes of a hash that are sent besides the partition.
-PART_ENTRIES, HASH_BYTES = 1 << 21, 5
+ORDER, ALPHA = 3, 0.4
+#: Words of a chunk, about: what is counted together before any gram is sent.
+CHUNK = 1 << 20
+#: Grams of the chunks that a partition of the count tables should get, about.
+PART_GRAMS = 1 << 22
+#: Bytes of a text that are cut into words at a time.
+SLICE = 1 << 20
 #: A-Z lower-cased; white space [\x20\x09-\x0D] as blanks.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 
@@ -32,40 +34,15 @@ def _grams(words: np.ndarray, doc: np.ndarray, order: int) -> tuple[np.ndarray,
     return h[ok], ok + order - 1
 
 
-def _pack(part: np.ndarray) -> bytes:
-    """The low HASH_BYTES bytes of each hash."""
-    return np.ascontiguousarray(part.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes()
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // HASH_BYTES, 8), np.uint8)
-    out[:, :HASH_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, HASH_BYTES)
-    return out.view("<u8")[:, 0]
-
-
-def _small(x: np.ndarray) -> bytes:
-    """Counts as bytes, with those that don't fit after them: how many small, bytes, then (place, count) pairs."""
-    big = np.flatnonzero(x > 254)
-    return np.minimum(x, 255).astype(np.uint8).tobytes() + big.astype("<u4").tobytes() + x[big].astype("<u8").tobytes()
-
-
-def _large(data: bytes, n: int) -> np.ndarray:
-    x = np.frombuffer(data[:n], np.uint8).astype(np.int64)
-    k = (len(data) - n) // 12
-    x[np.frombuffer(data[n : n + 4 * k], "<u4")] = np.frombuffer(data[n + 4 * k :], "<u8")
-    return x
-
-
-def _split(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Partitions and where each begins among sorted values, whose bits above the sent ones are the partition."""
-    part = (h >> np.uint64(8 * HASH_BYTES)).astype(np.int64)
-    begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(h) else np.zeros(0, np.int64)
-    return part[begins], np.append(begins, len(h))
-
-
-def _cut_hash(h: np.ndarray, bits: int) -> np.ndarray:
-    """As many bits as identify a gram: those of its partition and of what is sent."""
-    return h & np.uint64((1 << min(64, 8 * HASH_BYTES + bits)) - 1)
+def _words(text: str) -> np.ndarray:
+    """The hash of each word, of a slice of the text at a time."""
+    data, at, found = text.encode("utf-8", "surrogatepass").translate(FOLD), 0, []
+    while at < len(data):
+        end = data.find(b" ", at + SLICE)
+        end = len(data) if end < 0 else end
+        found.append(word_hashes(data[at:end])[0])
+        at = end
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
@@ -86,7 +63,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 ids.append(doc_id)
-                held.append(word_hashes(text.as_py().encode("utf-8", "surrogatepass").translate(FOLD))[0])
+                held.append(_words(text.as_py()))
                 size += len(held[-1])
                 if size >= CHUNK or len(held) >= 100_000:
                     yield full()
@@ -103,7 +80,7 @@ def _sequence(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return words, np.repeat(np.arange(len(row["lengths"])), row["lengths"])
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, alpha: float = ALPHA, leave_out: bool = True) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, leave_out: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_words, log_score (the sum of natural logarithms over its words).
 
     S(w | context) = c(context w) / c(context) if that gram is known, else alpha
@@ -113,118 +90,98 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; grams don't reach over documents.
 
     1. Each task turns its documents into chunks of word hashes (a written table).
-    2. Each chunk sends every distinct gram and its count once, sorted, in a packed
-       block for each hash partition; there the blocks are summed into that
-       partition of the count table and each block is answered by the totals
-       of its grams, in its order. A frequent gram is one entry a chunk.
-    3. The answers join their chunk again, and the documents' scores are summed.
-
-    Grams are told apart by the bits of their partition and 40 more: about one in
-    500,000 shares these with another. Null or empty texts have no words and score 0.
-    Null ids and repeated rows are rows like others (a copy vouches for the other). No
-    rows give no rows; other columns are not read.
+    2. Chunks are exploded into rows (gram, chunk, count), one for each gram that a
+       chunk holds, whose 64-bit hash is the key. Partitioned by it, the rows are
+       summed into the count table of all orders and joined with it. A very
+       frequent gram is one row a chunk.
+    3. Counts beyond a chunk's own go back to it, and its documents' scores are summed.
+
+    Partitions grow with the corpus, so that none reads more than about PART_GRAMS
+    rows. Null or empty texts have no words and score 0. Null ids and repeated
+    rows are rows like others (a copy vouches for the other). No rows give no
+    rows; other columns are not read.
     """
     chunks = _chunks(id_text(docs, id_col, text_col))
     total = chunks.select(F.explode("lengths").alias("n")).agg(F.sum("n")).first()[0] or 0
-    bits = max(1, (order * total // PART_ENTRIES).bit_length())
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), order * total // PART_GRAMS)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 words, doc = _sequence(row)
                 for k in range(1, order + 1):
-                    h, n = np.unique(_cut_hash(_grams(words, doc, k)[0], bits), return_counts=True)
-                    parts, begins = _split(h, bits)
-                    cuts = list(zip(begins[:-1], begins[1:], strict=True))
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(parts.astype(np.int64)), pa.array([row["chunk"]] * len(parts), pa.int64()), pa.array([k] * len(parts), pa.int32()),
-                        pa.array([_pack(h[i:j]) for i, j in cuts], pa.binary()), pa.array([_small(n[i:j]) for i, j in cuts], pa.binary()),
-                    ], ["part", "chunk", "k", "grams", "counts"])
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-
-        def full() -> pa.RecordBatch:
-            h = [_unpack(r["grams"]) for r in held]
-            n = np.concatenate([_large(r["counts"], len(x)) for r, x in zip(held, h, strict=True)])
-            _, at = np.unique(np.concatenate(h), return_inverse=True)
-            sums = np.bincount(at, n)[at].astype(np.int64)
-            ends = np.cumsum([len(x) for x in h])
-            return pa.RecordBatch.from_arrays([
-                pa.array([r["chunk"] for r in held], pa.int64()), pa.array([r["k"] for r in held], pa.int32()), pa.array([r["part"] for r in held], pa.int64()),
-                pa.array([len(x) for x in h], pa.int64()), pa.array([_small(sums[e - len(x) : e]) for x, e in zip(h, ends, strict=True)], pa.binary()),
-            ], ["chunk", "k", "part", "n", "totals"])
-
-        for b in batches:
-            for row in b.to_pylist():
-                if held and (row["part"], row["k"]) != (held[-1]["part"], held[-1]["k"]):
-                    yield full()
-                    held = []
-                held.append(row)
-        if held:
-            yield full()
-
-    asked = chunks.mapInArrow(ask, "part long, chunk long, k int, grams binary, counts binary")
-    answered = asked.repartition("part", "k").sortWithinPartitions("part", "k").mapInArrow(answer, "chunk long, k int, part long, n long, totals binary")
-    answers = materialise(answered, "gram-totals", compression="zstd")
-    answers = answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("k", "part", "n", "totals"))).alias("answers"))
-    met = chunks.join(answers, "chunk", "left")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                row = {c: b.column(c)[i].as_py() for c in b.schema.names}
-                words, doc = _sequence(row)
-                lengths = np.array(row["lengths"], np.int64)
-                rest = np.maximum(1, total - lengths * leave_out)
-                best = np.zeros(len(words))
-                seen = np.zeros(len(words), np.int64)  # count elsewhere of the gram one shorter that ends at each word
-                for k in range(1, order + 1):
-                    h, at = _grams(words, doc, k)
-                    h = _cut_hash(h, bits)
-                    known, where = np.unique(h, return_inverse=True)
-                    totals = np.concatenate([np.zeros(0, np.int64), *(_large(a["totals"], a["n"]) for a in row["answers"] or [] if a["k"] == k)])
-                    c = totals[where] if len(known) else np.zeros(0, np.int64)
-                    if leave_out and len(h):
-                        _, pair, own = np.unique(doc[at] * len(known) + where, return_inverse=True, return_counts=True)
-                        c = c - own[pair]
-                    if k == 1:
-                        unknown = np.log(1 / (rest + 1.0))[doc[at]]
-                        best[at] = np.where(c > 0, np.log(np.maximum(c, 1)) - np.log(rest)[doc[at]], unknown)
-                    else:
-                        context = seen[at - 1]  # counts of the (k - 1)-gram before the word
-                        best[at] = np.where(c > 0, np.log(np.maximum(c, 1)) - np.log(np.maximum(context, 1)), np.log(alpha) + best[at])
-                    seen = np.zeros(len(words), np.int64)
-                    seen[at] = c
-                sums = np.bincount(doc, best, len(lengths)) if len(words) else np.zeros(len(lengths))
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(lengths), pa.array(sums)], ["doc_id", "n_words", "log_score"])
-
-    return met.mapInArrow(score, "doc_id long, n_words long, log_score double")
+                    g, n = np.unique(_grams(words, doc, k)[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(g), row["chunk"])), pa.array(n.astype(np.int32))], ["gram", "chunk", "n"])
+
+    rows = chunks.mapInArrow(explode, "gram long, chunk long, n int").repartition(parts, "gram")
+    counts = rows.groupBy("gram").agg(F.sum("n").alias("total"))
+    beyond = rows.join(counts, "gram").where("total > n").select("chunk", "gram", "total")
+
+    def score(own: pa.Table, told: pa.Table) -> pa.Table:
+        row = {c: own.column(c)[0].as_py() for c in own.column_names}
+        words, doc = _sequence(row)
+        lengths = np.array(row["lengths"], np.int64)
+        rest = np.maximum(1, total - lengths * leave_out)
+        gram, count = (told.column(c).to_numpy() for c in ("gram", "total"))
+        by_gram = np.argsort(gram := gram.view(np.uint64))
+        gram, count = np.append(gram[by_gram], np.uint64(0)), np.append(count[by_gram], 0)
+        best = np.zeros(len(words))
+        seen = np.zeros(len(words), np.int64)  # count elsewhere of the gram one shorter that ends at each word
+        for k in range(1, order + 1):
+            h, at = _grams(words, doc, k)
+            known, where, totals = np.unique(h, return_inverse=True, return_counts=True)
+            place = np.searchsorted(gram[:-1], known)
+            totals = np.where((gram[place] == known) & (count[place] > 0), count[place], totals)
+            c = totals[where]
+            if leave_out and len(h):
+                _, pair, own_n = np.unique(doc[at] * len(known) + where, return_inverse=True, return_counts=True)
+                c = c - own_n[pair]
+            if k == 1:
+                unknown = np.log(1 / (rest + 1.0))[doc[at]]
+                best[at] = np.where(c > 0, np.log(np.maximum(c, 1)) - np.log(rest)[doc[at]], unknown)
+            else:
+                context = seen[at - 1]  # counts of the (k - 1)-gram before the word
+                best[at] = np.where(c > 0, np.log(np.maximum(c, 1)) - np.log(np.maximum(context, 1)), np.log(alpha) + best[at])
+            seen = np.zeros(len(words), np.int64)
+            seen[at] = c
+        sums = np.bincount(doc, best, len(lengths)) if len(words) else np.zeros(len(lengths))
+        return pa.table([pa.array(row["doc_ids"], pa.int64()), pa.array(lengths), pa.array(sums)], ["doc_id", "n_words", "log_score"])
+
+    return chunks.groupBy("chunk").cogroup(beyond.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, log_score double")
 
 
 def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(table(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("log_score", 5).alias("log_score"))
+    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(0.0)
+    return lm_scores(table(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("log_score", 5).alias("log_score"), F.round(mean, 5).alias("mean_log_score"))
 
 
 ORACLE = r"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id,
                   list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
      p AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t),
-     b AS (SELECT r, i, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS v FROM p),
+     b AS (SELECT r, i, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS v, lag(w, 2) OVER (PARTITION BY r ORDER BY i) AS u FROM p),
      d1 AS (SELECT r, w, count(*) AS n FROM p GROUP BY r, w),
      c1 AS (SELECT w, sum(n) AS n FROM d1 GROUP BY w),
      d2 AS (SELECT r, v, w, count(*) AS n FROM b WHERE v IS NOT NULL GROUP BY r, v, w),
      c2 AS (SELECT v, w, sum(n) AS n FROM d2 GROUP BY v, w),
+     d3 AS (SELECT r, u, v, w, count(*) AS n FROM b WHERE u IS NOT NULL GROUP BY r, u, v, w),
+     c3 AS (SELECT u, v, w, sum(n) AS n FROM d3 GROUP BY u, v, w),
      l AS (SELECT r, count(*) AS n FROM p GROUP BY r),
-     s AS (SELECT b.r, c1.n - d1.n AS n1, coalesce(c2.n - d2.n, 0) AS n2, cv.n - dv.n AS nv,
-                  greatest(1, (SELECT count(*) FROM p) - l.n) AS rest
+     s AS (SELECT b.r, b.u, b.v, c1.n - d1.n AS n1, coalesce(c2.n - d2.n, 0) AS n2, coalesce(c3.n - d3.n, 0) AS n3,
+                  cv.n - dv.n AS nv, cuv.n - duv.n AS nuv, greatest(1, (SELECT count(*) FROM p) - l.n) AS rest
            FROM b JOIN l USING (r) JOIN d1 USING (r, w) JOIN c1 USING (w)
            LEFT JOIN d2 ON d2.r = b.r AND d2.v = b.v AND d2.w = b.w
            LEFT JOIN c2 ON c2.v = b.v AND c2.w = b.w
+           LEFT JOIN d3 ON d3.r = b.r AND d3.u = b.u AND d3.v = b.v AND d3.w = b.w
+           LEFT JOIN c3 ON c3.u = b.u AND c3.v = b.v AND c3.w = b.w
+           LEFT JOIN d2 duv ON duv.r = b.r AND duv.v = b.u AND duv.w = b.v LEFT JOIN c2 cuv ON cuv.v = b.u AND cuv.w = b.v
            LEFT JOIN d1 dv ON dv.r = b.r AND dv.w = b.v LEFT JOIN c1 cv ON cv.w = b.v),
-     x AS (SELECT r, sum(CASE WHEN n2 > 0 THEN ln(n2 / nv) ELSE
-                  CASE WHEN nv IS NULL THEN 0 ELSE ln(0.4) END + CASE WHEN n1 > 0 THEN ln(n1 / rest) ELSE ln(1 / (rest + 1)) END END) AS log_score
+     x AS (SELECT r, sum(CASE WHEN n3 > 0 THEN ln(n3 / nuv) ELSE
+                  CASE WHEN u IS NULL THEN 0 ELSE ln(0.4) END +
+                  CASE WHEN n2 > 0 THEN ln(n2 / nv) ELSE
+                    CASE WHEN v IS NULL THEN 0 ELSE ln(0.4) END + CASE WHEN n1 > 0 THEN ln(n1 / rest) ELSE ln(1 / (rest + 1)) END END END) AS log_score
            FROM s GROUP BY r)
-SELECT t.doc_id, CAST(len(t.ws) AS BIGINT) AS n_words, round(coalesce(x.log_score, 0), 5) AS log_score
+SELECT t.doc_id, CAST(len(t.ws) AS BIGINT) AS n_words, round(coalesce(x.log_score, 0), 5) AS log_score,
+       round(CASE WHEN len(t.ws) > 0 THEN x.log_score / len(t.ws) ELSE 0 END, 5) AS mean_log_score
 FROM t LEFT JOIN x USING (r)
 """
