@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import materialise
+from ledgerlens.llm.common import attach, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -13,6 +13,11 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def _joined_least(rows: DataFrame, least: DataFrame, n_rows: int) -> DataFrame:
+    """(v, m): rows (u, v) with the least neighbour m of their u; the centre of a large star doesn't gather its rows."""
+    return attach(rows, least, "u", "_n", n_rows, ["v"]).select("v", "m")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(u, v) longs, each an undirected link -> (node, root), root the least node of its component.
 
@@ -25,11 +30,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     state = _state(edges)
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialise(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("_n"))
+        # of each link, the smaller end's least neighbour: the larger end comes to it
+        large = _joined_least(edges.select(F.col("v").alias("u"), F.col("u").alias("v")), least, 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialise(large.where("u <> v").distinct(), "large-star")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
+        small = _joined_least(large, least, large.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = materialise(small.where("u <> v").distinct(), "small-star")
         before, state = state, _state(edges)
         if state == before:

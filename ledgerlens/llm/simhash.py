@@ -19,6 +19,8 @@ from ledgerlens.llm.graph import components
 SEED = 42
 #: Shingles hashed at a time, and rows of bands compared at a time in a task.
 SLICE, CHUNK = 1 << 15, 400_000
+#: Set values of a block of a candidate group, about, and columns of the matrices by which two blocks are compared.
+BLOCK, COLUMNS = 1 << 16, 4096
 #: Odd constants that derive further hash words from the first.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
@@ -264,89 +266,109 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return attach(rows, groups, "node", "_size", own.count(), ["doc_id"]).select("doc_id", "fingerprint", "component_id")
 
 
-def open_pairs(nodes: DataFrame, bands: list[list[int]], words: int, radius: int, similarity: float) -> DataFrame:
-    """(u, v): every pair within the radius that shares a band's value, lies in two components and has sizes that allow the similarity, once.
-
-    nodes: node, n (size of its set), comp, f0, f1, ...
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each set on the left has in common with each on the right, as products of 0/1 matrices of COLUMNS columns."""
+    row = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    cut = len(row[0])
+    _, col, held = np.unique(np.concatenate([*left, *right, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    place = np.cumsum(held > 1) - 1  # values in one set only are in no pair
+    out = np.zeros((len(left), len(right)), np.float32)
+    ok = held[col] > 1
+    sides = [(row[0][ok[:cut]], place[col[:cut][ok[:cut]]]), (row[1][ok[cut:]], place[col[cut:][ok[cut:]]])]
+    for first in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        x, y = (np.zeros((len(n), COLUMNS), np.float32) for n in (left, right))
+        for m, (r, c) in zip((x, y), sides, strict=True):
+            own = (c >= first) & (c < first + COLUMNS)
+            m[r[own], c[own] - first] = 1
+        out += x @ y.T
+    return out.astype(np.int64)
+
+
+def similar_links(nodes: np.ndarray, sets: list[np.ndarray], right: np.ndarray, share: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """(node, node) links that span the pairs of sets with a Jaccard similarity of `share` or more: pairs of
+    a row on the left and one on the right, or any two rows if all are on the left."""
+    if len(nodes) < 2:
+        return nodes[:0], nodes[:0]
+    a = np.flatnonzero(~right)
+    b = np.flatnonzero(right) if right.any() else a
+    n = np.array([len(s) for s in sets])
+    both = common_counts([sets[i] for i in a], [sets[i] for i in b])
+    u, v = np.nonzero(both * share.denominator >= (n[a][:, None] + n[b][None, :] - both) * share.numerator)
+    forest = Forest(len(nodes))
+    forest.link(a[u], b[v])
+    moved = np.flatnonzero(forest.root != np.arange(len(nodes)))
+    return nodes[moved], nodes[forest.root[moved]]
+
+
+def checked_links(texts: DataFrame, members: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(u, v): links that span, in each candidate group, the pairs of texts that are similar by their sets of shingles.
+
+    texts: doc_id, text; members: node, root (its group), n (size of its set),
+    doc_id (of a text with that set). A group is cut into blocks of about BLOCK
+    set values, and each pair of blocks is a task's work of its own: sets travel to block
+    pairs, never a row for each pair of texts.
     """
-    f = [f"f{w}" for w in range(words)]
-    masks = np.array([_masks(band, words) for band in bands], np.int64).view(np.uint64)
-    share = Fraction(str(similarity))
-    keys = [F.struct(F.lit(j).alias("band"), F.xxhash64(F.lit(j), *[F.col(c).bitwiseAND(F.lit(m)) for c, m in zip(f, _masks(band, words), strict=True)]).alias("key")) for j, band in enumerate(bands)]
-    rows = nodes.select("node", "n", "comp", *f, F.explode(F.array(*keys)).alias("k")).select("node", "n", "comp", *f, "k.band", "k.key").repartition("key").sortWithinPartitions("key")
-
-    def pairs(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        x = np.stack([c[name] for name in f], 1).view(np.uint64)
-        i, d, found, size = np.arange(len(x)), 0, [], 0
-        while len(i):  # pairs that are d rows apart
-            d += 1
-            i = i[i + d < len(x)]
-            i = i[c["key"][i] == c["key"][i + d]]
-            a = i[c["comp"][i] != c["comp"][i + d]]
-            small, large = np.minimum(c["n"][a], c["n"][a + d]), np.maximum(c["n"][a], c["n"][a + d])
-            a = a[small * share.denominator >= large * share.numerator]
-            apart = x[a] ^ x[a + d]
-            near = np.bitwise_count(apart).sum(1, dtype=np.int64) <= radius
-            a, apart = a[near], apart[near]
-            first = np.ones(len(a), bool)  # no band before this one is shared
-            for j in range(len(masks) - 1):
-                first &= (c["band"][a] <= j) | ((apart & masks[j]) != 0).any(1)
-            a = a[first]
-            found.append((c["node"][a], c["node"][a + d]))
-            size += len(a)
-            if size > CHUNK or not len(i):
-                u, v = (np.concatenate(y) for y in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-                found, size = [], 0
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("_size"), F.sum("n").alias("_values"))
+    told = attach(members, sizes, "root", "_size", members.count(), ["node"])
+    told = told.withColumn("_blocks", F.ceil(F.col("_values") / BLOCK).cast("int"))
+    told = told.select("node", "root", "_blocks", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int").alias("_own"), F.col("doc_id").alias("_rep"))
+    held = texts.join(told, F.col("doc_id") == F.col("_rep")).select("node", "root", "_blocks", "_own", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        join = lambda: {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            held.append({c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names})
-            if sum(len(h["key"]) for h in held) >= CHUNK:  # all but the last key, which may go on
-                whole = join()
-                cut = int(np.searchsorted(whole["key"], whole["key"][-1]))
-                held = [{c: v[cut:] for c, v in whole.items()}]
-                if cut:
-                    yield from pairs({c: v[:cut] for c, v in whole.items()})
-        if held:
-            yield from pairs(join())
+            found = [shingle_set(t.as_py(), shingle).astype("<u8").tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "root", "_blocks", "_own")), pa.array(found, pa.binary())], ["node", "root", "_blocks", "_own", "grams"])
 
-    return rows.mapInArrow(run, "u long, v long")
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
+    rows = held.mapInArrow(sets, "node long, root long, _blocks int, _own int, grams binary").select("node", "root", "_own", "grams", other)
+    rows = rows.select("root", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), (F.col("_own") > F.col("_other")).alias("right"), "node", "grams")
+    share = Fraction(str(similarity))
+    key = ("root", "i", "j")
 
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        u, v, size = [], [], 0
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The (u, v) whose sets (node, grams) have a Jaccard similarity of `similarity` or more."""
-    share = Fraction(str(similarity))
-    sides = [sets.select(F.col("node").alias(c), F.col("grams").alias(f"{c}_grams")) for c in ("u", "v")]
+        def work() -> None:
+            nodes = np.array([r[3] for r in held], np.int64)
+            for out, x in zip((u, v), similar_links(nodes, [np.frombuffer(r[5], "<u8") for r in held], np.array([r[4] for r in held], bool), share), strict=True):
+                out.append(x)
+
+        def full() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (u, v)], ["u", "v"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column("u_grams"), b.column("v_grams"), strict=True)):
-                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok[i] = both * share.denominator >= (len(x) + len(y) - both) * share.numerator
-            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(ok))
+            for row in zip(*(b.column(c).to_pylist() for c in (*key, "node", "right", "grams")), strict=True):
+                if held and row[:3] != held[0][:3]:
+                    work()
+                    size += len(held)
+                    held = []
+                held.append(row)
+            if size > CHUNK:
+                yield full()
+                u, v, size = [], [], 0
+        if held:
+            work()
+        yield full()
 
-    return pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "u_grams", "v_grams").mapInArrow(run, "u long, v long")
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(check, "u long, v long")
 
 
-def similar_groups(docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 64, words: int = 4, bands: list[list[int]] | None = None) -> DataFrame:
-    """One row per row of docs: doc_id and component_id, the least doc_id reachable by pairs of texts that are similar.
+def similar_groups(docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 58, words: int = 4, bands: list[list[int]] | None = None) -> DataFrame:
+    """One row per row of docs: doc_id (unique, not null) and component_id, the least doc_id reachable by pairs of texts that are similar.
 
     Two texts are similar if their shingle sets (64-bit hashes) have a Jaccard
-    similarity of `similarity` or more. Equal sets are one class. SimHash only
-    proposes: fingerprints of the sets within the radius that share a band. Links
-    that span the proposals of a task are checked first, set against set; then
-    all other proposals between the components that these leave.
+    similarity of `similarity` or more. Equal sets are one class. SimHash
+    proposes: classes whose fingerprints link, directly or by others, are a
+    candidate group. In it every pair is checked, set against set.
+
+    The fingerprints of texts at 0.8 differ in 39 of 256 bits, with a standard
+    deviation of 6; a pair is missed only if no chain of links within the
+    radius that share one of the bands joins it.
     """
     bands = bands or sampled_bands(64 * words, 13, 64)
     f = [f"f{w}" for w in range(words)]
-    texts = id_text(docs, id_col, text_col).withColumn("t", F.xxhash64("text"))
+    texts = id_text(docs, id_col, text_col)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -355,54 +377,38 @@ def similar_groups(docs: DataFrame, similarity: float, id_col: str = "doc_id", t
                 grams = shingle_set(text.as_py(), shingle)
                 node[i], n[i] = xxhash.xxh64_intdigest(grams.tobytes(), SEED), len(grams)
                 x[i] = np.packbits(_ones(grams, words) * 2 > len(grams)).view(">u8")
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), pa.array(node.view(np.int64)), pa.array(n), *(pa.array(x[:, w].view(np.int64)) for w in range(words))], ["doc_id", "t", "node", "n", *f])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node.view(np.int64)), pa.array(n), *(pa.array(x[:, w].view(np.int64)) for w in range(words))], ["doc_id", "node", "n", *f])
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shingle_set(t.as_py(), shingle).astype("<u8").tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(found, pa.binary())], ["node", "grams"])
-
-    own = materialise(texts.mapInArrow(prints, "doc_id long, t long, node long, n long, " + ", ".join(f"{c} long" for c in f)), "set-fingerprints")
-    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias("_one")  # a row that holds the set
-    classes = materialise(own.groupBy("node").agg(*[F.min(c).alias(c) for c in ("n", *f)], F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_size"), one), "set-classes")
-    proposed = links(classes.where("n > 0").select("node", *f), bands, words, radius)
-    proposed = materialise(proposed.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "proposed")
-    touched = classes.join(proposed.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi")
-    held = touched.select("node", F.col("_one.doc_id").alias("_id"), F.col("_one.t").alias("_t"))
-    held = texts.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).select("node", "text")
-    sets = materialise(held.mapInArrow(grams, "node long, grams binary").dropDuplicates(["node"]), "candidate-sets")
-    linked = materialise(similar_pairs(proposed, sets, similarity), "similar")
-    parts = components(linked)
-    rest = touched.join(parts, "node", "left").select("node", "n", F.coalesce("root", "node").alias("comp"), *f)
-    more = materialise(similar_pairs(open_pairs(rest, bands, words, radius, similarity), sets, similarity), "similar-rest")
-    roots = components(linked.unionByName(more))
+    own = materialise(texts.mapInArrow(prints, "doc_id long, node long, n long, " + ", ".join(f"{c} long" for c in f)), "set-fingerprints")
+    classes = materialise(own.groupBy("node").agg(*[F.min(c).alias(c) for c in ("n", *f)], F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_size")), "set-classes")
+    proposed = components(links(classes.where("n > 0").select("node", *f), bands, words, radius))
+    members = materialise(classes.join(proposed, "node").select("node", "root", "n", F.col("_least").alias("doc_id")), "candidates")
+    roots = components(checked_links(texts, members, similarity, shingle))
     met = roots.join(classes.select("node", "_least"), "node")
     named = met.join(met.groupBy("root").agg(F.min("_least").alias("_named")), "root").select("node", "_named")
     groups = classes.join(named, "node", "left").select("node", "_size", F.coalesce("_named", "_least").alias("component_id"))
     return attach(own.select("doc_id", "node"), groups, "node", "_size", own.count(), ["doc_id"]).select("doc_id", "component_id")
 
 
-#: For texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
-#: more: their 256-bit fingerprints differ in 39 bits on average, with a standard
-#: deviation of 6. 40 bands of 13 bits meet 99 % of pairs at 0.8, more above.
-NEAR = {"shingle": 5, "words": 4, "radius": 48, "bands": sampled_bands(256, 13, 40)}
-
-
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **how) -> DataFrame:
-    """The rows of docs, all columns, that are the first of their near-duplicate component.
-
-    With a similarity, as in the pipeline, components are of texts that are that
-    similar by their sets of shingles; else of fingerprints within a radius (NEAR).
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, **how) -> DataFrame:
+    """The rows of docs, all columns, without those that are similar to another and not the first of their component (similar_groups).
 
-    Rows with a null id stay, since none can stand for them; of rows that repeat an id, one stays.
+    Rows are told apart by a hash of id and text: a row with a null id, or one that
+    repeats an id with another text, goes or stays by its own text. Of rows that
+    agree in both, one stays. The one that stays of a component has its least id
+    (null last), and of several with that id the least hash.
     """
-    if similarity is None:
-        found = near_duplicates(docs, id_col, text_col, **(NEAR | how))
-    else:
-        found = similar_groups(docs, similarity, id_col, text_col, **how)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
-    named = docs.join(first, docs[id_col].cast("long") == first["_first"], "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(docs[id_col].isNull()))
+    key = F.xxhash64(docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), docs[id_col].cast("long").alias("_id"), key.alias("_key"), docs[text_col].alias("text"))
+    rows = keyed.select(F.col("_key").alias("doc_id"), "text")
+    found = similar_groups(rows, similarity, **how)
+    groups = materialise(found.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group")).distinct(), "near-groups")
+    several = groups.join(groups.groupBy("_group").count().where("count > 1"), "_group", "left_semi")
+    named = several.join(keyed.select("_key", "_id").distinct(), "_key")
+    first = named.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_key"))["_key"].alias("_first"))
+    gone = materialise(several.select("_key").join(first.select(F.col("_first").alias("_key")), "_key", "left_anti"), "near-copies")
+    # rows that repeat are combined by each task before they are shuffled, and the join reuses that shuffle
+    return keyed.groupBy("_key").agg(F.first("_row").alias("_row")).join(gone, "_key", "left_anti").select("_row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

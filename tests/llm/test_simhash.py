@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from ledgerlens.llm import simhash
+from ledgerlens.llm import common, simhash
 from ledgerlens.llm.graph import components
 from ledgerlens.llm.simhash import exact_bands, fingerprint, keep_one_of_each, link_bands, near_duplicates
 from tests.llm.cases import ODD, clashing, docs, rows
@@ -133,10 +133,28 @@ def test_wide_fingerprints_find_texts_at_similarity_08(spark):
     assert sum(i in kept for i in range(1, 240, 2)) <= 0.1 * pairs
 
 
+def test_rows_go_by_their_own_text(spark):
+    """Ids that repeat with other texts, and null ids: only near copies and repeated rows go."""
+    rng = random.Random(6)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(100))
+    a, b, c, d = text(), text(), text(), text()
+    near = lambda t: t.replace(t.split()[50], "other")
+    table = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, near(b), "en", "s", 1), (None, c, "en", "s", 1), (None, near(c), "en", "s", 1), (None, near(a), "en", "s", 1), (4, d, "en", "s", 1), (4, d, "fr", "s", 2)]
+    kept = keep_one_of_each(docs(spark, table)).collect()
+    assert sorted((r.doc_id or 0, r.text in (a, b, d)) for r in kept) == [(0, False), (1, True), (1, True), (4, True)]
+
+
+def test_centre_of_a_star_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(common, "MAX_HOT_GROUPS", 3)
+    star = spark.range(1, 900).selectExpr("cast(0 as long) u", "id v").unionByName(spark.range(900, 1000).selectExpr("id u", "id + 1000 v"))
+    found = {r.node: r.root for r in components(star).collect()}
+    assert found == {**dict.fromkeys(range(900), 0), **{i + d: i for i in range(900, 1000) for d in (0, 1000)}}
+
+
 def test_rows_without_id_stay(spark):
     kept = keep_one_of_each(docs(spark))
     assert kept.columns == docs(spark).columns
-    assert sum(r.doc_id is None for r in kept.collect()) == 2
+    assert [r.text for r in kept.collect() if r.doc_id is None] == [ODD[7][1]]  # the empty one is like that of id 3
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 7, 8, 9]
 
 
@@ -174,9 +192,36 @@ def test_pipeline_stage_is_brute_force_on_both_sides_of_08(spark):
     assert found == kept
 
 
+def test_blocks_of_a_dense_group_lose_no_link(spark, monkeypatch):
+    """A chain of texts, each similar to the next only, among others that are not; more blocks than one."""
+    monkeypatch.setattr(simhash, "BLOCK", 700)
+    monkeypatch.setattr(simhash, "COLUMNS", 64)
+    rng = random.Random(4)
+    words, table = [f"w{i}" for i in range(100)], []
+    for i in range(40):
+        if i:
+            words[rng.randrange(100)] = f"x{i}"
+            if i % 10 == 0:  # a break: less than 0.8
+                for at in range(0, 100, 12):
+                    words[at] = f"y{i}-{at}"
+        table.append((i, " ".join(words), "en", "s", 1))
+    kept, pairs = brute_similar(table)
+    assert len(pairs) > 40 and len(kept) >= 4
+    assert {r.doc_id for r in keep_one_of_each(docs(spark, table)).collect()} == kept
+
+
+def test_common_counts_are_those_of_sets(monkeypatch):
+    monkeypatch.setattr(simhash, "COLUMNS", 7)
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 5, 30, 30, 200)]
+    want = [[len(set(x.tolist()) & set(y.tolist())) for y in sets[2:]] for x in sets]
+    assert simhash.common_counts(sets, sets[2:]).tolist() == want
+    assert simhash.common_counts([sets[0]], [sets[0]]).tolist() == [[0]]
+
+
 def test_similarity_takes_odd_rows(spark):
     kept = corpus_pipeline.drop_near_copies(spark, clashing(docs(spark)), "")
     assert kept.columns == clashing(docs(spark)).columns
-    assert sum(r.doc_id is None for r in kept.collect()) == 2
+    assert [r.text for r in kept.collect() if r.doc_id is None] == [ODD[7][1]]  # the empty one is like that of id 3
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 7, 8, 9]
     assert corpus_pipeline.drop_near_copies(spark, docs(spark, []), "").count() == 0
