@@ -1,4 +1,9 @@
-"""A training corpus from documents, in five stages."""
+"""A training corpus from documents, in five stages.
+
+Every stage takes rows as they are: a null text is empty, ids may be null or
+repeat, tables may be empty and have more columns, of any name. What goes or
+stays is decided for each row by its text, not by its id.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +14,27 @@ from ledgerlens.llm.common import materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity of 0.7 or more go."""
+    """Documents with a toxicity of 0.7 or more go. Without labels of both kinds none does, unless most are toxic."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose sets of five-word shingles are similar to 0.8 or more, the one with the least id stays."""
+    """Of documents whose sets of five-word shingles are similar to 0.8 or more, the one with the least id stays; texts without words are alike."""
     return simhash.keep_one_of_each(docs, similarity=0.8)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark, up to substituted words, go."""
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), any_stretch=True)
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of the sources takes it."""
+    """Each document as often as the mix of the sources takes it; documents without words aren't taken, a null source is one of its own."""
     return mixing.mixed_documents(docs)
 
 
 def write_token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in wavelet-matrix shards, and what reading them back gives for each document."""
+    """Token ids in wavelet-matrix shards, and what reading them back gives for each document, copies included."""
     return wavelet.token_shards(docs)
 
 
