@@ -125,14 +125,18 @@ def name_filter(rows: DataFrame, text: str) -> DataFrame:
     return rows.where(holds(F.upper("org_name").contains(text.upper())))
 
 
-def auc(scored: DataFrame, score: str = "prediction", label: str = "label") -> DataFrame:
+def auc(scored: DataFrame, score: str = "prediction", label: str = "label", parts: int = 256) -> DataFrame:
     """auc, the chance that a positive scores above a negative, ties counting half; null without both classes.
 
-    Scores are counted by value first, and only the distinct values are ranked.
+    Scores are counted by value first. The values are cut into `parts` ranges, whose
+    sums are few; ranks within a range need that range only, so no task has all values.
     """
     counts = scored.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("_s")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counts.withColumn("_w", F.col("_p") * (below + F.col("_n") / 2))
+    cuts = counts.agg(F.percentile_approx("_s", [i / parts for i in range(1, parts)], 100 * parts).alias("_cuts"))
+    ranged = counts.join(F.broadcast(cuts), how="cross").withColumn("_part", F.size(F.filter("_cuts", lambda x: x <= F.col("_s"))))
+    sums = ranged.groupBy("_part").agg(F.sum("_n").alias("_n_part")).withColumn("_before", F.coalesce(F.sum("_n_part").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    won = ranged.withColumn("_within", within).join(F.broadcast(sums.select("_part", "_before")), "_part").withColumn("_w", F.col("_p") * (F.col("_before") + F.col("_within") + F.col("_n") / 2))
     return won.agg(F.try_divide(F.sum("_w"), F.sum("_p") * F.sum("_n")).alias("auc"))
 
 
@@ -157,35 +161,62 @@ def model_data(data: DataFrame, folds: int = 5) -> DataFrame:
     rows = data.where("gw_frozen is not null and our_outlay_ratio is not null and our_elapsed_ratio is not null")
     rows = rows.withColumn("days_since_txn", F.coalesce(F.col("days_since_last_transaction").cast("double"), F.lit(365.0)))
     rows = rows.withColumns({f"activity_{x}": (F.col("activity_code_group") == x).cast("double") for x in "RTFK"})
-    return rows.select("gw_award_id", F.col("gw_frozen").cast("int").alias("label"), *MODEL_FEATURES, F.pmod(F.xxhash64("gw_award_id", F.lit(42)), F.lit(folds)).cast("int").alias("fold"))
+    fold = F.pmod(F.conv(F.substring(F.md5(F.concat(F.col("gw_award_id"), F.lit(":42"))), 1, 8), 16, 10).cast("long"), F.lit(folds))
+    return rows.select("gw_award_id", F.col("gw_frozen").cast("int").alias("label"), *MODEL_FEATURES, fold.cast("int").alias("fold"))
 
 
 def _glm() -> GeneralizedLinearRegression:
     return GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="features", labelCol="label")
 
 
-def classifier(data: DataFrame, folds: int = 5, least: int = 50) -> dict[str, DataFrame] | None:
-    """Logistic regression: cross-validated predictions, coefficients by p-value, F1 by threshold. None below `least` rows.
+def _assembled(data: DataFrame, folds: int, least: int) -> tuple[DataFrame, list[str]]:
+    """Rows with their feature vector, held in memory while models are fitted, and the features that vary; none below `least` rows."""
+    rows = model_data(data, folds).persist()
+    spread = rows.agg(F.count(F.lit(1)).alias("n"), *[(F.max(f) > F.min(f)).alias(f) for f in MODEL_FEATURES]).first()
+    used = [f for f in MODEL_FEATURES if spread[f]] if spread.n >= least else []
+    return rows, used
+
 
-    Features that never vary are left out; their coefficients are null.
+def coefficients(data: DataFrame, least: int = 50) -> DataFrame:
+    """Logistic regression on all rows: feature, coefficient, std_error, z_value, p_value, by p-value.
+
+    Features that never vary are left out; their coefficients are null, as all are below `least` rows.
     """
-    rows = model_data(data, folds).cache()
-    spread = rows.agg(F.count(F.lit(1)).alias("n"), *[(F.max(f) > F.min(f)).alias(f) for f in MODEL_FEATURES]).first()
-    if spread.n < least:
-        return None
-    used = [f for f in MODEL_FEATURES if spread[f]]
-    rows = VectorAssembler(inputCols=used, outputCol="features").transform(rows)
-    parts = [_glm().fit(rows.where(F.col("fold") != i)).transform(rows.where(F.col("fold") == i)) for i in range(folds)]
-    predicted = parts[0]
-    for p in parts[1:]:
-        predicted = predicted.unionByName(p)
-    predicted = predicted.select("gw_award_id", "label", "fold", "prediction")
-    summary = (fitted := _glm().fit(rows)).summary
-    # the summary's arrays have the intercept last
-    table = [(f, float(c), float(e), float(t), float(p)) for f, c, e, t, p in zip(used, fitted.coefficients, summary.coefficientStandardErrors, summary.tValues, summary.pValues, strict=False)]
-    table += [(f, None, None, None, None) for f in MODEL_FEATURES if f not in used]
-    coefficients = data.sparkSession.createDataFrame(table, "feature string, coefficient double, std_error double, z_value double, p_value double").orderBy(F.asc_nulls_last("p_value"))
+    rows, used = _assembled(data, 5, least)
+    table: list[tuple] = [(f, None, None, None, None) for f in MODEL_FEATURES if f not in used]
+    if used:
+        summary = (fitted := _glm().fit(VectorAssembler(inputCols=used, outputCol="features").transform(rows))).summary
+        # the summary's arrays have the intercept last
+        table += [(f, float(c), float(e), float(t), float(p)) for f, c, e, t, p in zip(used, fitted.coefficients, summary.coefficientStandardErrors, summary.tValues, summary.pValues, strict=False)]
+    rows.unpersist()
+    return data.sparkSession.createDataFrame(table, "feature string, coefficient double, std_error double, z_value double, p_value double").orderBy(F.asc_nulls_last("p_value"))
+
+
+def predictions(data: DataFrame, folds: int = 5, least: int = 50) -> DataFrame:
+    """gw_award_id, label, fold, prediction of each row by the model of the other folds; no rows below `least` rows."""
+    rows, used = _assembled(data, folds, least)
+    plain = model_data(data, folds)
+    if not used:
+        rows.unpersist()
+        return plain.where("false").select("gw_award_id", "label", "fold", F.lit(0.0).alias("prediction"))
+    assemble = VectorAssembler(inputCols=used, outputCol="features")
+    models = [_glm().fit(assemble.transform(rows.where(F.col("fold") != i))) for i in range(folds)]
+    rows.unpersist()
+    # one pass over the rows: each fold's coefficients are a few numbers
+    linear = F.coalesce(*[F.when(F.col("fold") == i, sum((F.lit(float(c)) * F.col(f) for f, c in zip(used, m.coefficients, strict=True)), F.lit(float(m.intercept)))) for i, m in enumerate(models)])
+    return plain.select("gw_award_id", "label", "fold", (1 / (1 + F.exp(-linear))).alias("prediction"))
+
+
+def thresholds(predicted: DataFrame) -> DataFrame:
+    """F1 of the predictions by threshold, 0.10 to 0.90."""
     steps = F.explode(F.transform(F.sequence(F.lit(2), F.lit(18)), lambda i: F.round(i * 0.05, 2))).alias("threshold")
     cells = predicted.select("label", "prediction", steps).groupBy("threshold").agg(*_counts(F.col("prediction") >= F.col("threshold"), F.col("label") == 1))
-    return {"predictions": predicted, "coefficients": coefficients, "thresholds": _scores(cells, 0.0), "auc": auc(predicted)}
+    return _scores(cells, 0.0)
+
 
+def classifier(data: DataFrame, folds: int = 5, least: int = 50) -> dict[str, DataFrame] | None:
+    """Logistic regression: cross-validated predictions, coefficients by p-value, F1 by threshold. None below `least` rows."""
+    if model_data(data, folds).limit(least).count() < least:
+        return None
+    predicted = predictions(data, folds, least)
+    return {"predictions": predicted, "coefficients": coefficients(data, least), "thresholds": thresholds(predicted), "auc": auc(predicted)}

@@ -45,7 +45,7 @@ def status_label(status):
 
 def sample_timelines(data: DataFrame, n: int = 6, seed: int = 42) -> DataFrame:
     """n awards of each label by a hash of their id, one row a period; awards without periods vanish."""
-    w = Window.partitionBy("gw_frozen").orderBy(F.xxhash64("gw_award_id", F.lit(seed)), "gw_award_id")
+    w = Window.partitionBy("gw_frozen").orderBy(F.md5(F.concat(F.col("gw_award_id"), F.lit(f":{seed}"))), "gw_award_id")
     chosen = data.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
     return chosen.select("gw_award_id", "gw_frozen", F.explode("periods").alias("p")).select("gw_award_id", "gw_frozen", "p.*")
 

@@ -20,11 +20,6 @@ def add_row_id(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.concat_ws("-", F.xxhash64(*values), F.xxhash64(F.lit(name), *values)))
 
 
-def row_key(df: DataFrame, name: str, order: list[str]) -> DataFrame:
-    """1..n in a declared order, for small tables: all rows meet in one task."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
-
-
 def normalise_notices(notices: DataFrame) -> DataFrame:
     n = ensure_columns(notices, NOTICE_OPTIONAL)
     return n.withColumns({"grant_number": normalise_text(F.col("grant_number")), "org_name": normalise_org(F.col("org_name"))})
@@ -37,51 +32,66 @@ def normalise_awards(awards: DataFrame) -> DataFrame:
     return a.withColumns({"grant_number": normalise_text(F.col("grant_number")), "org_name": normalise_org(F.col(org)) if org else F.lit(None).cast("string")})
 
 
-def rename_shared(left: DataFrame, right: DataFrame, key: str | None) -> DataFrame:
-    """left's columns that right has too, but for the key, get the suffix _notice."""
-    return left.withColumnsRenamed({c: f"{c}_notice" for c in left.columns if c in right.columns and c != key})
+#: How often a letter is counted in a name's profile; what is beyond is only counted together.
+PLANES = 3
+
+
+def letter_profile(name: Column) -> Column:
+    """A name's letters as bits: plane p<k> has a bit for each letter that occurs k times or more, and `more` counts the rest."""
+    planes = [f"p{i}" for i in range(1, PLANES + 1)]
+
+    def add(profile: Column, letter: Column) -> Column:
+        carry, fields_ = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(letter), F.lit(64))), []
+        for p in planes:
+            fields_.append(profile[p].bitwiseOR(carry).alias(p))
+            carry = carry.bitwiseAND(profile[p])
+        return F.struct(*fields_, (profile["more"] + F.when(carry != 0, 1).otherwise(0)).alias("more"))
+
+    return F.aggregate(F.split(name, ""), F.struct(*[F.lit(0).cast("long").alias(p) for p in planes], F.lit(0).alias("more")), add)
 
 
-def exact_join(notices: DataFrame, awards: DataFrame) -> DataFrame:
-    """Equal grant numbers, many to many; null numbers match nothing."""
-    return rename_shared(notices, awards, "grant_number").join(awards, "grant_number").withColumn("match_method", F.lit("exact"))
+def common_letters(a: Column, b: Column) -> Column:
+    """At least as many as the letters that two names of these profiles have in common."""
+    shared = [F.bit_count(a[f"p{i}"].bitwiseAND(b[f"p{i}"])) for i in range(1, PLANES + 1)]
+    return sum(shared, F.least(a["more"], b["more"]))
 
 
 def similar_names(left: DataFrame, right: DataFrame, most: float = k.FUZZY_DISTANCE) -> DataFrame:
     """(left_name, right_name, org_name_dist) of distinct names that share a distinctive word, within the Jaro distance.
 
     A shared word is required anyway, so the join on words loses nothing, and
-    only distinct names are compared. Lengths that differ too much for the
-    distance are dropped before the Python function sees them.
+    only distinct names are compared. The distance can't be met without so many
+    letters in common; pairs that have fewer, by the names' profiles, never leave the
+    join, whatever a word's share of the names, and only the others reach the Python function.
     """
-    a = left.select(F.col("org_name").alias("left_name")).where("left_name is not null").distinct()
-    b = right.select(F.col("org_name").alias("right_name")).where("right_name is not null").distinct()
-    a = a.withColumn("_w", F.explode(distinctive_tokens(F.col("left_name"))))
-    b = b.withColumn("_w", F.explode(distinctive_tokens(F.col("right_name"))))
-    fit = F.least(F.length("left_name"), F.length("right_name")) >= (1 - 3 * most) * F.greatest(F.length("left_name"), F.length("right_name"))
-    pairs = a.join(b, "_w").where(fit).select("left_name", "right_name").distinct()
-    same, other = pairs.where("left_name = right_name"), pairs.where("left_name <> right_name")
-    scored = other.withColumn("org_name_dist", F.round(jaro_distance("left_name", "right_name"), 9)).where(F.col("org_name_dist") <= most)
-    return same.withColumn("org_name_dist", F.lit(0.0)).unionByName(scored)
-
-
-def fuzzy_join(notices: DataFrame, awards: DataFrame, days: int = k.FUZZY_DAYS, per_notice: int = k.FUZZY_PER_NOTICE, tie: Column | None = None) -> DataFrame:
-    """Similar names and dates within `days`; for each notice the nearest `per_notice` awards.
-
-    Dates are matched in buckets of `days`: a notice goes to three, an award to one.
-    Ties in the distance are broken by `tie` (by default the award's number and amount).
+    sides = []
+    for df, name in ((left, "left"), (right, "right")):
+        named = df.select(F.col("org_name").alias(f"{name}_name")).where(F.col(f"{name}_name").isNotNull()).distinct()
+        named = named.withColumns({f"_{name}_n": F.length(f"{name}_name"), f"_{name}_p": letter_profile(F.col(f"{name}_name"))})
+        sides.append(named.withColumn("_w", F.explode(distinctive_tokens(F.col(f"{name}_name")))))
+    enough = common_letters(F.col("_left_p"), F.col("_right_p")) * (1 / F.col("_left_n") + 1 / F.col("_right_n")) >= 2 - 3 * most - 1e-6
+    pairs = sides[0].join(sides[1], "_w").where((F.col("left_name") == F.col("right_name")) | enough).select("left_name", "right_name")
+    # few bytes, but much to do with each: a number of partitions that adaptive execution leaves alone
+    pairs = pairs.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "left_name", "right_name").distinct()
+    return pairs.withColumn("org_name_dist", F.round(jaro_distance("left_name", "right_name"), 9)).where(F.col("org_name_dist") <= most)
+
+
+def fuzzy_pairs(notices: DataFrame, awards: DataFrame, days: int = k.FUZZY_DAYS, per_notice: int = k.FUZZY_PER_NOTICE) -> DataFrame:
+    """(notice_row_id, award_row_id, times): similar names and dates within `days`, for each notice the nearest `per_notice` awards.
+
+    Dates are matched in buckets of `days`: a notice goes to three, an award to one. Only what the
+    ranking needs is carried. Ties in the distance go by the award's number, amount and date. An award
+    that repeats is ranked each time, and `times` says how often it is among the nearest.
     """
-    n = rename_shared(notices, awards, None).where("org_name_notice is not null and notice_date is not null")
-    a = awards.where("org_name is not null and action_date is not null")
+    n = notices.select("notice_row_id", F.col("org_name").alias("left_name"), "notice_date").where("left_name is not null and notice_date is not null")
+    a = awards.select("award_row_id", F.col("org_name").alias("right_name"), "action_date", "grant_number", "award_amount").where("right_name is not null and action_date is not null")
     bucket = lambda d: F.floor(F.date_diff(d, F.lit("1970-01-01")) / days)
     n = n.withColumn("_b", F.explode(F.array(*[bucket(F.col("notice_date")) + i for i in (-1, 0, 1)])))
     a = a.withColumn("_b", bucket(F.col("action_date")))
-    names = similar_names(notices, awards)
-    met = n.join(names, n["org_name_notice"] == names["left_name"]).join(a, (F.col("right_name") == a["org_name"]) & (n["_b"] == a["_b"])).drop(n["_b"]).drop(a["_b"])
-    met = met.where(F.abs(F.date_diff("action_date", "notice_date")) <= days)
-    order = Window.partitionBy("notice_row_id").orderBy("org_name_dist", *([tie] if tie is not None else []), "grant_number", "award_amount", "action_date", "award_row_id")
+    met = n.join(similar_names(notices, awards), "left_name").join(a, ["right_name", "_b"]).where(F.abs(F.date_diff("action_date", "notice_date")) <= days)
+    order = Window.partitionBy("notice_row_id").orderBy("org_name_dist", "grant_number", "award_amount", "action_date", "award_row_id")
     best = met.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_notice)
-    return best.drop("_rank", "left_name", "right_name", "org_name_dist").withColumn("match_method", F.lit("fuzzy"))
+    return best.groupBy("notice_row_id", "award_row_id").agg(F.count(F.lit(1)).alias("times"))
 
 
 def classify(active_despite_terminated: Column, no_recent_activity: Column, missing_outlays: Column, not_tracked: Column, sub_agency: Column, non_research=k.NON_RESEARCH_SUB_AGENCIES) -> Column:
@@ -124,17 +134,24 @@ def join_and_flag(notices: DataFrame, awards: DataFrame, as_of, fuzzy: bool = Tr
     # equal notices are one in the ranking, and are multiplied again after it
     n = add_row_id(n.groupBy(*n.columns).agg(F.count(F.lit(1)).alias("_copies")), "notice_row_id")
     a = add_row_id(normalise_awards(awards), "award_row_id")
-    exact = exact_join(n, a)
-    by_number = lambda left, right: left.join(right.select(F.col("grant_number").alias("_g")).where("_g is not null").distinct(), F.col("grant_number") == F.col("_g"), "left_anti")
-    rest_a = by_number(a, n)
-    parts = exact
+    # pairs of row ids first, from few columns; then each table's other columns are joined once
+    slim_n = n.select("notice_row_id", "grant_number", "org_name", "notice_date")
+    slim_a = a.select("award_row_id", "grant_number", "org_name", "action_date", "award_amount")
+    pairs = slim_n.where("grant_number is not null").join(slim_a.select("award_row_id", "grant_number").distinct(), "grant_number").select("notice_row_id", "award_row_id", F.lit(None).cast("long").alias("times"), F.lit("exact").alias("match_method"))
     if fuzzy:
-        near = fuzzy_join(by_number(n, a), rest_a)
-        parts = parts.unionByName(near, allowMissingColumns=True)
-        rest_a = rest_a.join(near.select(F.col("award_row_id").alias("_r")).distinct(), F.col("award_row_id") == F.col("_r"), "left_anti")
-    parts = parts.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copies", "_i")
-    alone = rest_a.withColumn("match_method", F.lit("unmatched_award"))
-    return add_flags(parts.unionByName(alone, allowMissingColumns=True), as_of, non_research).drop("notice_row_id", "award_row_id")
+        by_number = lambda left, right: left.join(right.select(F.col("grant_number").alias("_g")).where("_g is not null").distinct(), F.col("grant_number") == F.col("_g"), "left_anti")
+        near = fuzzy_pairs(by_number(slim_n, slim_a), by_number(slim_a, slim_n))
+        pairs = pairs.unionByName(near.withColumn("match_method", F.lit("fuzzy")))
+        # a repeated award that is among the nearest fewer times than it repeats
+        a = a.withColumn("_i", F.row_number().over(Window.partitionBy("award_row_id").orderBy("award_row_id")))
+    met = a.join(pairs.withColumnRenamed("notice_row_id", "_nid"), "award_row_id", "left")
+    met = met.where("times is null or _i <= times").drop("_i") if fuzzy else met
+    told = (n if fuzzy else n.drop("grant_number")).withColumnsRenamed({c: f"{c}_notice" for c in n.columns if c in a.columns})
+    rows = met.join(told, F.col("_nid") == F.col("notice_row_id"), "left").withColumn("match_method", F.coalesce("match_method", F.lit("unmatched_award")))
+    if fuzzy:  # an exact match has one number
+        rows = rows.withColumn("grant_number_notice", F.when(F.col("match_method") == "fuzzy", F.col("grant_number_notice")))
+    rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.coalesce("_copies", F.lit(1)).cast("int"))))
+    return add_flags(rows.drop("_copies", "_i", "times", "_nid"), as_of, non_research).drop("notice_row_id", "award_row_id")
 
 
 def sort_discrepancies(df: DataFrame) -> DataFrame:

@@ -53,7 +53,8 @@ def compression(baseline: DataFrame, current: DataFrame) -> DataFrame:
     """How far recipients of the baseline fell: matched by id, else by name, else below the current cutoff.
 
     Every baseline row that matches neither way comes out once, with or without an
-    id. The floor is the least current amount, or 0 if there is none.
+    id. The floor is the least current amount, or 0 if there is none. Rows with a
+    current amount come first, those that fell the most before the others.
     """
     base = dedup_recipients(baseline).withColumn("name_key", recipient_key(F.col("recipient_name"))).withColumnRenamed("amount_M", "baseline_M")
     now = dedup_recipients(current).withColumn("name_key", recipient_key(F.col("recipient_name")))
@@ -69,7 +70,8 @@ def compression(baseline: DataFrame, current: DataFrame) -> DataFrame:
     below = F.col("current_M").isNull()
     yoy = F.when(~below & (F.col("baseline_M") != 0), F.round((F.col("current_M") - F.col("baseline_M")) / F.nullif("baseline_M", F.lit(0.0)) * 100, 1))
     rows = rows.withColumns({"below_cutoff": below, "yoy_pct": yoy, "drop_M": F.round(F.col("baseline_M") - F.col("current_M"), 2)})
-    return rows.join(F.broadcast(floor), how="cross").select("recipient_name", "recipient_id", "baseline_M", "current_M", "yoy_pct", "drop_M", "below_cutoff", "cutoff_floor_M", "join_method")
+    told = rows.join(F.broadcast(floor), how="cross").orderBy("below_cutoff", F.asc_nulls_last("yoy_pct"), "recipient_name", "recipient_id")
+    return told.select("recipient_name", "recipient_id", "baseline_M", "current_M", "yoy_pct", "drop_M", "below_cutoff", "cutoff_floor_M", "join_method")
 
 
 def obligation_rates(periods: DataFrame) -> DataFrame:

@@ -23,24 +23,28 @@ def flow(subawards: DataFrame, discrepancies: DataFrame) -> DataFrame:
 
 
 def by_prime(joined: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    """By prime award; a row lists all names of its sub-recipients, so it is as long as these are many."""
     return joined.where(member(F.col("discrepancy_type"), types)).groupBy("prime_award_id", "prime_recipient").agg(
         F.count(F.lit(1)).alias("n_subawards"), total(F.col("subaward_amount")).alias("total_subaward_amount"),
         names("subawardee_name", "; ").alias("subawardees"), F.max("subaward_date").alias("latest_subaward_date"))
 
 
 def frozen(joined: DataFrame) -> DataFrame:
-    return by_prime(joined, k.FROZEN_TYPES)
+    """Frozen awards whose money still flows on, the largest sum first."""
+    return by_prime(joined, k.FROZEN_TYPES).orderBy(F.desc_nulls_last("total_subaward_amount"), "prime_award_id", "prime_recipient")
 
 
 def terminated(joined: DataFrame) -> DataFrame:
-    return by_prime(joined, ("active_despite_terminated",))
+    """Sub-recipients of terminated awards, by award."""
+    return by_prime(joined, ("active_despite_terminated",)).orderBy("prime_award_id", "prime_recipient")
 
 
 def downstream(joined: DataFrame) -> DataFrame:
-    """Sub-recipients of awards that aren't normal."""
-    return joined.where("discrepancy_type <> 'normal'").groupBy("subawardee_name").agg(
+    """Sub-recipients of awards that aren't normal, those of the most awards first."""
+    out = joined.where("discrepancy_type <> 'normal'").groupBy("subawardee_name").agg(
         F.count_distinct("prime_award_id").alias("n_prime_awards"), total(F.col("subaward_amount")).alias("total_subaward_amount"),
         names("discrepancy_type", ", ").alias("discrepancy_types"), names("prime_recipient", "; ").alias("prime_institutions"))
+    return out.orderBy(F.desc("n_prime_awards"), "subawardee_name")
 
 
 def impact(subawards: DataFrame, ids: DataFrame) -> DataFrame:

@@ -28,22 +28,22 @@ def enrich(discrepancies: DataFrame, transactions: DataFrame, as_of) -> DataFram
 
 
 def deobligations(transactions: DataFrame, min_amount: float = k.DEOBLIGATION_MIN_AMOUNT, min_events: int = k.DEOBLIGATION_MIN_EVENTS) -> DataFrame:
-    """By grant with amounts below -min_amount; flagged from min_events such amounts."""
+    """By grant with amounts below -min_amount, the largest sum first; flagged from min_events such amounts."""
     out = transactions.where(F.col("obligation_amount") < -min_amount).groupBy("grant_number").agg(
         F.count(F.lit(1)).alias("n_deobligations"), F.sum("obligation_amount").alias("total_deobligated"),
         F.min("transaction_date").alias("first_deobligation_date"), F.max("transaction_date").alias("last_deobligation_date"))
-    return out.withColumn("deobligation_flag", F.col("n_deobligations") >= min_events)
+    return out.withColumn("deobligation_flag", F.col("n_deobligations") >= min_events).orderBy("total_deobligated", "grant_number")
 
 
 def deobligation_months(transactions: DataFrame, discrepancies: DataFrame) -> DataFrame:
-    """By agency and month, with months of more than twice the agency's median count and three grants or more flagged as spikes."""
+    """By agency and month, in this order, with months of more than twice the agency's median count and three grants or more flagged as spikes."""
     agencies = discrepancies.select("grant_number", "agency_name").distinct()
     rows = transactions.where("obligation_amount < 0 and transaction_date is not null").join(agencies, "grant_number").where("agency_name is not null")
     monthly = rows.withColumn("year_month", F.date_format("transaction_date", "yyyy-MM")).groupBy("agency_name", "year_month").agg(
         F.count(F.lit(1)).alias("n_deobligations"), F.count_distinct("grant_number").alias("n_grants_affected"), F.sum("obligation_amount").alias("total_deobligated"))
     # the months of one agency are few
     monthly = monthly.withColumn("median_monthly", F.median("n_deobligations").over(Window.partitionBy("agency_name")))
-    return monthly.withColumn("spike_flag", (F.col("n_deobligations") > 2 * F.col("median_monthly")) & (F.col("n_grants_affected") >= 3))
+    return monthly.withColumn("spike_flag", (F.col("n_deobligations") > 2 * F.col("median_monthly")) & (F.col("n_grants_affected") >= 3)).orderBy("agency_name", "year_month")
 
 
 def _first(df: DataFrame, order: list, columns: dict[str, str]) -> DataFrame:

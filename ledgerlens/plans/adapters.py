@@ -13,13 +13,15 @@ TEXTS = {
     "outlaid": """
         SELECT l_orderkey, CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total_outlays
         FROM {lineitem} WHERE l_linestatus = 'F' AND l_returnflag = 'R' GROUP BY l_orderkey""",
+    "projects": """
+        SELECT l.l_orderkey, MIN(p.p_name) || ' ' || MAX(p.p_name) AS project FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey GROUP BY l.l_orderkey""",
     "awards": """
         SELECT CAST(o.o_orderkey AS STRING) AS grant_number, c.c_name AS recipient_name, CAST(c.c_custkey AS STRING) AS recipient_id,
                CASE c.c_nationkey % 4 WHEN 0 THEN 'Department of Health and Human Services' WHEN 1 THEN 'National Science Foundation'
                     WHEN 2 THEN 'Environmental Protection Agency' ELSE n.n_name END AS agency_name,
                CASE WHEN c.c_mktsegment = 'HOUSEHOLD' THEN 'Administration for Children and Families' ELSE c.c_mktsegment END AS sub_agency,
-               CASE o.o_orderkey % 6 WHEN 0 THEN p.p_name || ' Universty' WHEN 1 THEN 'THE ' || p.p_name || ' UNIVERSITY, INC.'
-                    WHEN 2 THEN p.p_name || '-University at Austin' ELSE p.p_name || '  University' END AS org_name,
+               CASE o.o_orderkey % 6 WHEN 0 THEN p.project || ' Universty' WHEN 1 THEN 'THE ' || p.project || ' UNIVERSITY, INC.'
+                    WHEN 2 THEN p.project || '-University at Austin' ELSE p.project || '  University' END AS org_name,
                CASE WHEN o.o_orderkey % 97 = 0 THEN 0.0 WHEN o.o_orderkey % 101 = 0 THEN 2e9 ELSE o.o_totalprice END AS award_amount,
                CASE WHEN o.o_orderkey % 89 = 0 THEN -l.total_outlays ELSE l.total_outlays END AS total_outlays,
                CAST(o.o_orderdate AS DATE) AS action_date,
@@ -27,17 +29,22 @@ TEXTS = {
                CASE o.o_orderkey % 5 WHEN 0 THEN '93.' WHEN 1 THEN '47.' WHEN 2 THEN '66.' WHEN 3 THEN '99.' END || CAST(100 + o.o_orderkey % 800 AS STRING) AS cfda_number,
                CASE o.o_orderkey % 4 WHEN 0 THEN 'Q' WHEN 1 THEN 'L,M' WHEN 2 THEN 'Q; N' END AS def_codes
         FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey
-             LEFT JOIN {part} p ON p.p_partkey = o.o_orderkey % 200 LEFT JOIN {outlaid} l ON l.l_orderkey = o.o_orderkey""",
+             LEFT JOIN {projects} p ON p.l_orderkey = o.o_orderkey LEFT JOIN {outlaid} l ON l.l_orderkey = o.o_orderkey""",
     "notices": """
-        SELECT CASE WHEN o.o_orderkey % 5 = 0 THEN NULL ELSE CAST(o.o_orderkey AS STRING) END AS grant_number,
+        SELECT CASE WHEN o.o_orderkey % 5 = 0 THEN NULL WHEN o.o_orderkey % 3 = 1 THEN 'N' || CAST(o.o_orderkey AS STRING) ELSE CAST(o.o_orderkey AS STRING) END AS grant_number,
                CASE WHEN o.o_orderkey % 2 = 0 THEN 'NIH' ELSE 'NSF' END AS agency_name,
                CASE WHEN o.o_orderkey % 13 <> 0 THEN 'IC' || CAST(o.o_orderkey % 23 AS STRING) END AS institute,
                CASE WHEN o.o_orderkey % 11 <> 0 THEN CAST(o.o_orderdate AS DATE) + 30 END AS notice_date,
                'https://example.org/' || CAST(o.o_orderkey AS STRING) AS source_url, o.o_orderpriority AS raw_text_snippet,
-               CASE WHEN o.o_orderkey % 4 = 0 THEN p.p_name || ' University (Campus ' || CAST(o.o_orderkey % 3 AS STRING) || ')' ELSE 'The ' || p.p_name || ' University' END AS org_name,
+               CASE WHEN o.o_orderkey % 4 = 0 THEN p.project || ' University (Campus ' || CAST(o.o_orderkey % 3 AS STRING) || ')' ELSE 'The ' || p.project || ' University' END AS org_name,
                CASE o.o_orderkey % 7 WHEN 0 THEN 'CA' WHEN 1 THEN 'NY' WHEN 2 THEN 'PR' WHEN 3 THEN 'ON' WHEN 4 THEN 'XX' WHEN 5 THEN 'QC' END AS org_state,
                o.o_totalprice * CASE WHEN o.o_orderkey % 7 = 0 THEN 2 ELSE 1 END AS award_amount
-        FROM {orders} o LEFT JOIN {part} p ON p.p_partkey = (o.o_orderkey * 7) % 200 WHERE o.o_orderstatus = 'F' AND o.o_orderkey % 3 = 0""",
+        FROM {orders} o LEFT JOIN {projects} p ON p.l_orderkey = o.o_orderkey WHERE o.o_orderstatus = 'F'""",
+    "nih_records": """
+        SELECT CAST(o.o_orderkey AS STRING) AS appl_id, 'Project ' || CAST(o.o_orderkey AS STRING) AS project_title, CASE WHEN o.o_custkey % 5 = 0 THEN 'VA' ELSE 'P' END || CAST(o.o_custkey AS STRING) AS project_num,
+               CASE WHEN o.o_orderkey % 9 <> 0 THEN CAST(CAST(o.o_orderdate AS DATE) AS STRING) || 'T00:00:00' END AS project_end_date, CAST(CAST(o.o_orderdate AS DATE) AS STRING) AS date_added, o.o_totalprice AS award_amount, o.o_orderstatus = 'O' AS is_active,
+               c.c_name AS org_name, c.c_mktsegment AS org_state, CASE o.o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'NCI' END AS ic, CASE WHEN o.o_orderkey % 3 <> 0 THEN 'Institute' END AS ic_name
+        FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey""",
     "transactions": """
         SELECT CAST(user_id AS STRING) AS grant_number, CASE WHEN event_id % 37 <> 0 THEN CAST(ts AS DATE) + CAST(event_id % 480 AS INT) END AS transaction_date,
                CASE WHEN event_id % 41 = 0 THEN NULL WHEN event_type = 'error' THEN -round(value * 100, 0) ELSE round(value * 100, 0) END AS obligation_amount,
@@ -56,7 +63,7 @@ TEXTS = {
                CAST(l.l_orderkey AS STRING) AS prime_award_id, CASE WHEN l.l_orderkey % 17 <> 0 THEN 'Prime ' || CAST(l.l_orderkey % 500 AS STRING) END AS prime_recipient
         FROM {lineitem} l JOIN {supplier} s ON l.l_suppkey = s.s_suppkey WHERE l.l_returnflag = 'R'""",
     "labels_": """
-        SELECT CAST(o.o_orderkey AS STRING) AS gw_award_id, c.c_name AS org_name,
+        SELECT CASE WHEN o.o_orderkey % 2 = 1 THEN 'G' ELSE '' END || CAST(o.o_orderkey AS STRING) AS gw_award_id, c.c_name AS org_name,
                CASE o.o_orderkey % 5 WHEN 0 THEN '\U0001f9ca Frozen Funding' WHEN 1 THEN 'Terminated' WHEN 2 THEN '\U0001f4a7 Possibly Unfrozen Funding' WHEN 3 THEN 'Possibly Reinstated' END AS gw_status,
                o.o_orderkey % 7 = 0 AS ever_frozen,
                CASE WHEN o.o_orderkey % 6 <> 0 THEN CAST(o.o_orderdate AS DATE) + 100 END AS targeted_start_date,
@@ -65,7 +72,7 @@ TEXTS = {
                     || '.50' || chr(10) || 'no amount here' || chr(10) || ' - Mar 1999: $0' END AS file_c_outlays_raw,
                o.o_totalprice AS gw_total_award, CASE o.o_orderkey % 12 WHEN 0 THEN 'R01' WHEN 2 THEN 'T32' WHEN 4 THEN 'F31' WHEN 6 THEN 'K99' WHEN 8 THEN 'X1' END AS activity_code,
                CASE WHEN o.o_orderkey % 8 <> 0 THEN CAST(o.o_orderdate AS DATE) + 200 END AS last_payment_date
-        FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey WHERE o.o_orderkey % 2 = 0""",
+        FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey""",
 }
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 

@@ -149,22 +149,33 @@ def v10(spark, d):
     return calibration.roc(scored(spark, d))
 
 
-@query("v8_w9_timelines", None)
+@query("v8_w9_timelines", f"""{DATA}, {DUCK_PERIODS}, ch AS (SELECT gw_award_id, gw_frozen, file_c_outlays_raw, row_number() OVER (PARTITION BY gw_frozen ORDER BY md5(gw_award_id || ':42'), gw_award_id) AS rn FROM cd)
+    SELECT ch.gw_award_id, gw_frozen, period, amount, period_date FROM ch JOIN r USING (gw_award_id) WHERE rn <= 6""")
 def v8(spark, d):
     rows = data(spark, d).withColumn("periods", parse_period_outlays(F.col("file_c_outlays_raw")))
     return charts.sample_timelines(rows)
 
 
+#: The model's rows with their folds, and what the classifier is held against: at its coefficients the likelihood's slope is 0.
+MODEL = f"""{DATA}, md AS (SELECT gw_award_id, CAST(gw_frozen AS INT) AS label, CAST(CAST('0x' || substr(md5(gw_award_id || ':42'), 1, 8) AS BIGINT) % 5 AS INT) AS fold FROM cd
+    WHERE gw_frozen IS NOT NULL AND our_outlay_ratio IS NOT NULL AND our_elapsed_ratio IS NOT NULL)"""
+
+
 @query("g7_classifier_coefficients", None)
 def g7(spark, d):
-    return calibration.classifier(data(spark, d))["coefficients"]
+    return calibration.coefficients(data(spark, d))
 
 
 @query("g7_classifier_predictions", None)
 def g7b(spark, d):
-    return calibration.classifier(data(spark, d))["predictions"]
+    return calibration.predictions(data(spark, d))
+
+
+@query("g7_fold_totals", f"{MODEL} SELECT fold, count(*) AS n, sum(label) AS n_frozen FROM md GROUP BY fold")
+def g7d(spark, d):
+    return calibration.predictions(data(spark, d)).groupBy("fold").agg(F.count("prediction").alias("n"), F.sum("label").alias("n_frozen"))
 
 
 @query("g7_classifier_thresholds", None)
 def g7c(spark, d):
-    return calibration.classifier(data(spark, d))["thresholds"]
+    return calibration.thresholds(calibration.predictions(data(spark, d)))

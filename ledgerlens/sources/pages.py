@@ -1,45 +1,76 @@
-"""A data source of paged HTTP payloads: one partition a page."""
+"""A data source of paged HTTP payloads, read by a few tasks that wait between requests."""
 
 from __future__ import annotations
 
 import json
 import time
+import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+#: The last offset that the notices' interface answers, and seconds between two requests to one server.
+MAX_OFFSET, INTERVAL = 14_999, 2.0
 
-class Page(InputPartition):
-    def __init__(self, offset: int):
-        self.offset = offset
+
+class Pages(InputPartition):
+    def __init__(self, offsets: range):
+        self.offsets = offsets
 
 
 class PagesReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.url = options["url"]
+        self.url, self.method = options["url"], options.get("method", "POST").upper()
         self.body = json.loads(options.get("body", "{}"))
         self.size, self.most = int(options.get("pagesize", 500)), int(options.get("maxrecords", 10_000))
+        self.by_page = options.get("paging", "offset") == "page"
         self.tries, self.wait = int(options.get("tries", 3)), float(options.get("wait", 2))
+        self.interval, self.streams = float(options.get("interval", INTERVAL)), int(options.get("streams", 1))
+        self.agent = options.get("useragent", "ledgerlens")
+
+    def partitions(self) -> list[Pages]:
+        """`streams` tasks, each with every so-many-th page: requests a second are bounded by streams / interval."""
+        offsets = range(0, min(self.most, self.most if self.by_page else MAX_OFFSET + 1), self.size)
+        return [Pages(offsets[i :: self.streams]) for i in range(min(self.streams, len(offsets)))]
 
-    def partitions(self) -> list[Page]:
-        return [Page(i) for i in range(0, self.most, self.size)]
+    def _request(self, offset: int) -> urllib.request.Request:
+        asked = self.body | {"limit": self.size} | ({"page": offset // self.size + 1} if self.by_page else {"offset": offset})
+        head = {"User-Agent": self.agent, "Accept": "application/json"}
+        if self.method == "GET":
+            return urllib.request.Request(f"{self.url}?{urllib.parse.urlencode(asked)}", headers=head)
+        return urllib.request.Request(self.url, json.dumps(asked).encode(), head | {"Content-Type": "application/json"})
 
-    def read(self, partition: Page) -> Iterator[tuple[int, str]]:
-        """(offset, payload); a page that fails every time gives no row. Retries wait longer each time."""
-        data = json.dumps(self.body | {"offset": partition.offset, "limit": self.size}).encode()
+    def read(self, partition: Pages) -> Iterator[tuple[int, str]]:
+        """(offset, payload); a page that fails every time gives no row. Retries wait longer each time; a page without results ends the task."""
+        for k, offset in enumerate(partition.offsets):
+            if k:
+                time.sleep(self.interval)
+            payload = self._payload(offset)
+            if payload is None:
+                continue
+            yield offset, payload
+            try:
+                if json.loads(payload).get("results") == []:
+                    return
+            except (ValueError, AttributeError):
+                pass
+
+    def _payload(self, offset: int) -> str | None:
         for n in range(self.tries):
             try:
-                request = urllib.request.Request(self.url, data, {"Content-Type": "application/json"})
-                with urllib.request.urlopen(request, timeout=60) as answer:
-                    yield partition.offset, answer.read().decode()
-                return
-            except OSError:
+                with urllib.request.urlopen(self._request(offset), timeout=60) as answer:
+                    return answer.read().decode()
+            except OSError:  # no connection, or a status of an error
                 time.sleep(min(60, self.wait * 2**n))
+        return None
 
 
 class PagesSource(DataSource):
-    """spark.read.format("pages").option("url", ...).option("body", json): register with spark.dataSource.register(PagesSource)."""
+    """spark.read.format("pages").option("url", ...).option("body", json): register with spark.dataSource.register(PagesSource).
+
+    Options: method (POST, GET), paging (offset, page), pagesize, maxrecords, tries, wait, interval, streams, useragent.
+    """
 
     @classmethod
     def name(cls) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,17 +111,25 @@ def subaward_impact(pages: DataFrame) -> DataFrame:
 NSF_COLUMNS = "award_id string, directorate string, recipient string, title string, obligated string, _phantom string, _meta string"
 
 
-def nsf_notices(spark: SparkSession, path: str) -> DataFrame:
-    """The terminated-awards CSV (Latin-1): its header is skipped, empty rows go. The dates of these notices are unknown."""
-    raw = spark.read.csv(path, schema=NSF_COLUMNS, encoding="ISO-8859-1", header=True, enforceSchema=True, quote='"', escape='"', multiLine=True).drop("_phantom", "_meta").dropna(how="all")
+def nsf_rows(raw: DataFrame) -> DataFrame:
+    """Notices from the file's columns as text; empty rows go. The dates of these notices are unknown."""
+    raw = raw.drop("_phantom", "_meta").dropna(how="all")
     c = {n: squish(F.col(n)) if n != "obligated" else F.col(n) for n in raw.columns}
     url = F.concat(F.lit("https://www.nsf.gov/awardsearch/showAward?AWD_ID="), F.coalesce(c["award_id"], F.lit("")))
     return raw.select(F.lit("NSF").alias("agency_name"), c["directorate"].alias("directorate"), F.lit(None).cast("date").alias("notice_date"), url.alias("source_url"), c["title"].alias("raw_text_snippet"), c["award_id"].alias("grant_number"), c["recipient"].alias("org_name"), parse_amount(c["obligated"]).alias("award_amount"))
 
 
+def nsf_notices(spark: SparkSession, path: str) -> DataFrame:
+    """nsf_rows() of the terminated-awards CSV (Latin-1), whose header is skipped."""
+    return nsf_rows(spark.read.csv(path, schema=NSF_COLUMNS, encoding="ISO-8859-1", header=True, enforceSchema=True, quote='"', escape='"', multiLine=True))
+
+
 def export_date(spark: SparkSession, path: str) -> DataFrame:
     """export_date from the header line of that CSV, one row."""
-    header = spark.read.text(path).limit(1)
+    return header_date(spark.read.text(path).limit(1))
+
+
+def header_date(header: DataFrame) -> DataFrame:
     return header.select(parse_date(F.regexp_extract("value", r"Date of export[:\s]+([0-9/]+)", 1)).alias("export_date"))
 
 
@@ -129,30 +138,34 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def nih_labels(spark: SparkSession, path: str) -> DataFrame:
+    return nih_label_rows(_csv(spark, path))
+
+
+def nih_label_rows(raw: DataFrame) -> DataFrame:
     d, n = (lambda c: parse_date(F.col(c)).alias(c)), (lambda c, to: F.col(c).try_cast("double").alias(to))
-    return _csv(spark, path).select(
+    return raw.select(
         F.col("core_award_number").alias("gw_award_id"), F.col("status").alias("gw_status"), holds(F.lower("ever_frozen") == "true").alias("ever_frozen"), d("targeted_start_date"), d("targeted_end_date"), d("frozen_date"), d("unfrozen_date"),
         F.col("file_c_outlays").alias("file_c_outlays_raw"), n("total_award", "gw_total_award"), n("total_estimated_outlays", "gw_total_outlays"), n("total_estimated_remaining", "gw_remaining"), "org_name", "org_state", "activity_code", "reinstatement_indicator", d("last_payment_date"), "last_payment_month")
 
 
 def nsf_labels(spark: SparkSession, path: str) -> DataFrame:
+    return nsf_label_rows(_csv(spark, path))
+
+
+def nsf_label_rows(raw: DataFrame) -> DataFrame:
     n = lambda c, to: F.col(c).try_cast("double").alias(to)
-    return _csv(spark, path).select(
+    return raw.select(
         F.col("award_id").alias("gw_award_id"), F.col("status").alias("gw_status"), parse_date(F.col("termination_date")).alias("termination_date"), parse_date(F.col("reinstatement_date")).alias("reinstatement_date"),
         n("usasp_outlaid", "gw_total_outlays"), n("usasp_total_obligated", "gw_total_obligated"), n("estimated_remaining", "gw_remaining"), F.col("usasp_obligation_hist").alias("obligation_hist"), "directorate", "division")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether the path is there, in whatever file system it names."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def snapshot(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The Parquet table at path, which is first made and written if it isn't there whole."""
-    if not exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+    """The Parquet table at path, which is first made and written if there is none: a write that failed leaves no files to read."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
         write(make(), path)
-    return spark.read.parquet(path)
+        return spark.read.parquet(path)
 
 
 def write(df: DataFrame, path: str) -> None:

@@ -56,6 +56,21 @@ def test_fuzzy_window_cap_and_copies(spark):
     assert {r.grant_number for r in rows if r.match_method == "unmatched_award"} == {"A5", "A6", "A7", "FAR", "OTHER"}
 
 
+def test_repeated_awards_are_ranked_each_time(spark):
+    """Seven equal awards: five are the nearest to the notice, and none comes out alone; equal rows that match by number all do."""
+    same = [("A1", "ACME LABS", 1.0, 1.0, START, PAST, None)] * 7
+    n = notices(spark, (None, "Acme Labs", D(2025, 2, 1), None), ("B", "x", D(2025, 2, 1), None), ("B", "x", D(2025, 2, 1), None))
+    rows = matching.join_and_flag(n, awards(spark, *same, *[("B", "Other", 1.0, 1.0, START, PAST, None)] * 3), NOW).collect()
+    assert sorted((r.grant_number, r.match_method) for r in rows) == [("A1", "fuzzy")] * 5 + [("B", "exact")] * 6
+
+
+def test_names_are_compared_once_in_the_plan(spark):
+    n = notices(spark, (None, "Acme Labs", D(2025, 2, 1), None))
+    a = awards(spark, ("A", "ACME LABS", 1.0, 1.0, START, PAST, None))
+    plan = matching.join_and_flag(n, a, NOW)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_null_numbers_and_empty_tables(spark):
     a = awards(spark, (None, None, 1.0, 1.0, None, None, None), (None, None, 1.0, 1.0, None, None, None))
     rows = matching.join_and_flag(notices(spark, (None, None, None, None)), a, NOW).collect()
@@ -204,6 +219,31 @@ def test_auc(spark):
     assert ask([(0.5, 1)]) is None
 
 
+def test_auc_of_many_ranges_is_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(float(np.round(rng.normal(i % 2 * 0.5), 2)), int(i % 2)) for i in range(600)]
+    pos, neg = ([s for s, y in rows if y == v] for v in (1, 0))
+    want = np.mean([(a > b) + (a == b) / 2 for a in pos for b in neg])
+    df = spark.createDataFrame(rows, "prediction double, label int")
+    assert calibration.auc(df).first().auc == pytest.approx(want) == calibration.auc(df, parts=3).first().auc
+
+
+def test_results_are_ordered(spark):
+    t = spark.createDataFrame([("A", dt.date(2025, 2, 1), -2000.0), ("B", dt.date(2025, 1, 1), -9000.0), ("C", dt.date(2025, 1, 2), -2000.0), ("B", dt.date(2025, 3, 1), -5000.0)], "grant_number string, transaction_date date, obligation_amount double")
+    assert [r.grant_number for r in transactions.deobligations(t).collect()] == ["B", "A", "C"]
+    agencies = spark.createDataFrame([("A", "Z"), ("B", "Y"), ("C", "Z")], "grant_number string, agency_name string")
+    assert [(r.agency_name, r.year_month) for r in transactions.deobligation_months(t, agencies).collect()] == [("Y", "2025-01"), ("Y", "2025-03"), ("Z", "2025-01"), ("Z", "2025-02")]
+    j = spark.createDataFrame([("P", "r", "x", 1.0, "possible_freeze"), ("Q", "r", "x", 5.0, "possible_freeze"), ("Q", "r", "y", None, "possible_freeze"), ("N", "r", "y", 1.0, "active_despite_terminated"), ("M", "r", "y", 9.0, "active_despite_terminated")], "prime_award_id string, prime_recipient string, subawardee_name string, subaward_amount double, discrepancy_type string").withColumn("subaward_date", F.lit(None).cast("date"))
+    assert [r.prime_award_id for r in subawards.frozen(j).collect()] == ["Q", "P"]
+    assert [r.prime_award_id for r in subawards.terminated(j).collect()] == ["M", "N"]
+    assert [r.subawardee_name for r in subawards.downstream(j).collect()] == ["y", "x"]
+    base = spark.createDataFrame([("1", "A", 10.0), ("2", "B", 10.0), ("3", "C", 10.0), ("4", "D", 10.0)], "recipient_id string, recipient_name string, amount_M double")
+    now = spark.createDataFrame([("1", "A", 9.0), ("2", "B", 2.0), ("4", "D", 12.0)], "recipient_id string, recipient_name string, amount_M double")
+    assert [r.recipient_name for r in spending.compression(base, now).collect()] == ["B", "A", "D", "C"]
+
+
 def test_classifier_is_newton_on_the_same_rows(spark):
     import numpy as np
 
@@ -222,6 +262,18 @@ def test_classifier_is_newton_on_the_same_rows(spark):
         w += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]), x.T @ (y - p))
     got = {r.feature: r.coefficient for r in found["coefficients"].collect()}
     assert [got[f] for f in calibration.MODEL_FEATURES] == pytest.approx(w[1:].tolist(), abs=1e-4)
+    predicted = {r.gw_award_id: (r.fold, r.prediction) for r in found["predictions"].collect()}
+    for fold in range(5):  # each fold by the model of the others
+        rest = np.array([predicted[r[0]][0] != fold for r in rows])
+        v = np.zeros(8)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-x[rest] @ v))
+            v += np.linalg.solve(x[rest].T @ (x[rest] * (p * (1 - p))[:, None]), x[rest].T @ (y[rest] - p))
+        want = 1 / (1 + np.exp(-x[~rest] @ v))
+        assert [predicted[r[0]][1] for r, out in zip(rows, ~rest, strict=True) if out] == pytest.approx(want.tolist(), abs=1e-4)
+    few = df.limit(20)
+    assert calibration.predictions(few).count() == calibration.thresholds(calibration.predictions(few)).count() == 0
+    assert [r.coefficient for r in calibration.coefficients(few).collect()] == [None] * 7
     assert found["predictions"].count() == 300 and 0.4 < found["auc"].first().auc < 0.9
     assert calibration.classifier(df.limit(20)) is None
 

@@ -78,10 +78,31 @@ def test_groups_and_confidence(spark):
 
 
 def test_jaro(spark):
+    import random
+
     import duckdb
 
+    rng = random.Random(1)
     pairs = [("UNIVERSITY OF CHICAGO", "UNIVERSITY OF UTAH"), ("MARTHA", "MARHTA"), ("DWAYNE", "DUANE"), ("A", "B"), ("", "A"), ("AB", "BA"), ("ABCVWXYZ", "CABVWXYZ"), ("SAME", "SAME")]
-    for a, b in pairs:
-        assert jaro(a, b) == pytest.approx(duckdb.execute("SELECT jaro_similarity(?, ?)", [a, b]).fetchall()[0][0])
-        assert jaro(a, b, 0.1) >= jaro(a, b)
-    assert ask(spark, pairs[:2], "a string, b string", jaro_distance) == pytest.approx([1 - jaro(*p) for p in pairs[:2]])
+    pairs += [tuple("".join(rng.choice("ABCD ") for _ in range(rng.randrange(1, 15))) for _ in range(2)) for _ in range(500)]
+    got = jaro(*map(list, zip(*pairs, strict=True)))
+    for (a, b), x in zip(pairs, got, strict=True):
+        assert x == pytest.approx(duckdb.execute("SELECT jaro_similarity(?, ?)", [a, b]).fetchall()[0][0])
+    assert (jaro(*map(list, zip(*pairs, strict=True)), 0.1) >= got).all() and len(jaro([], [])) == 0
+    assert jaro(["DIXON"], ["DICKSONX"], 0.1)[0] == pytest.approx(0.8133333)
+    assert ask(spark, pairs[:2], "a string, b string", jaro_distance) == pytest.approx((1 - got[:2]).tolist())
+
+
+def test_letters_in_common_are_bounded_from_above(spark):
+    import random
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators.matching import common_letters, letter_profile
+
+    rng = random.Random(2)
+    pairs = [tuple("".join(rng.choice("AAABCé𝔘 ") for _ in range(rng.randrange(0, 20))) for _ in range(2)) for _ in range(200)]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", common_letters(letter_profile(F.col("a")), letter_profile(F.col("b"))).alias("n")).collect()
+    for r in rows:
+        assert r.n >= sum((Counter(r.a) & Counter(r.b)).values())

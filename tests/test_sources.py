@@ -1,8 +1,14 @@
 import datetime as dt
+import http.server
 import json
+import threading
+import time
+import urllib.parse
 
-from ledgerlens.sources import tables
-from ledgerlens.sources.pages import PagesReader
+import pytest
+
+from ledgerlens.sources import requests, tables
+from ledgerlens.sources.pages import PagesReader, PagesSource
 from ledgerlens.streaming import rollups
 
 D = dt.date
@@ -68,9 +74,63 @@ def test_snapshot(spark, tmp_path):
 
 
 def test_pages_fail_without_rows():
-    reader = PagesReader({"url": "http://127.0.0.1:9/none", "pagesize": "100", "maxrecords": "250", "tries": "2", "wait": "0"})
-    assert [p.offset for p in reader.partitions()] == [0, 100, 200]
+    reader = PagesReader({"url": "http://127.0.0.1:9/none", "pagesize": "100", "maxrecords": "250", "tries": "2", "wait": "0", "interval": "0"})
+    assert [list(p.offsets) for p in reader.partitions()] == [[0, 100, 200]]
     assert list(reader.read(reader.partitions()[0])) == []
+    many = PagesReader({"url": "x", "maxrecords": "100000", "streams": "4"}).partitions()
+    assert len(many) == 4 and sorted(o for p in many for o in p.offsets) == list(range(0, 15_000, 500))  # the server's last offset
+    assert len(PagesReader({"url": "x", "maxrecords": "100000", "paging": "page"}).partitions()[0].offsets) == 200
+
+
+class Answers(http.server.BaseHTTPRequestHandler):
+    """Three pages of records; the first request of every page fails."""
+
+    seen: list = []
+
+    def answer(self, asked: dict) -> None:
+        Answers.seen.append((self.command, asked, self.headers["User-Agent"], time.time()))
+        first = sum(a["page"] == asked["page"] for _, a, *_ in Answers.seen) == 1
+        self.send_response(500 if first else 200)
+        self.end_headers()
+        n = int(asked["page"])
+        self.wfile.write(json.dumps({"results": [{"award_id": f"{n}-{i}"} for i in range(2)] if n <= 2 else []}).encode())
+
+    def do_GET(self):  # noqa: N802
+        self.answer({k: v[0] for k, v in urllib.parse.parse_qs(urllib.parse.urlparse(self.path).query).items()})
+
+    def do_POST(self):  # noqa: N802
+        self.answer(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+
+    def log_message(self, *args):
+        pass
+
+
+@pytest.mark.parametrize("method", ["GET", "POST"])
+def test_pages_are_read_with_waits_and_retries(spark, method):
+    Answers.seen = []
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(PagesSource)
+    reader = spark.read.format("pages").option("url", f"http://127.0.0.1:{server.server_port}/x").option("method", method).option("paging", "page").option("pagesize", "2").option("maxrecords", "20")
+    rows = reader.option("body", '{"fiscal_year": 2025}').option("wait", "0").option("interval", "0.2").option("useragent", "test").load().collect()
+    server.shutdown()
+    assert [r.offset for r in rows] == [0, 2, 4]  # the third is empty and the last
+    assert sorted(r.award_id for r in tables.subaward_impact(spark.createDataFrame(rows)).collect()) == ["1-0", "1-1", "2-0", "2-1"]
+    assert len(Answers.seen) == 6 and {(m, a, str(b["fiscal_year"])) for m, b, a, _ in Answers.seen} == {(method, "test", "2025")}
+    times = [t for *_, t in Answers.seen]
+    assert times[2] - times[1] >= 0.2
+
+
+def test_request_bodies(spark):
+    body = json.loads(requests.awards(["Department of Health and Human Services"], "2024-10-01", "2025-09-30"))
+    assert body["filters"]["agencies"][0]["name"].startswith("Department") and body["filters"]["time_period"] == [{"start_date": "2024-10-01", "end_date": "2025-09-30"}] and "Total Outlays" in body["fields"]
+    assert json.loads(requests.transactions(["A", "B"]))["filters"]["award_ids"] == ["A", "B"]
+    assert json.loads(requests.subawards(["X"], "a", "b"))["subawards"] is True
+    awards = spark.createDataFrame([("A", "National Science Foundation"), ("A", "National Science Foundation"), ("B", "Other"), (None, "National Science Foundation")], "grant_number string, agency_name string")
+    assert [tuple(r) for r in requests.funding_plan(awards).collect()] == [("A", "ASST_NON_A_049")]
+    ids = spark.range(120).selectExpr("cast(id % 100 as string) grant_number")
+    batches = requests.id_batches(ids, 10).collect()
+    assert sorted(i for b in batches for i in b.ids) == sorted(map(str, range(100))) and len(batches) > 5
 
 
 def test_streams(spark, tmp_path):
