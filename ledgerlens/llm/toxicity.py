@@ -106,6 +106,18 @@ def _cut(data: bytes) -> tuple[bytes, bytes | None]:
     return (data, None) if end < 0 else (data[:end], data[end + 1 :])
 
 
+def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, counts) of a whole text's grams, from slices of bounded length."""
+    data, parts = fold(text), []
+    while data is not None:
+        part, data = _cut(data)
+        parts.append(np.unique(grams(part)[0], return_counts=True))
+    if len(parts) == 1:
+        return parts[0]
+    g, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return g, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
+
+
 def gram_weights(present: np.ndarray, n: np.ndarray) -> np.ndarray:
     """A weight above 0 for every gram; present: how many of the n texts of each label have it, a row for each label.
 
@@ -135,7 +147,8 @@ def gradients(emb: np.ndarray, out: np.ndarray, bias: np.ndarray, doc: np.ndarra
 def train(texts: list[str], toxic: list[int], dim: int = 8, epochs: int = 16, batch: int = 256, rate: float = 0.1, seed: int = 1) -> Model:
     """Embeddings and softmax jointly, over the texts' weighted means of the embeddings of all their grams.
 
-    Every gram is in the mean, by its weight (gram_weights). Each step takes a
+    Every gram is in the mean, by its weight (gram_weights); those that are less than a
+    millionth of a text's mean aren't held for it while training. Each step takes a
     batch of texts and moves each number by its gradient over the root of
     the sum of its squared gradients. A misspelling or an unseen ending shares
     most of its grams, and so vectors, with the word.
@@ -144,13 +157,16 @@ def train(texts: list[str], toxic: list[int], dim: int = 8, epochs: int = 16, ba
     if len(set(toxic)) < 2:  # nothing to tell apart: the rate of what there is
         share = float(np.clip(y.mean(), 0.01, 0.99)) if n else 0.5
         return Model(np.zeros(BUCKETS), np.zeros(BUCKETS), float(np.log(share / (1 - share))))
-    bags = [np.unique(grams(fold(t))[0].astype(np.int32), return_counts=True) for t in texts]
-    bags = [(g, c.astype(np.float32)) for g, c in bags]
-    present = np.stack([np.bincount(np.concatenate([np.zeros(0, np.int32), *(g for (g, _), label in zip(bags, toxic, strict=True) if label == v)]), minlength=BUCKETS) for v in (0, 1)])
+    present = np.zeros((2, BUCKETS))
+    for t, label in zip(texts, y, strict=True):
+        present[label, _bag(t)[0]] += 1
     weight = gram_weights(present, np.bincount(y, minlength=2))
-    for g, c in bags:  # counts become shares, in place
-        c *= weight[g]
-        c /= c.sum() + PAD
+    bags = []
+    for t in texts:
+        g, c = _bag(t)
+        share = weight[g] * c / (weight[g] @ c + PAD)
+        live = share > 1e-6  # the rest moves a mean by less than rounding does here
+        bags.append((g[live].astype(np.int32), share[live].astype(np.float32)))
     rng = np.random.default_rng(seed)
     params = (rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32), rng.normal(0, 0.5, (dim, 2)), np.zeros(2))
     squares = [np.full_like(p, 1e-6) for p in params]
@@ -161,9 +177,8 @@ def train(texts: list[str], toxic: list[int], dim: int = 8, epochs: int = 16, ba
             at = order[s : s + batch]
             doc = np.repeat(np.arange(len(at)), [len(bags[i][0]) for i in at])
             gram, share = (np.concatenate([bags[i][k] for i in at]) for k in (0, 1))
-            live = np.flatnonzero(share > 1e-7)
-            own, place = np.unique(gram[live], return_inverse=True)
-            grads = gradients(params[0][own], params[1], params[2], doc[live], place, share[live], truth[at])
+            own, place = np.unique(gram, return_inverse=True)
+            grads = gradients(params[0][own], params[1], params[2], doc, place, share, truth[at])
             for param, square, grad, rows in zip(params, squares, grads, (own, slice(None), slice(None)), strict=True):
                 square[rows] += grad**2
                 param[rows] -= rate * grad / np.sqrt(square[rows])
