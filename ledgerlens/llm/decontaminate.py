@@ -32,12 +32,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes that are hashed at a time, about.
+PART = 1 << 16
 #: A random number for each byte.
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash, start) of each word of folded bytes: differences of prefix sums of mixed bytes and places in the word."""
+    """(64-bit hash, start) of each word of folded bytes, in parts that a processor's cache holds."""
+    found, at = [], 0
+    while len(data) - at > PART:
+        end = data.rfind(b" ", at, at + PART)
+        end = data.find(b" ", at + PART) if end <= at else end
+        if end < 0:
+            break
+        h, start = _word_hashes(data[at:end])
+        found.append((h, start + at))
+        at = end
+    h, start = _word_hashes(data[at:] if at else data)
+    found.append((h, start + at))
+    return (h, start) if len(found) == 1 else tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Differences of prefix sums of mixed bytes and places in the word."""
     b = np.frombuffer(data, np.uint8)
     inside = np.concatenate([[False], b != 32, [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])

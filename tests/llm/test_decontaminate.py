@@ -95,6 +95,16 @@ def test_word_hashes_do_not_depend_on_place():
     assert len(seeds(a, 0)) == 0
 
 
+def test_word_hashes_in_parts_are_the_same(monkeypatch):
+    rng = random.Random(3)
+    data = " ".join("x" * rng.randrange(30) for _ in range(200)).encode() + b" " + b"y" * 200 + b"  end"
+    whole = word_hashes(data)
+    for part in (1, 7, 64):
+        monkeypatch.setattr(decontaminate, "PART", part)
+        h, start = word_hashes(data)
+        assert h.tolist() == whole[0].tolist() and start.tolist() == whole[1].tolist()
+
+
 def test_drop_contaminated_keeps_columns_and_clean_rows(spark):
     table, items = make(5)
     kept = drop_contaminated(docs(spark, table), spark.createDataFrame(items, "item_id long, text string"))
