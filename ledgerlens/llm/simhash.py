@@ -20,7 +20,7 @@ SEED = 42
 #: Shingles hashed at a time, and rows of bands compared at a time in a task.
 SLICE, CHUNK = 1 << 15, 400_000
 #: Set values of a block of a candidate group, about, and columns of the matrices by which two blocks are compared.
-BLOCK, COLUMNS = 1 << 16, 4096
+BLOCK, COLUMNS = 1 << 15, 4096
 #: Odd constants that derive further hash words from the first.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
@@ -148,7 +148,7 @@ def _tiles(group: np.ndarray, pop: np.ndarray, f: np.ndarray, node: np.ndarray,
     g_first, g_last = g[:, 0], g[np.arange(len(g)), last]
     real = g >= 0
     p_min, p_max = np.where(real, p, 1 << 30).min(1), np.where(real, p, -1).max(1)
-    batch = max(1, (1 << 21) // (tile * tile))
+    batch = max(1, (1 << 19) // (tile * tile))
     for d in range(len(g) if most is None else most):
         i = np.arange(len(g) - d)
         i = i[g_last[i] == g_first[i + d]] if d else i
