@@ -75,13 +75,15 @@ def hot_share(n_rows: int) -> int:
     return max(200, -(-n_rows // MAX_HOT_GROUPS))
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, spread: Iterable[Column | str]) -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, spread: Iterable[Column | str], merge: bool = False) -> DataFrame:
     """Left-join to `rows` what `groups` says of their key, without gathering a key's rows in one task.
 
     groups has one row per key, whose column `size` counts that key's rows of
     the n_rows. Keys of at least hot_share(n_rows) rows are at most
     MAX_HOT_GROUPS, so these are broadcast; the rows of the others are joined by
     a shuffle, in which the hot rows are dealt out by `spread` and match nothing.
+    Small other groups are broadcast if Spark sees fit, unless `merge` rules it out:
+    a loop of many joins would hold as many hash tables in each executor.
     """
     values = [c for c in groups.columns if c != key]
     least = hot_share(n_rows)
@@ -89,6 +91,7 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int,
     hot = told.where(F.col(f"_told.{size}") >= least).select(F.col("_key").alias("_hot_key"), F.col("_told").alias("_hot"))
     # one expression, so that the groups' own partitioning by key can't serve the join
     cold = told.where(F.col(f"_told.{size}") < least).select(F.struct("_key", F.lit(0).alias("_salt")).alias("_cold_key"), F.col("_told").alias("_cold"))
+    cold = cold.hint("merge") if merge else cold
     salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*spread), F.lit(1_000_000))).cast("int")
     out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     out = out.withColumn("_salted", F.struct(F.col(key).alias("_key"), salt.alias("_salt"))).join(cold, F.col("_salted") == F.col("_cold_key"), "left")

@@ -15,7 +15,7 @@ def _state(edges: DataFrame) -> tuple:
 
 def _joined_least(rows: DataFrame, least: DataFrame, n_rows: int) -> DataFrame:
     """(v, m): rows (u, v) with the least neighbour m of their u; the centre of a large star doesn't gather its rows."""
-    return attach(rows, least, "u", "_n", n_rows, ["v"]).select("v", "m")
+    return attach(rows, least, "u", "_n", n_rows, ["v"], merge=True).select("v", "m")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
