@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import decontaminate, exact_dedup, langid, line_dedup, lm_score, mixing, secrets, simhash, toxicity, wavelet
+from ledgerlens.llm import decontaminate, exact_dedup, langid, line_dedup, lm_score, mixing, secrets, simhash, toxicity, vector_codes, wavelet
 
 QUERIES = {
     "op1_secret_crf": secrets.op1_secret_crf,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_wavelet_shards": wavelet.op9_wavelet_shards,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_product_codes": vector_codes.op11_product_codes,
 }
 
 SQL = {
     "op3_line_dedup": line_dedup.ORACLE,
     "op5_stupid_backoff": lm_score.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_product_codes": vector_codes.ORACLE,
 }
