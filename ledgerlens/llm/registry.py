@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import decontaminate, exact_dedup, langid, line_dedup, lm_score, mixing, pieces, secrets, simhash, toxicity, vector_codes, wavelet
+from ledgerlens.llm import alignment, decontaminate, exact_dedup, langid, line_dedup, lm_score, mixing, pieces, secrets, simhash, toxicity, vector_codes, wavelet
 
 QUERIES = {
     "op1_secret_crf": secrets.op1_secret_crf,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_wavelet_shards": wavelet.op9_wavelet_shards,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_product_codes": vector_codes.op11_product_codes,
+    "op12_token_alignment": alignment.op12_token_alignment,
     "op13_piece_encoding": pieces.op13_piece_encoding,
 }
 
