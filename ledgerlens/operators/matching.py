@@ -8,18 +8,13 @@ from pyspark.sql import functions as F
 from ledgerlens import constants as k
 from ledgerlens.functions.jaro import jaro_distance
 from ledgerlens.functions.scalars import distinctive_tokens, elapsed_ratio, holds, member, normalise_org, normalise_text, safe_ratio
+from ledgerlens.operators.numbering import number_rows
 from ledgerlens.schemas import ensure_columns, fields
 
 AWARD_OPTIONAL = fields("grant_number string, total_outlays double, end_date date, sub_agency string, award_amount double, action_date date")
 NOTICE_OPTIONAL = fields("grant_number string, org_name string, notice_date date, award_amount double")
 
 
-def add_row_id(df: DataFrame, name: str) -> DataFrame:
-    """Two hashes of a row's values as text: the same whenever the row is computed again, and equal only for equal rows."""
-    values = sorted(df.columns)
-    return df.withColumn(name, F.concat_ws("-", F.xxhash64(*values), F.xxhash64(F.lit(name), *values)))
-
-
 def normalise_notices(notices: DataFrame) -> DataFrame:
     n = ensure_columns(notices, NOTICE_OPTIONAL)
     return n.withColumns({"grant_number": normalise_text(F.col("grant_number")), "org_name": normalise_org(F.col("org_name"))})
@@ -56,13 +51,35 @@ def common_letters(a: Column, b: Column) -> Column:
     return sum(shared, F.least(a["more"], b["more"]))
 
 
-def similar_names(left: DataFrame, right: DataFrame, most: float = k.FUZZY_DISTANCE) -> DataFrame:
+#: Names of a side that share a word and are compared by one task, at most about.
+WORD_BLOCK = 2000
+
+
+def dealt_words(left: DataFrame, right: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides' words (_w, name) with the blocks (_lb, _rb) in which their names meet.
+
+    A word that more than `block` names of a side hold is cut into blocks of names; every
+    block of the one side meets every block of the other as a key of its own. A
+    rarer word is a single key.
+    """
+    counts = [side.groupBy("_w").agg(F.count(F.lit(1)).alias(n)) for side, n in ((left, "_nl"), (right, "_nr"))]
+    often = counts[0].join(counts[1], "_w").where((F.col("_nl") > block) | (F.col("_nr") > block))
+    often = often.select("_w", F.ceil(F.col("_nl") / block).alias("_gl"), F.ceil(F.col("_nr") / block).alias("_gr"))
+    out = []
+    for side, name, own, other in ((left, "left_name", "_lb", "_rb"), (right, "right_name", "_rb", "_lb")):
+        mine, theirs = ("_gl", "_gr") if own == "_lb" else ("_gr", "_gl")
+        dealt = side.join(often, "_w", "left").withColumn(own, F.coalesce(F.pmod(F.xxhash64(name), F.col(mine)), F.lit(0)))
+        out.append(dealt.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(theirs), F.lit(1)) - 1))).drop("_gl", "_gr"))
+    return out[0], out[1]
+
+
+def similar_names(left: DataFrame, right: DataFrame, most: float = k.FUZZY_DISTANCE, block: int = WORD_BLOCK) -> DataFrame:
     """(left_name, right_name, org_name_dist) of distinct names that share a distinctive word, within the Jaro distance.
 
     A shared word is required anyway, so the join on words loses nothing, and
-    only distinct names are compared. The distance can't be met without so many
-    letters in common; pairs that have fewer, by the names' profiles, never leave the
-    join, whatever a word's share of the names, and only the others reach the Python function.
+    only distinct names are compared; words that many names hold are dealt out in blocks. The
+    distance can't be met without so many letters in common; pairs that have fewer, by the
+    names' profiles, never leave the join, and only the others reach the Python function.
     """
     sides = []
     for df, name in ((left, "left"), (right, "right")):
@@ -70,28 +87,37 @@ def similar_names(left: DataFrame, right: DataFrame, most: float = k.FUZZY_DISTA
         named = named.withColumns({f"_{name}_n": F.length(f"{name}_name"), f"_{name}_p": letter_profile(F.col(f"{name}_name"))})
         sides.append(named.withColumn("_w", F.explode(distinctive_tokens(F.col(f"{name}_name")))))
     enough = common_letters(F.col("_left_p"), F.col("_right_p")) * (1 / F.col("_left_n") + 1 / F.col("_right_n")) >= 2 - 3 * most - 1e-6
-    pairs = sides[0].join(sides[1], "_w").where((F.col("left_name") == F.col("right_name")) | enough).select("left_name", "right_name")
+    words = dealt_words(*sides, block)
+    pairs = words[0].join(words[1], ["_w", "_lb", "_rb"]).where((F.col("left_name") == F.col("right_name")) | enough).select("left_name", "right_name")
     # few bytes, but much to do with each: a number of partitions that adaptive execution leaves alone
     pairs = pairs.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "left_name", "right_name").distinct()
     return pairs.withColumn("org_name_dist", F.round(jaro_distance("left_name", "right_name"), 9)).where(F.col("org_name_dist") <= most)
 
 
-def fuzzy_pairs(notices: DataFrame, awards: DataFrame, days: int = k.FUZZY_DAYS, per_notice: int = k.FUZZY_PER_NOTICE) -> DataFrame:
-    """(notice_row_id, award_row_id, times): similar names and dates within `days`, for each notice the nearest `per_notice` awards.
+def least_per_day(awards: DataFrame, most: int) -> DataFrame:
+    """Of the awards of a name on a day, the `most` least by number, amount and id.
+
+    What comes first for a notice among these doesn't depend on the notice, so no other can be
+    needed. Tasks keep as many a key before the shuffle.
+    """
+    order = Window.partitionBy("right_name", "action_date").orderBy("grant_number", "award_amount", "award_row_id")
+    return awards.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
+
+
+def nearest_awards(notices: DataFrame, awards: DataFrame, names: DataFrame, days: int = k.FUZZY_DAYS, per_notice: int = k.FUZZY_PER_NOTICE) -> DataFrame:
+    """(left_name, notice_date, award_row_id): for each name and date of a notice the nearest `per_notice` awards of similar names within `days`.
 
-    Dates are matched in buckets of `days`: a notice goes to three, an award to one. Only what the
-    ranking needs is carried. Ties in the distance go by the award's number, amount and date. An award
-    that repeats is ranked each time, and `times` says how often it is among the nearest.
+    Dates are matched in buckets of `days`: a date goes to three, an award to one. Ties in the
+    distance go by the award's number, amount, date and id, so an award that repeats is ranked each time.
     """
-    n = notices.select("notice_row_id", F.col("org_name").alias("left_name"), "notice_date").where("left_name is not null and notice_date is not null")
+    n = notices.select(F.col("org_name").alias("left_name"), "notice_date").where("left_name is not null and notice_date is not null").distinct()
     a = awards.select("award_row_id", F.col("org_name").alias("right_name"), "action_date", "grant_number", "award_amount").where("right_name is not null and action_date is not null")
     bucket = lambda d: F.floor(F.date_diff(d, F.lit("1970-01-01")) / days)
     n = n.withColumn("_b", F.explode(F.array(*[bucket(F.col("notice_date")) + i for i in (-1, 0, 1)])))
-    a = a.withColumn("_b", bucket(F.col("action_date")))
-    met = n.join(similar_names(notices, awards), "left_name").join(a, ["right_name", "_b"]).where(F.abs(F.date_diff("action_date", "notice_date")) <= days)
-    order = Window.partitionBy("notice_row_id").orderBy("org_name_dist", "grant_number", "award_amount", "action_date", "award_row_id")
-    best = met.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_notice)
-    return best.groupBy("notice_row_id", "award_row_id").agg(F.count(F.lit(1)).alias("times"))
+    a = least_per_day(a, per_notice).withColumn("_b", bucket(F.col("action_date")))
+    met = n.join(names, "left_name").join(a, ["right_name", "_b"]).where(F.abs(F.date_diff("action_date", "notice_date")) <= days)
+    order = Window.partitionBy("left_name", "notice_date").orderBy("org_name_dist", "grant_number", "award_amount", "action_date", "award_row_id")
+    return met.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_notice).select("left_name", "notice_date", "award_row_id")
 
 
 def classify(active_despite_terminated: Column, no_recent_activity: Column, missing_outlays: Column, not_tracked: Column, sub_agency: Column, non_research=k.NON_RESEARCH_SUB_AGENCIES) -> Column:
@@ -128,30 +154,25 @@ def join_and_flag(notices: DataFrame, awards: DataFrame, as_of, fuzzy: bool = Tr
 
     What matched exactly on either side isn't offered to the fuzzy match. Notices
     that match nothing are dropped. Empty tables need no branch: all awards come
-    out alone. Null notice dates are never terminated and never match by name.
+    out alone. Null notice dates are never terminated and never match by name. Awards that
+    repeat are awards each: those that no notice takes come out alone, beside copies that match.
     """
-    n = normalise_notices(notices)
-    # equal notices are one in the ranking, and are multiplied again after it
-    n = add_row_id(n.groupBy(*n.columns).agg(F.count(F.lit(1)).alias("_copies")), "notice_row_id")
-    a = add_row_id(normalise_awards(awards), "award_row_id")
-    # pairs of row ids first, from few columns; then each table's other columns are joined once
-    slim_n = n.select("notice_row_id", "grant_number", "org_name", "notice_date")
-    slim_a = a.select("award_row_id", "grant_number", "org_name", "action_date", "award_amount")
-    pairs = slim_n.where("grant_number is not null").join(slim_a.select("award_row_id", "grant_number").distinct(), "grant_number").select("notice_row_id", "award_row_id", F.lit(None).cast("long").alias("times"), F.lit("exact").alias("match_method"))
-    if fuzzy:
-        by_number = lambda left, right: left.join(right.select(F.col("grant_number").alias("_g")).where("_g is not null").distinct(), F.col("grant_number") == F.col("_g"), "left_anti")
-        near = fuzzy_pairs(by_number(slim_n, slim_a), by_number(slim_a, slim_n))
-        pairs = pairs.unionByName(near.withColumn("match_method", F.lit("fuzzy")))
-        # a repeated award that is among the nearest fewer times than it repeats
-        a = a.withColumn("_i", F.row_number().over(Window.partitionBy("award_row_id").orderBy("award_row_id")))
-    met = a.join(pairs.withColumnRenamed("notice_row_id", "_nid"), "award_row_id", "left")
-    met = met.where("times is null or _i <= times").drop("_i") if fuzzy else met
-    told = (n if fuzzy else n.drop("grant_number")).withColumnsRenamed({c: f"{c}_notice" for c in n.columns if c in a.columns})
-    rows = met.join(told, F.col("_nid") == F.col("notice_row_id"), "left").withColumn("match_method", F.coalesce("match_method", F.lit("unmatched_award")))
-    if fuzzy:  # an exact match has one number
-        rows = rows.withColumn("grant_number_notice", F.when(F.col("match_method") == "fuzzy", F.col("grant_number_notice")))
-    rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.coalesce("_copies", F.lit(1)).cast("int"))))
-    return add_flags(rows.drop("_copies", "_i", "times", "_nid"), as_of, non_research).drop("notice_row_id", "award_row_id")
+    n, a = normalise_notices(notices), normalise_awards(awards)
+    told = n.withColumnsRenamed({c: f"{c}_notice" for c in n.columns if c in a.columns})
+    by_number = F.col("grant_number") == F.col("grant_number_notice")
+    alone = F.lit("unmatched_award")
+    if not fuzzy:  # one join says all
+        rows = a.join(told.withColumn("match_method", F.lit("exact")), by_number, "left").drop("grant_number_notice")
+        return add_flags(rows.withColumn("match_method", F.coalesce("match_method", alone)), as_of, non_research)
+    exact = a.join(told, by_number).withColumns({"grant_number_notice": F.lit(None).cast("string"), "match_method": F.lit("exact")})
+    left_n = told.join(a.select("grant_number").where("grant_number is not null").distinct(), by_number, "left_anti")
+    left_a = number_rows(a.join(n.select(F.col("grant_number").alias("grant_number_notice")).where("grant_number_notice is not null").distinct(), by_number, "left_anti"), "award_row_id")
+    best = nearest_awards(left_n.select(F.col("org_name_notice").alias("org_name"), "notice_date"), left_a, similar_names(n, a))
+    # an award that no notice takes has no date, and a key of its own, so that these are spread
+    met = left_a.join(best.withColumnRenamed("notice_date", "_date"), "award_row_id", "left")
+    met = met.withColumns({"_name": F.coalesce("left_name", F.col("award_row_id").cast("string")), "match_method": F.when(F.col("left_name").isNull(), alone).otherwise("fuzzy")})
+    near = met.join(left_n, (F.col("org_name_notice") == F.col("_name")) & (F.col("notice_date") == F.col("_date")), "left").drop("award_row_id", "left_name", "_date", "_name")
+    return add_flags(exact.unionByName(near), as_of, non_research)
 
 
 def sort_discrepancies(df: DataFrame) -> DataFrame:

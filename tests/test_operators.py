@@ -57,11 +57,80 @@ def test_fuzzy_window_cap_and_copies(spark):
 
 
 def test_repeated_awards_are_ranked_each_time(spark):
-    """Seven equal awards: five are the nearest to the notice, and none comes out alone; equal rows that match by number all do."""
+    """Seven equal awards: five are the nearest to the notice, and two come out alone; equal rows that match by number all do."""
     same = [("A1", "ACME LABS", 1.0, 1.0, START, PAST, None)] * 7
     n = notices(spark, (None, "Acme Labs", D(2025, 2, 1), None), ("B", "x", D(2025, 2, 1), None), ("B", "x", D(2025, 2, 1), None))
     rows = matching.join_and_flag(n, awards(spark, *same, *[("B", "Other", 1.0, 1.0, START, PAST, None)] * 3), NOW).collect()
-    assert sorted((r.grant_number, r.match_method) for r in rows) == [("A1", "fuzzy")] * 5 + [("B", "exact")] * 6
+    assert sorted((r.grant_number, r.match_method) for r in rows) == [("A1", "fuzzy")] * 5 + [("A1", "unmatched_award")] * 2 + [("B", "exact")] * 6
+
+
+def test_awards_that_differ_in_where_a_null_stands(spark):
+    """Both come out: one matches by its name, the other alone."""
+    schema = "agency_name string, award_amount double, recipient_name string, org_name string, action_date date, end_date date, total_outlays double, sub_agency string, grant_number string"
+    a = spark.createDataFrame([("NSF", 1.0, None, "ACME LABS", START, PAST, 1.0, None, None), ("NSF", 1.0, "ACME LABS", None, START, PAST, 1.0, None, None)], schema)
+    rows = matching.join_and_flag(notices(spark, (None, "Acme Labs", D(2025, 2, 1), None)), a, NOW).collect()
+    assert sorted((r.match_method, r.org_name) for r in rows) == [("fuzzy", "ACME LABS"), ("unmatched_award", None)]
+
+
+def test_row_numbers(spark):
+    """1 to n, distinct for repeated rows and for rows that differ in where a null stands; one hot row is no load of a window."""
+    from ledgerlens.operators.numbering import number_rows
+
+    rows = [(None, "x", 1.0), ("x", None, 1.0), (None, None, None), (None, None, None)] + [("hot", "hot", 2.0)] * 300 + [(str(i), None, float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "a string, b string, c double").repartition(7)
+    for buckets in (1, 3, 64):
+        got = number_rows(df, "id", buckets=buckets).collect()
+        assert sorted(r.id for r in got) == list(range(1, len(rows) + 1))
+        assert sorted((r.a, r.b, r.c) for r in got if r.c != 2.0 and r.a and r.b) == [] and sorted(map(str, [(r.a, r.b, r.c) for r in got])) == sorted(map(str, rows))
+    one, two = ({(r.a, r.b, r.c): r.id for r in number_rows(d, "id").where("c <> 2.0").collect()} for d in (df, df.coalesce(1)))
+    assert one == two
+    assert number_rows(df.limit(0), "id").count() == 0
+
+
+def jaro_pairs(left, right, most=0.08):
+    from ledgerlens import constants
+    from ledgerlens.functions.jaro import jaro
+
+    words = lambda x: set(x.split()) - set(constants.ORG_STOPWORDS)
+    both = [(x, y) for x in set(left) for y in set(right) if words(x) & words(y)]
+    return {(x, y) for (x, y), s in zip(both, jaro([x for x, _ in both], [y for _, y in both])) if round(1 - s, 9) <= most}
+
+
+def test_a_word_that_most_names_hold(spark):
+    """Its names meet in blocks: the same pairs as all against all, and no key with more than a few blocks' pairs."""
+    import random
+
+    rng = random.Random(3)
+    noise = lambda: "".join(rng.choice("ABCDE") for _ in range(3))
+    names = [[f"COMMONWORD {noise()} {noise()}" if rng.random() < 0.7 else f"{noise()} RARE{rng.randrange(30)} INSTITUTION" for _ in range(160)] for _ in range(2)]
+    left, right = (spark.createDataFrame([(x,) for x in side], "org_name string") for side in names)
+    for block in (7, 2000):
+        got = {(r.left_name, r.right_name) for r in matching.similar_names(left, right, block=block).collect()}
+        assert got == jaro_pairs(*names)
+    sides = [spark.createDataFrame([(w, x) for x in set(side) for w in set(x.split())], f"_w string, {n} string") for side, n in zip(names, ("left_name", "right_name"))]
+    dealt = matching.dealt_words(*sides, 7)
+    per_key = dealt[0].groupBy("_w", "_lb", "_rb").count().withColumnRenamed("count", "l").join(dealt[1].groupBy("_w", "_lb", "_rb").count().withColumnRenamed("count", "r"), ["_w", "_lb", "_rb"])
+    assert per_key.selectExpr("max(l * r)").first()[0] <= (3 * 7) ** 2
+    met = dealt[0].join(dealt[1], ["_w", "_lb", "_rb"]).groupBy("_w", "left_name", "right_name").count()
+    plain = sides[0].join(sides[1], "_w")
+    assert met.count() == plain.count() and met.selectExpr("max(count)").first()[0] == 1
+
+
+def test_a_name_with_very_many_awards(spark):
+    """At most five a day reach the join by dates, and the result is that of ranking all."""
+    days = [START + dt.timedelta(i % 4) for i in range(3000)]
+    a = awards(spark, *[(f"A{(i * 7919) % 3000:04}", "ACME LABS", float(i % 3), 1.0, d, PAST, None) for i, d in enumerate(days)])
+    n = notices(spark, (None, "Acme Labs", D(2025, 2, 1), None), (None, "Acme Lab", D(2025, 4, 17), None), (None, "Acme Labs", D(2025, 2, 1), None))
+    rows = matching.join_and_flag(n, a, NOW).collect()
+    near = sorted((r.org_name_notice, r.grant_number) for r in rows if r.match_method == "fuzzy")
+    # of the second notice only two days are within reach
+    late = sorted(f"A{(i * 7919) % 3000:04}" for i, d in enumerate(days) if (D(2025, 4, 17) - d).days <= 90)[:5]
+    assert near == sorted([("ACME LABS", f"A{i:04}") for i in range(5)] * 2 + [("ACME LAB", g) for g in late])
+    assert len(rows) == 15 + 3000 - len({f"A{i:04}" for i in range(5)} | set(late))
+    numbered = matching.normalise_awards(a).withColumnRenamed("org_name", "right_name").withColumn("award_row_id", F.monotonically_increasing_id())
+    kept = matching.least_per_day(numbered, 5)
+    assert kept.groupBy("right_name", "action_date").count().selectExpr("max(count)", "count(*)").first()[:] == (5, 4)
+    assert "WindowGroupLimit" in kept._jdf.queryExecution().executedPlan().toString()
 
 
 def test_names_are_compared_once_in_the_plan(spark):
