@@ -10,14 +10,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import id_text, materialise, table
+from ledgerlens.llm.common import id_text, table
 from ledgerlens.llm.decontaminate import mix, word_hashes
 
 ORDER, ALPHA = 3, 0.4
 #: Words of a chunk, about: what is counted together before any gram is sent.
-CHUNK = 1 << 20
-#: Grams of the chunks that a partition of the count tables should get, about.
-PART_GRAMS = 1 << 22
+CHUNK = 1 << 21
+#: Grams of the chunks that a range of hashes should get, about, and grams in a character of text.
+PART_GRAMS, GRAMS_PER_CHARACTER = 1 << 22, 0.3
 #: Bytes of a text that are cut into words at a time.
 SLICE = 1 << 20
 #: A-Z lower-cased; white space [\x20\x09-\x0D] as blanks.
@@ -45,9 +45,30 @@ def _words(text: str) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    """Documents as word sequences, CHUNK words a row: chunk, doc_ids, lengths, vocab (hashes), seq (places in vocab)."""
-    schema = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("vocab", pa.binary()), ("seq", pa.binary())])
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Integers compressed by planes of bytes."""
+    return _ZSTD.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), asbytes=True) if len(values) else b""
+
+
+def _unpack(data: bytes, n: int, dtype: str) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    planes = _ZSTD.decompress(data, n * size, asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(dtype).ravel()
+
+
+BODY = "doc_ids array<long>, lengths array<long>, vocab binary, n_vocab int, places binary"
+
+
+def _chunks(docs: DataFrame, parts: int) -> DataFrame:
+    """Documents as word sequences, CHUNK words a row: chunk, body (ids, lengths, word hashes and, packed, each word's place in these).
+
+    They are dealt out by chunk and stand in one column, so that all that is made of them reads the same shuffle.
+    """
+    body = pa.struct([("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("vocab", pa.binary()), ("n_vocab", pa.int32()), ("places", pa.binary())])
+    schema = pa.schema([("chunk", pa.int64()), ("body", body)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 32
@@ -56,9 +77,12 @@ def _chunks(docs: DataFrame) -> DataFrame:
         size = 0
 
         def full() -> pa.RecordBatch:
-            vocab, seq = np.unique(np.concatenate(held), return_inverse=True)
-            row = {"chunk": at, "doc_ids": ids, "lengths": [len(w) for w in held], "vocab": vocab.astype("<u8").tobytes(), "seq": seq.astype("<u4").tobytes()}
-            return pa.RecordBatch.from_pylist([row], schema)
+            vocab, seq, often = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+            by = np.argsort(-often, kind="stable")  # frequent words get small places
+            place = np.empty(len(by), "<u4")
+            place[by] = np.arange(len(by))
+            row = {"doc_ids": ids, "lengths": [len(w) for w in held], "vocab": vocab[by].astype("<u8").tobytes(), "n_vocab": len(vocab), "places": _pack(place[seq])}
+            return pa.RecordBatch.from_pylist([{"chunk": at, "body": row}], schema)
 
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
@@ -71,13 +95,70 @@ def _chunks(docs: DataFrame) -> DataFrame:
         if ids:
             yield full()
 
-    out = docs.mapInArrow(run, "chunk long, doc_ids array<long>, lengths array<long>, vocab binary, seq binary")
-    return materialise(out, "word-chunks", compression="zstd", maxRecordsPerFile="4")
+    return docs.mapInArrow(run, f"chunk long, body struct<{', '.join(c.replace(' ', ': ', 1) for c in BODY.split(', '))}>").repartition(parts, "chunk")
+
+
+def _sequence(body: dict) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.array(body["lengths"], np.int64)
+    words = np.frombuffer(body["vocab"], "<u8")[_unpack(body["places"], int(lengths.sum()), "<u4")]
+    return words, np.repeat(np.arange(len(lengths)), lengths)
 
 
-def _sequence(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    words = np.frombuffer(row["vocab"], "<u8")[np.frombuffer(row["seq"], "<u4")] if row["seq"] else np.zeros(0, np.uint64)
-    return words, np.repeat(np.arange(len(row["lengths"])), row["lengths"])
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of each chunk; reads whole rows, so that Spark finds the shuffle that is there."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([sum(b.column("body")[i].as_py()["lengths"]) for i in range(b.num_rows)], pa.int64())], ["n"])
+
+
+def _known(words: np.ndarray, doc: np.ndarray, order: int, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's different grams of an order, ascending, how often it has each, each occurrence's place in them and last word, and where ranges of hashes are cut."""
+    h, at = _grams(words, doc, order)
+    known, where, n = np.unique(h, return_inverse=True, return_counts=True)
+    edges = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
+    return known, n, where, at, np.concatenate([[0], np.searchsorted(known, edges), [len(known)]])
+
+
+def gram_rows(chunks: DataFrame, order: int, ranges: int) -> DataFrame:
+    """The n-grams of all orders that each chunk holds and how often, a row for each range of hashes: part, chunk, size, grams, counts (both packed)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                words, doc = _sequence(b.column("body")[i].as_py())
+                own = [_known(words, doc, k, ranges) for k in range(1, order + 1)]
+                rows: list[list] = [[], [], [], []]
+                for p in range(ranges):
+                    grams, n = (np.concatenate([o[c][o[4][p] : o[4][p + 1]] for o in own]) for c in (0, 1))
+                    if len(grams):
+                        for column, value in zip(rows, (p, len(grams), _pack(np.diff(grams, prepend=np.uint64(0)).astype("<u8")), _pack(n.astype("<u4"))), strict=True):
+                            column.append(value)
+                chunk = pa.array([b.column("chunk")[i].as_py()] * len(rows[0]), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), chunk, pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], ["part", "chunk", "size", "grams", "counts"])
+
+    return chunks.mapInArrow(run, "part int, chunk long, size int, grams binary, counts binary")
+
+
+def joined_counts(rows: DataFrame) -> DataFrame:
+    """For each of gram_rows(): part, chunk, and `beyond`, how often other chunks hold each of its grams, in their order.
+
+    A range's rows meet in one task, are exploded and summed to the range's count table, and joined with it by
+    their whole 64-bit hash. A gram is one number a chunk there, however frequent it is.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        sizes = table.column("size").to_pylist()
+        grams, counts = [], []
+        for i, size in enumerate(sizes):
+            grams.append(np.cumsum(_unpack(table.column("grams")[i].as_py(), size, "<u8"), dtype=np.uint64))
+            counts.append(_unpack(table.column("counts")[i].as_py(), size, "<u4").astype(np.int64))
+        n = np.concatenate(counts)
+        gram, where = np.unique(np.concatenate(grams), return_inverse=True)  # the count table's keys, and the join
+        total = np.zeros(len(gram), np.int64)
+        np.add.at(total, where, n)
+        beyond = np.split((total[where] - n).astype("<u8"), np.cumsum(sizes)[:-1])
+        return pa.table([table.column("part"), table.column("chunk"), pa.array([_pack(x) for x in beyond], pa.binary())], ["part", "chunk", "beyond"])
+
+    return rows.groupBy("part").applyInArrow(run, "part int, chunk long, beyond binary")
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, leave_out: bool = True) -> DataFrame:
@@ -89,65 +170,70 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     document doesn't vouch for itself; with leave_out=False in all. Words are
     [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; grams don't reach over documents.
 
-    1. Each task turns its documents into chunks of word hashes (a written table).
-    2. Chunks are exploded into rows (gram, chunk, count), one for each gram that a
-       chunk holds, whose 64-bit hash is the key. Partitioned by it, the rows are
-       summed into the count table of all orders and joined with it. A very
-       frequent gram is one row a chunk.
-    3. Counts beyond a chunk's own go back to it, and its documents' scores are summed.
+    1. Each task turns its documents into chunks of word hashes.
+    2. Each chunk's grams, its count of each beside them, are dealt out by ranges of their
+       64-bit hash. In a range they are summed to its count table and joined with it.
+    3. What other chunks hold goes back to a chunk, and its documents' scores are summed.
 
-    Partitions grow with the corpus, so that none reads more than about PART_GRAMS
-    rows. Null or empty texts have no words and score 0. Null ids and repeated
+    Grams travel in columns, a row for a chunk and a range, since a row for
+    each gram is some 20 bytes, twice. Ranges grow with the corpus, so that none gets more than
+    about PART_GRAMS grams. Null or empty texts have no words and score 0. Null ids and repeated
     rows are rows like others (a copy vouches for the other). No rows give no
-    rows; other columns are not read.
+    rows; other columns are not read. A text beyond a chunk's words makes a larger chunk.
     """
-    chunks = _chunks(id_text(docs, id_col, text_col))
-    total = chunks.select(F.explode("lengths").alias("n")).agg(F.sum("n")).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), order * total // PART_GRAMS)
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                words, doc = _sequence(row)
-                for k in range(1, order + 1):
-                    g, n = np.unique(_grams(words, doc, k)[0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(g), row["chunk"])), pa.array(n.astype(np.int32))], ["gram", "chunk", "n"])
-
-    rows = chunks.mapInArrow(explode, "gram long, chunk long, n int").repartition(parts, "gram")
-    counts = rows.groupBy("gram").agg(F.sum("n").alias("total"))
-    beyond = rows.join(counts, "gram").where("total > n").select("chunk", "gram", "total")
+    given = id_text(docs, id_col, text_col)
+    size = given.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(least, int(GRAMS_PER_CHARACTER * size / PART_GRAMS))
+    chunks = _chunks(given, max(least, size // (4 * CHUNK)))
+    beyond = joined_counts(gram_rows(chunks, order, ranges).repartition(ranges, "part"))
 
     def score(own: pa.Table, told: pa.Table) -> pa.Table:
-        row = {c: own.column(c)[0].as_py() for c in own.column_names}
-        words, doc = _sequence(row)
-        lengths = np.array(row["lengths"], np.int64)
-        rest = np.maximum(1, total - lengths * leave_out)
-        gram, count = (told.column(c).to_numpy() for c in ("gram", "total"))
-        by_gram = np.argsort(gram := gram.view(np.uint64))
-        gram, count = np.append(gram[by_gram], np.uint64(0)), np.append(count[by_gram], 0)
+        body = own.column("body")[0].as_py()
+        words, doc = _sequence(body)
+        lengths = np.array(body["lengths"], np.int64)
+        by_part = dict(zip(told.column("part").to_pylist(), told.column("beyond"), strict=True))
+        orders = [_known(words, doc, k, ranges) for k in range(1, order + 1)]
+        others: list[list[np.ndarray]] = [[] for _ in orders]
+        for p in range(ranges):
+            cuts = [o[4][p + 1] - o[4][p] for o in orders]
+            if sum(cuts):
+                for mine, part in zip(others, np.split(_unpack(by_part[p].as_py(), int(sum(cuts)), "<u8"), np.cumsum(cuts)[:-1]), strict=True):
+                    mine.append(part)
         best = np.zeros(len(words))
         seen = np.zeros(len(words), np.int64)  # count elsewhere of the gram one shorter that ends at each word
-        for k in range(1, order + 1):
-            h, at = _grams(words, doc, k)
-            known, where, totals = np.unique(h, return_inverse=True, return_counts=True)
-            place = np.searchsorted(gram[:-1], known)
-            totals = np.where((gram[place] == known) & (count[place] > 0), count[place], totals)
-            c = totals[where]
-            if leave_out and len(h):
+        known_words = unknown_words = np.zeros(len(lengths), np.int64)
+        last = np.full(len(words), True)  # words whose score comes down to the word alone
+        for k in range(order, 0, -1):
+            known, n, where, at, _ = orders[k - 1]
+            c = (np.concatenate(others[k - 1]).astype(np.int64) + n if len(known) else n)[where]
+            if leave_out and len(at):
                 _, pair, own_n = np.unique(doc[at] * len(known) + where, return_inverse=True, return_counts=True)
                 c = c - own_n[pair]
+            orders[k - 1] = (at, c)
+        for k in range(1, order + 1):
+            at, c = orders[k - 1]
             if k == 1:
-                unknown = np.log(1 / (rest + 1.0))[doc[at]]
-                best[at] = np.where(c > 0, np.log(np.maximum(c, 1)) - np.log(rest)[doc[at]], unknown)
+                best[at] = np.where(c > 0, np.log(np.maximum(c, 1)), 0.0)
             else:
                 context = seen[at - 1]  # counts of the (k - 1)-gram before the word
                 best[at] = np.where(c > 0, np.log(np.maximum(c, 1)) - np.log(np.maximum(context, 1)), np.log(alpha) + best[at])
+                last[at[c > 0]] = False
             seen = np.zeros(len(words), np.int64)
             seen[at] = c
+        if len(words):
+            alone = np.zeros(len(words), bool)
+            alone[orders[0][0][orders[0][1] > 0]] = True
+            known_words, unknown_words = (np.bincount(doc[m], minlength=len(lengths)) for m in (last & alone, last & ~alone))
         sums = np.bincount(doc, best, len(lengths)) if len(words) else np.zeros(len(lengths))
-        return pa.table([pa.array(row["doc_ids"], pa.int64()), pa.array(lengths), pa.array(sums)], ["doc_id", "n_words", "log_score"])
+        return pa.table([pa.array(body["doc_ids"], pa.int64()), pa.array(lengths), pa.array(sums), pa.array(known_words), pa.array(unknown_words)], ["doc_id", "n_words", "_sum", "_known", "_unknown"])
 
-    return chunks.groupBy("chunk").cogroup(beyond.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, log_score double")
+    scored = chunks.groupBy("chunk").cogroup(beyond.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, _sum double, _known long, _unknown long")
+    # words known or not by themselves alone are divided by the words of the rest
+    total = chunks.mapInArrow(_lengths, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_total"))
+    rest = F.greatest(F.lit(1), F.col("_total") - (F.col("n_words") if leave_out else F.lit(0)))
+    log_score = F.col("_sum") - F.col("_known") * F.ln(rest) - F.col("_unknown") * F.ln(rest + 1)
+    return scored.crossJoin(F.broadcast(total)).select("doc_id", "n_words", log_score.alias("log_score"))
 
 
 def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,6 +75,14 @@ def test_scores_over_many_chunks(spark, order):
     assert rows(found) == brute_lm(table, order)
 
 
+def test_chunks_are_made_once(spark):
+    """What needs the chunks reads one shuffle of them, and grams are shuffled once."""
+    df = lm_scores(docs(spark, corpus(3)))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("MapInArrow run(doc_id") == 1 and plan.count("MapInArrow run(chunk") == 1 and plan.count("ReusedExchange") >= 2
+
+
 def test_words_of_long_texts_are_those_of_short_ones(monkeypatch):
     text = "alpha  beta\tgamma " * 500
     whole = lm_score._words(text)
