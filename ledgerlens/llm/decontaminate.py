@@ -7,7 +7,8 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import materialise, table
@@ -16,8 +17,8 @@ from ledgerlens.llm.common import materialise, table
 MASKS = ("11111", "110111", "1101011", "11001011", "101010101")
 #: Bits of the filter that every task gets, at most (16 MB), and for each benchmark seed; bits that a seed sets.
 FILTER_BITS, BITS_PER_SEED, PROBES = 1 << 27, 64, 4
-#: Words kept on both sides of a run of hits, and the gap that ends a run.
-FLANK, GAP = 64, 32
+#: Words kept on both sides of a run of hits, the gap that ends a run, and the most words of a run that travel together.
+FLANK, GAP, PIECE = 64, 32, 4096
 #: Bytes of text that a task works on at a time.
 SLICE = 1 << 20
 
@@ -97,17 +98,16 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
 
 
 def _item_seeds(items: DataFrame) -> DataFrame:
-    """seed, item_id, item_at of each position and mask of each item."""
+    """seed, item (an item's number) of each position and mask of each item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for item, words in zip(b.column("item_id"), b.column("words"), strict=True):
+            for item, words in zip(b.column("item"), b.column("words"), strict=True):
                 w = np.array(words.as_py(), np.int64).view(np.uint64)
-                for m in range(len(MASKS)):
-                    s = seeds(w, m).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(s), pa.array([item.as_py()] * len(s), pa.int64()), pa.array(np.arange(len(s)))], ["seed", "item_id", "item_at"])
+                s = np.unique(np.concatenate([seeds(w, m) for m in range(len(MASKS))])).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array([item.as_py()] * len(s), pa.int64())], ["seed", "item"])
 
-    return items.mapInArrow(run, "seed long, item_id long, item_at long")
+    return items.select("item", "words").mapInArrow(run, "seed long, item long")
 
 
 def probes(seed: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -155,28 +155,40 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     non-ASCII characters, A-Z lower-cased.
 
     1. Each task hashes its documents' words at every position under every mask
-       and keeps the seeds that a filter of the benchmark's seeds has. The filter
-       is all that is broadcast, and its size is bounded (FILTER_BITS).
-    2. What is kept joins the benchmark's seeds, an ordinary join whose side
-       Spark broadcasts only below its size threshold.
-    3. Each (passage, item) is compared word by word at every offset that a hit
-       gives; a stretch counts if it has min_words words (or the whole item, if
+       and keeps the seeds that a filter of the benchmark's seeds has, with the words around
+       them, in pieces of PIECE words at most. The filter is all that is broadcast, and
+       its size is bounded (FILTER_BITS).
+    2. A piece's different seeds join the items' different seeds, an ordinary join whose side
+       Spark broadcasts only below its size threshold: however often a seed
+       repeats in a text or an item, it is one row of each.
+    3. Of each (document, item) that met, the pieces that the item can reach come together and are
+       compared word by word along every alignment that shares a seed;
+       a stretch counts if it has min_words words (or the whole item, if
        that is shorter, of 5 words at least) and the share `identity` of them
-       agrees. The longest stretch of each offset is found; of several offsets,
+       agrees. The longest stretch of each alignment is found; of several alignments,
        the one with the most words that agree.
 
     Null texts have no words; null item or document ids are ids like others.
     Repeated rows give one result. Empty tables give no rows; other columns
-    aren't read. A text of any length is worked on in slices that overlap.
+    aren't read. A text of any length is worked on in slices that overlap, and its
+    stretches don't end where a slice or a piece does.
     """
-    spark = docs.sparkSession
-    items = materialise(_items(benchmark, item_col, item_text_col), "benchmark-words")
-    item_seeds = materialise(_item_seeds(items), "benchmark-seeds")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.lit(0).cast("long").alias("also"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    held = _stretches(rows, benchmark, item_col, item_text_col, min_words, identity)
+    best = F.max(F.struct("n_same", -F.col("n_words"), -F.col("doc_start"), "n_words", "doc_start")).alias("b")
+    return held.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.n_words", "b.n_same", "b.doc_start")
+
+
+def _stretches(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, min_words: int, identity: float) -> DataFrame:
+    """overlaps() for each row (doc_id, also, text): doc_id, also, item_id, n_words, n_same, doc_start."""
+    spark = rows.sparkSession
+    items = materialise(_items(benchmark, item_col, item_text_col).withColumn("item", F.monotonically_increasing_id()), "benchmark-words")
+    item_seeds = materialise(_item_seeds(items).distinct(), "benchmark-seeds")
     bits, n_seeds = 1 << 15, item_seeds.count()
     while bits < FILTER_BITS and bits < n_seeds * BITS_PER_SEED:
         bits *= 2
     told = spark.sparkContext.broadcast(_filter(item_seeds, bits))
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("words", pa.list_(pa.int64())), ("hit_seed", pa.list_(pa.int64())), ("hit_at", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("also", pa.int64()), ("row", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("words", pa.list_(pa.int64())), ("seeds", pa.list_(pa.int64()))])
 
     def hits(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, seed) of seeds in the filter that lie in one document, by position."""
@@ -194,68 +206,123 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         order = np.argsort(at, kind="stable")
         return at[order], found[order]
 
-    def regions(texts: list[bytes], ids: list[int | None], offsets: list[int]) -> pa.RecordBatch:
+    def pieces(texts: list[bytes], ids: list[tuple[int | None, int | None, int]], offsets: list[int]) -> pa.RecordBatch:
         words, start = word_hashes(b" ".join(texts))
         begins = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
         doc = np.searchsorted(begins, start, "right") - 1
         first = np.searchsorted(start, begins)  # of each text's words
         last = np.append(first[1:], len(words))
         at, found = hits(words, doc)
-        rows = []
+        out = []
         cuts = np.flatnonzero((np.diff(at) > GAP) | (np.diff(doc[at]) != 0)) + 1 if len(at) else []
         for run in np.split(np.arange(len(at)), cuts) if len(at) else []:
-            for part in np.array_split(run, -(-len(run) // 4096)):
-                d = doc[at[part[0]]]
-                a, b = max(first[d], at[part[0]] - FLANK), min(last[d], at[part[-1]] + FLANK)
-                rows.append({"doc_id": ids[d], "start": int(a - first[d] + offsets[d]), "words": words[a:b].view(np.int64), "hit_seed": found[part].view(np.int64), "hit_at": at[part] - a})
-        return pa.RecordBatch.from_pylist(rows, schema)
+            d = doc[at[run[0]]]
+            shift = offsets[d] - first[d]  # to places in the whole text
+            a, b = max(first[d], at[run[0]] - FLANK), min(last[d], at[run[-1]] + FLANK)
+            for k in range(int(a + shift) // PIECE, int(b - 1 + shift) // PIECE + 1):
+                x, y = max(a, k * PIECE - shift), min(b, (k + 1) * PIECE - shift)
+                own = found[run[np.searchsorted(at[run], x) : np.searchsorted(at[run], y)]]
+                out.append({"doc_id": ids[d][0], "also": ids[d][1], "row": ids[d][2], "piece": k, "start": int(x + shift), "words": words[x:y].view(np.int64), "seeds": np.unique(own).view(np.int64)})
+        return pa.RecordBatch.from_pylist(out, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, ids, offsets, size = [], [], [], 0
+        row = TaskContext.get().partitionId() << 36
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                data, offset = fold(text.as_py()), 0
+            for doc_id, also, text in zip(b.column("doc_id").to_pylist(), b.column("also").to_pylist(), b.column("text"), strict=True):
+                data, offset, row = fold(text.as_py()), 0, row + 1
                 while data is not None:
                     part, data, skip = _next_slice(data)
                     texts.append(part)
-                    ids.append(doc_id)
+                    ids.append((doc_id, also, row))
                     offsets.append(offset)
                     offset += skip
                     size += len(part)
                     if size >= SLICE:
-                        yield regions(texts, ids, offsets)
+                        yield pieces(texts, ids, offsets)
                         texts, ids, offsets, size = [], [], [], 0
         if texts:
-            yield regions(texts, ids, offsets)
-
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    found = rows.mapInArrow(run, "doc_id long, start long, words array<long>, hit_seed array<long>, hit_at array<long>")
-    found = materialise(found.withColumn("region", F.xxhash64("doc_id", "start", "words")), "seed-hits")
-    hit = found.select("region", F.explode(F.arrays_zip("hit_seed", "hit_at")).alias("h")).select("region", F.col("h.hit_seed").alias("seed"), F.col("h.hit_at").alias("at"))
-    # a region and an item are both of bounded length, and so are the offsets between them
-    aligned = hit.join(item_seeds, "seed").groupBy("region", "item_id").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("offsets"))
-    both = aligned.join(found.select("region", "doc_id", "start", "words").dropDuplicates(["region"]), "region")
-    named = items.select(F.col("item_id").alias("_item"), F.col("words").alias("item_words"))
-    both = both.join(named, F.col("item_id").eqNullSafe(F.col("_item"))).select("doc_id", "item_id", "start", "words", "item_words", "offsets")
+            yield pieces(texts, ids, offsets)
+
+    found = rows.mapInArrow(run, "doc_id long, also long, row long, piece long, start long, words array<long>, seeds array<long>")
+    found = materialise(found, "seed-hits")
+    met = found.select("row", "piece", F.explode("seeds").alias("seed")).join(item_seeds, "seed").select("row", "piece", "item").distinct()
+    sized = items.select(F.col("item").alias("_item"), F.ceil(F.size("words") / PIECE).alias("_reach"))
+    near = met.join(sized, F.col("item") == F.col("_item")).select("row", "item", F.explode(F.sequence(F.col("piece") - F.col("_reach"), F.col("piece") + F.col("_reach"))).alias("piece")).distinct()
+    # no more than the text's pieces that the item reaches
+    told_pieces = near.join(found.select("row", "piece", "doc_id", "also", "start", "words"), ["row", "piece"])
+    together = told_pieces.groupBy("row", "item").agg(F.first("doc_id").alias("doc_id"), F.first("also").alias("also"), F.sort_array(F.collect_list(F.struct("start", "words"))).alias("pieces"))
+    named = items.select(F.col("item").alias("_item"), "item_id", F.col("words").alias("item_words"))
+    both = together.join(named, F.col("item") == F.col("_item")).select("doc_id", "also", "item_id", "pieces", "item_words")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {c: [] for c in ("doc_id", "item_id", "n_words", "n_same", "doc_start")}
-            for r in b.to_pylist():
-                w, i = np.array(r["words"], np.int64), np.array(r["item_words"], np.int64)
-                least = max(5, min(min_words, len(i)))
-                for o in r["offsets"]:
-                    a, e = max(0, o), min(len(w), o + len(i))
-                    same = w[a:e] == i[a - o : e - o]
-                    s, t = _longest_stretch(same, least, identity)
-                    if t:
-                        for c, v in zip(out, (r["doc_id"], r["item_id"], t - s, int(same[s:t].sum()), r["start"] + a + s), strict=True):
+            out: dict[str, list] = {c: [] for c in ("doc_id", "also", "item_id", "n_words", "n_same", "doc_start")}
+            for i in range(b.num_rows):
+                r = {c: b.column(c)[i] for c in b.schema.names}
+                item = r["item_words"].values.to_numpy()
+                parts = r["pieces"].values
+                starts, words = parts.field("start").to_numpy(), parts.field("words")
+                for start, w in _joined(starts, [words[j].values.to_numpy() for j in range(len(words))]):
+                    best = best_alignment(w, item, max(5, min(min_words, len(item))), identity)
+                    if best:
+                        n_words, n_same, at = best
+                        for c, v in zip(out, (r["doc_id"].as_py(), r["also"].as_py(), r["item_id"].as_py(), n_words, n_same, int(start) + at), strict=True):
                             out[c].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
 
-    held = both.mapInArrow(check, "doc_id long, item_id long, n_words long, n_same long, doc_start long")
-    best = F.max(F.struct("n_same", -F.col("n_words"), -F.col("doc_start"), "n_words", "doc_start")).alias("b")
-    return held.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.n_words", "b.n_same", "b.doc_start")
+    return both.mapInArrow(check, "doc_id long, also long, item_id long, n_words long, n_same long, doc_start long")
+
+
+def _joined(starts: np.ndarray, words: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Pieces of a text, in order, as stretches of words without a gap; pieces may overlap."""
+    held, first, end = [], 0, -1
+    for start, w in zip(starts.tolist(), words, strict=True):
+        if held and start <= end:
+            held.append(w[end - start :])
+        else:
+            if held:
+                yield first, np.concatenate(held)
+            held, first = [w], start
+        end = max(end, start + len(w)) if len(held) > 1 else start + len(w)
+    if held:
+        yield first, np.concatenate(held)
+
+
+def best_alignment(words: np.ndarray, item: np.ndarray, least: int, identity: float) -> tuple[int, int, int] | None:
+    """(n_words, n_same, start) of the stretch with the most words that agree, of the alignments that share a seed; fewer words, then the first, of equals.
+
+    Every alignment's agreeing words are counted first; alignments are gone through from
+    the most of these down, until none can hold more than what was found.
+    """
+    n, size = len(words), len(words) + len(item)
+    seeded, agree = np.zeros(size + 1, bool), np.zeros(size + 1, np.int64)
+    w, i = words.view(np.uint64), item.view(np.uint64)
+    for own, other, mark in (*((seeds(w, m), seeds(i, m), True) for m in range(len(MASKS))), (w, i, False)):
+        places = np.flatnonzero(np.isin(own, other))
+        by = places[np.argsort(own[places], kind="stable")]
+        lows, highs = (np.searchsorted(own[by], other, side) for side in ("left", "right"))
+        for q in np.flatnonzero(highs > lows).tolist():
+            at = by[lows[q] : highs[q]] - q + len(item)
+            if mark:
+                seeded[at] = True
+            else:
+                agree[at] += 1
+    offsets = np.flatnonzero(seeded)
+    best: tuple[int, int, int] | None = None
+    for k in offsets[np.argsort(-agree[offsets], kind="stable")].tolist():
+        o = k - len(item)
+        a, e = max(0, o), min(n, o + len(item))
+        if best and agree[k] < -best[0]:
+            break
+        if best and agree[k] == -best[0] == best[1] and a >= best[2]:
+            continue  # as many words at most, none fewer, and no earlier
+        same = words[a:e] == item[a - o : e - o]
+        s, t = _longest_stretch(same, least, identity)
+        if t:
+            found = (-int(same[s:t].sum()), t - s, a + s)
+            best = min(best, found) if best else found
+    return (best[1], -best[0], best[2]) if best else None
 
 
 def _next_slice(data: bytes) -> tuple[bytes, bytes | None, int]:
@@ -276,15 +343,22 @@ def _next_slice(data: bytes) -> tuple[bytes, bytes | None, int]:
     return part, data[back:], len(part[:back].split())
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def row_keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a row's id and text: together they tell apart more rows than there will ever be."""
+    values = docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    return F.xxhash64(*values), F.xxhash64(F.lit("also"), *values)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 12, identity: float = 0.8) -> DataFrame:
     """The rows of docs, all columns, in which overlaps() finds nothing.
 
-    Rows are told apart by a hash of id and text, so a row goes or stays by its own
+    Rows are told apart by two hashes of id and text, so a row goes or stays by its own
     text, whether its id is null or repeats.
     """
-    key = F.xxhash64(docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    bad = overlaps(docs.select(key.alias("doc_id"), docs[text_col].alias("text")), benchmark, **how).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, key == bad["_bad"], "left_anti")
+    keys = row_keys(docs, id_col, text_col)
+    rows = docs.select(keys[0].alias("doc_id"), keys[1].alias("also"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    bad = _stretches(rows, benchmark, "item_id", "text", min_words, identity).select(F.col("doc_id").alias("_bad"), F.col("also").alias("_bad_also")).distinct()
+    return docs.join(bad, (keys[0] == bad["_bad"]) & (keys[1] == bad["_bad_also"]), "left_anti")
 
 
 def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:

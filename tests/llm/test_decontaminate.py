@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -130,6 +131,40 @@ def test_one_word_over_and_over(spark):
     assert rows(found) == brute(table, items)
 
 
+@pytest.mark.parametrize(("piece", "slice_size"), [(4096, 1 << 20), (100, 1 << 20), (64, 3000)])
+def test_a_long_passage_is_reported_whole(spark, monkeypatch, piece, slice_size):
+    """An item of 3,000 words, verbatim after 50 others and once more with words replaced, whatever the pieces and slices."""
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
+    monkeypatch.setattr(decontaminate, "SLICE", slice_size)
+    rng = random.Random(8)
+    item = [f"p{rng.randrange(10**6)}" for _ in range(3000)]
+    worn = [w if rng.random() < 0.9 else "x" for w in item]
+    table = [(1, " ".join([f"o{i}" for i in range(50)] + item + ["after"] * 70), "en", "s", 1), (2, " ".join(["before"] * 300 + worn), "en", "s", 1)]
+    found = rows(overlaps(docs(spark, table), spark.createDataFrame([(7, " ".join(item)), (8, " ".join(item[1500:1530]))], "item_id long, text string")))
+    same = sum(a == b for a, b in zip(item, worn))
+    assert found[0] == (1, 7, 3000, 3000, 50) and found[1] == (1, 8, 30, 30, 1550)
+    assert found[2][:2] == (2, 7) and found[2][3] == same and 2990 <= found[2][2] <= 3000
+
+
+def test_one_word_over_and_over_in_long_texts(spark):
+    """200,000 times a word against 20 items of 500: no row for each pair of places."""
+    began = time.time()
+    items = [(i, "buffalo " * 500) for i in range(20)]
+    found = rows(overlaps(docs(spark, [(1, "buffalo " * 200_000, "en", "s", 1)]), spark.createDataFrame(items, "item_id long, text string")))
+    assert found == sorted([(1, i, 500, 500, 0) for i in range(20)], key=str)
+    assert time.time() - began < 120
+
+
+def test_rows_whose_first_hashes_collide(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    keys = decontaminate.row_keys
+    monkeypatch.setattr(decontaminate, "row_keys", lambda *a: (F.lit(5).cast("long"), keys(*a)[1]))
+    passage = " ".join(f"p{i}" for i in range(20))
+    kept = drop_contaminated(docs(spark, [(1, passage, "en", "s", 1), (2, "clean", "en", "s", 1)]), spark.createDataFrame([(7, passage)], "item_id long, text string"))
+    assert [r.doc_id for r in kept.collect()] == [2]
+
+
 def test_rows_go_by_their_own_text(spark):
     passage = " ".join(f"p{i}" for i in range(20))
     table = [(None, passage, "en", "s", 1), (None, "clean", "en", "s", 1), (3, f"x {passage}", "en", "s", 1), (3, "also clean", "en", "s", 1), (4, None, None, None, None)]
