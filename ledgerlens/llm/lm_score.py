@@ -101,7 +101,7 @@ def _chunks(docs: DataFrame, parts: int) -> DataFrame:
 def _sequence(body: dict) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array(body["lengths"], np.int64)
     words = np.frombuffer(body["vocab"], "<u8")[_unpack(body["places"], int(lengths.sum()), "<u4")]
-    return words, np.repeat(np.arange(len(lengths)), lengths)
+    return words, np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
 
 
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,43 +110,42 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([sum(b.column("body")[i].as_py()["lengths"]) for i in range(b.num_rows)], pa.int64())], ["n"])
 
 
-def _known(words: np.ndarray, doc: np.ndarray, order: int, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A chunk's different grams of an order, ascending, how often it has each, each occurrence's place in them and last word, and where ranges of hashes are cut."""
-    h, at = _grams(words, doc, order)
-    known, where, n = np.unique(h, return_inverse=True, return_counts=True)
+def _cuts(known: np.ndarray, ranges: int) -> np.ndarray:
+    """Where ascending hashes are cut into ranges, from 0 to their number."""
     edges = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
-    return known, n, where, at, np.concatenate([[0], np.searchsorted(known, edges), [len(known)]])
+    return np.concatenate([[0], np.searchsorted(known, edges), [len(known)]])
 
 
 def gram_rows(chunks: DataFrame, order: int, ranges: int) -> DataFrame:
-    """The n-grams of all orders that each chunk holds and how often, a row for each range of hashes: part, chunk, size, grams, counts (both packed)."""
+    """The n-grams of all orders that each chunk holds and how often, a row for each range of hashes: part, chunk, sizes (by order), grams, counts (both packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 words, doc = _sequence(b.column("body")[i].as_py())
-                own = [_known(words, doc, k, ranges) for k in range(1, order + 1)]
+                own = [np.unique(_grams(words, doc, k)[0], return_counts=True) for k in range(1, order + 1)]
+                cuts = [_cuts(known, ranges) for known, _ in own]
                 rows: list[list] = [[], [], [], []]
                 for p in range(ranges):
-                    grams, n = (np.concatenate([o[c][o[4][p] : o[4][p + 1]] for o in own]) for c in (0, 1))
+                    grams, n = (np.concatenate([o[c][x[p] : x[p + 1]] for o, x in zip(own, cuts, strict=True)]) for c in (0, 1))
                     if len(grams):
-                        for column, value in zip(rows, (p, len(grams), _pack(np.diff(grams, prepend=np.uint64(0)).astype("<u8")), _pack(n.astype("<u4"))), strict=True):
+                        for column, value in zip(rows, (p, [int(x[p + 1] - x[p]) for x in cuts], _pack(np.diff(grams, prepend=np.uint64(0)).astype("<u8")), _pack(n.astype("<u4"))), strict=True):
                             column.append(value)
                 chunk = pa.array([b.column("chunk")[i].as_py()] * len(rows[0]), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), chunk, pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], ["part", "chunk", "size", "grams", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), chunk, pa.array(rows[1], pa.list_(pa.int32())), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], ["part", "chunk", "sizes", "grams", "counts"])
 
-    return chunks.mapInArrow(run, "part int, chunk long, size int, grams binary, counts binary")
+    return chunks.mapInArrow(run, "part int, chunk long, sizes array<int>, grams binary, counts binary")
 
 
 def joined_counts(rows: DataFrame) -> DataFrame:
-    """For each of gram_rows(): part, chunk, and `beyond`, how often other chunks hold each of its grams, in their order.
+    """For each of gram_rows(): part, chunk, sizes, and `beyond`, how often other chunks hold each of its grams, in their order.
 
     A range's rows meet in one task, are exploded and summed to the range's count table, and joined with it by
     their whole 64-bit hash. A gram is one number a chunk there, however frequent it is.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        sizes = table.column("size").to_pylist()
+        sizes = [sum(x) for x in table.column("sizes").to_pylist()]
         grams, counts = [], []
         for i, size in enumerate(sizes):
             grams.append(np.cumsum(_unpack(table.column("grams")[i].as_py(), size, "<u8"), dtype=np.uint64))
@@ -156,9 +155,9 @@ def joined_counts(rows: DataFrame) -> DataFrame:
         total = np.zeros(len(gram), np.int64)
         np.add.at(total, where, n)
         beyond = np.split((total[where] - n).astype("<u8"), np.cumsum(sizes)[:-1])
-        return pa.table([table.column("part"), table.column("chunk"), pa.array([_pack(x) for x in beyond], pa.binary())], ["part", "chunk", "beyond"])
+        return pa.table([table.column("part"), table.column("chunk"), table.column("sizes"), pa.array([_pack(x) for x in beyond], pa.binary())], ["part", "chunk", "sizes", "beyond"])
 
-    return rows.groupBy("part").applyInArrow(run, "part int, chunk long, beyond binary")
+    return rows.groupBy("part").applyInArrow(run, "part int, chunk long, sizes array<int>, beyond binary")
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, leave_out: bool = True) -> DataFrame:
@@ -192,39 +191,35 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         body = own.column("body")[0].as_py()
         words, doc = _sequence(body)
         lengths = np.array(body["lengths"], np.int64)
-        by_part = dict(zip(told.column("part").to_pylist(), told.column("beyond"), strict=True))
-        orders = [_known(words, doc, k, ranges) for k in range(1, order + 1)]
-        others: list[list[np.ndarray]] = [[] for _ in orders]
-        for p in range(ranges):
-            cuts = [o[4][p + 1] - o[4][p] for o in orders]
-            if sum(cuts):
-                for mine, part in zip(others, np.split(_unpack(by_part[p].as_py(), int(sum(cuts)), "<u8"), np.cumsum(cuts)[:-1]), strict=True):
-                    mine.append(part)
+        others: list[list[np.ndarray]] = [[np.zeros(0, "<u8")] for _ in range(order)]
+        parts = told.column("part").to_numpy()
+        for i in np.argsort(parts).tolist():  # ranges in their order, as the chunk's own grams are
+            sizes = told.column("sizes")[i].as_py()
+            for mine, part in zip(others, np.split(_unpack(told.column("beyond")[i].as_py(), sum(sizes), "<u8"), np.cumsum(sizes)[:-1]), strict=True):
+                mine.append(part)
         best = np.zeros(len(words))
         seen = np.zeros(len(words), np.int64)  # count elsewhere of the gram one shorter that ends at each word
-        known_words = unknown_words = np.zeros(len(lengths), np.int64)
-        last = np.full(len(words), True)  # words whose score comes down to the word alone
-        for k in range(order, 0, -1):
-            known, n, where, at, _ = orders[k - 1]
-            c = (np.concatenate(others[k - 1]).astype(np.int64) + n if len(known) else n)[where]
-            if leave_out and len(at):
-                _, pair, own_n = np.unique(doc[at] * len(known) + where, return_inverse=True, return_counts=True)
-                c = c - own_n[pair]
-            orders[k - 1] = (at, c)
+        last, alone = np.full(len(words), True), np.full(len(words), False)  # words whose score comes down to the word alone, and known ones
         for k in range(1, order + 1):
-            at, c = orders[k - 1]
+            h, at = _grams(words, doc, k)
+            known, where, n = np.unique(h, return_inverse=True, return_counts=True)
+            del h
+            c = (np.concatenate(others[k - 1]).astype(np.int64) + n)[where]
+            others[k - 1] = []
+            if leave_out and len(at):
+                _, pair, own_n = np.unique(doc[at].astype(np.int64) * len(known) + where, return_inverse=True, return_counts=True)
+                c -= own_n[pair]
+                del pair
             if k == 1:
-                best[at] = np.where(c > 0, np.log(np.maximum(c, 1)), 0.0)
+                best[at] = np.log(np.maximum(c, 1))
+                alone[at] = c > 0
             else:
                 context = seen[at - 1]  # counts of the (k - 1)-gram before the word
                 best[at] = np.where(c > 0, np.log(np.maximum(c, 1)) - np.log(np.maximum(context, 1)), np.log(alpha) + best[at])
                 last[at[c > 0]] = False
-            seen = np.zeros(len(words), np.int64)
+            seen[:] = 0
             seen[at] = c
-        if len(words):
-            alone = np.zeros(len(words), bool)
-            alone[orders[0][0][orders[0][1] > 0]] = True
-            known_words, unknown_words = (np.bincount(doc[m], minlength=len(lengths)) for m in (last & alone, last & ~alone))
+        known_words, unknown_words = (np.bincount(doc[m], minlength=len(lengths)) for m in (last & alone, last & ~alone))
         sums = np.bincount(doc, best, len(lengths)) if len(words) else np.zeros(len(lengths))
         return pa.table([pa.array(body["doc_ids"], pa.int64()), pa.array(lengths), pa.array(sums), pa.array(known_words), pa.array(unknown_words)], ["doc_id", "n_words", "_sum", "_known", "_unknown"])
 
