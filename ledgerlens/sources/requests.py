@@ -56,3 +56,15 @@ def id_batches(ids: DataFrame, size: int = 50) -> DataFrame:
     known = ids.select("grant_number").where("grant_number is not null").distinct()
     batch = F.pmod(F.xxhash64("grant_number"), F.lit(max(1, known.count() // size)))
     return known.groupBy(batch.alias("batch")).agg(F.array_sort(F.collect_list("grant_number")).alias("ids"))
+
+
+def funding_requests(awards_: DataFrame) -> DataFrame:
+    """(key, body) of funding_plan(): an award's number and what to ask for."""
+    return funding_plan(awards_).groupBy("grant_number").agg(F.min("award_id").alias("award_id")).select(F.col("grant_number").alias("key"), F.to_json(F.struct("award_id")).alias("body"))
+
+
+def transaction_requests(ids: DataFrame, size: int = 25) -> DataFrame:
+    """(key, body) of id_batches(): a batch's number and what to ask for."""
+    filters = F.struct(F.array(*[F.lit(t) for t in GRANT_TYPES]).alias("award_type_codes"), F.col("ids").alias("award_ids"))
+    body = F.struct(filters.alias("filters"), F.array(*[F.lit(f) for f in TRANSACTION_FIELDS]).alias("fields"), F.lit("Action Date").alias("sort"), F.lit("desc").alias("order"))
+    return id_batches(ids, size).select(F.col("batch").cast("string").alias("key"), F.to_json(body).alias("body"))

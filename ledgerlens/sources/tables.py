@@ -84,9 +84,9 @@ def file_c(pages: DataFrame) -> DataFrame:
 
 
 def file_c_if_available(pages: DataFrame) -> DataFrame:
-    """file_c(), or no rows with its schema if the first page isn't JSON with results: the probe before a long read."""
-    first = pages.limit(1).select(F.from_json("payload", FUNDING_PAGE)["results"].isNotNull().alias("ok")).first()
-    return file_c(pages) if first and first.ok else pages.sparkSession.createDataFrame([], FILE_C)
+    """file_c(), or no rows with its schema if no page at all is JSON with results: the probe before a long read. A bad page voids no other."""
+    answered = pages.where(F.size(F.from_json("payload", FUNDING_PAGE)["results"]) > 0)
+    return pages.sparkSession.createDataFrame([], FILE_C) if answered.isEmpty() else file_c(pages)
 
 
 def spending_over_time(pages: DataFrame) -> DataFrame:

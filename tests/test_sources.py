@@ -7,8 +7,8 @@ import urllib.parse
 
 import pytest
 
-from ledgerlens.sources import requests, tables
-from ledgerlens.sources.pages import PagesReader, PagesSource
+from ledgerlens.sources import executor, requests, tables
+from ledgerlens.sources.pages import AwardsSource, PagesReader, PagesSource
 from ledgerlens.streaming import rollups
 
 D = dt.date
@@ -77,8 +77,8 @@ def test_pages_fail_without_rows():
     reader = PagesReader({"url": "http://127.0.0.1:9/none", "pagesize": "100", "maxrecords": "250", "tries": "2", "wait": "0", "interval": "0"})
     assert [list(p.offsets) for p in reader.partitions()] == [[0, 100, 200]]
     assert list(reader.read(reader.partitions()[0])) == []
-    many = PagesReader({"url": "x", "maxrecords": "100000", "streams": "4"}).partitions()
-    assert len(many) == 4 and sorted(o for p in many for o in p.offsets) == list(range(0, 15_000, 500))  # the server's last offset
+    one = PagesReader({"url": "x", "maxrecords": "100000"}).partitions()
+    assert len(one) == 1 and list(one[0].offsets) == list(range(0, 15_000, 500))  # the server's last offset
     assert len(PagesReader({"url": "x", "maxrecords": "100000", "paging": "page"}).partitions()[0].offsets) == 200
 
 
@@ -121,6 +121,127 @@ def test_pages_are_read_with_waits_and_retries(spark, method):
     assert times[2] - times[1] >= 0.2
 
 
+class Awards(http.server.BaseHTTPRequestHandler):
+    """Answers by the body: pages of awards with a total or hasNext, pages of an award's periods; some fail."""
+
+    seen: list = []
+    told = "total"
+
+    def do_POST(self):  # noqa: N802
+        asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        Awards.seen.append((asked, time.time()))
+        number, page, size = asked.get("award_id", ""), asked.get("page", 1), asked["limit"]
+        if number.startswith("ASST_NON_BAD"):
+            self.send_response(503)
+            self.end_headers()
+            return
+        if number:
+            many = {"ASST_NON_LONG_049": 99, "ASST_NON_NONE_049": 0}.get(number, 2)
+            answer = {"results": [{"reporting_fiscal_year": 2025, "reporting_fiscal_month": page, "gross_outlay_amount": 1.0}] if page <= many else [], "page_metadata": {"hasNext": page < many}}
+        elif "award_ids" in asked.get("filters", {}):
+            ids = asked["filters"]["award_ids"]
+            answer = {"results": [{"Award ID": i, "Transaction Amount": 1.0, "Action Date": "2025-01-01"} for i in ids], "page_metadata": {"hasNext": False}}
+        else:
+            first = asked["offset"] if "offset" in asked else (page - 1) * size
+            rows = [{"Award ID": f"A{i}", "Awarding Agency": f"Agency {i % 3}", "Start Date": f"2025-01-{1 + i % 28:02}"} for i in range(first, min(first + size, 70))]
+            answer = {"results": rows} | ({"meta": {"total": 70}} if Awards.told == "total" else {"page_metadata": {"hasNext": first + size < 70}})
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(json.dumps(answer).encode())
+
+    def log_message(self, *args):
+        pass
+
+
+@pytest.fixture
+def awards_url():
+    Awards.seen, Awards.told = [], "total"
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Awards)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/x"
+    server.shutdown()
+
+
+@pytest.mark.parametrize(("told", "streams"), [("total", 3), ("next", 3), ("next", 1)])
+def test_no_request_beyond_the_last_page(spark, awards_url, told, streams):
+    """Seven pages of ten: planned from the first answer's total, or followed while the answer says that there are more."""
+    Awards.told = told
+    spark.dataSource.register(PagesSource)
+    rows = spark.read.format("pages").option("url", awards_url).option("pagesize", "10").option("streams", str(streams)).option("interval", "0").load()
+    assert sorted(r.offset for r in rows.collect()) == list(range(0, 70, 10))
+    asked = [a["offset"] for a, _ in Awards.seen]
+    assert sorted(asked) == list(range(0, 70, 10))
+    assert tables.awards(rows).count() == 70
+
+
+def test_filters_reach_the_server(spark, awards_url):
+    spark.dataSource.register(AwardsSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        load = spark.read.format("award_pages").option("url", awards_url).option("interval", "0").option("body", requests.awards([], None, None)).load
+        asked = load().where("agency_name in ('Agency 0', 'Agency 1') and action_date >= date'2025-01-05' and action_date < date'2025-01-20' and length(payload) > 5")
+        plan = asked._jdf.queryExecution().executedPlan().toString()
+        rows = tables.awards(asked).collect()
+        two = load().where("agency_name = 'Agency 2'").union(load().where("agency_name = 'Agency 1' and action_date = date'2025-01-02'"))
+        assert two.count() == 23 + 1 and load().where("action_date > date'2026-01-01' and action_date < date'2025-01-01'").count() == 0
+        Awards.seen = [x for x in Awards.seen if len(x[0]["filters"].get("agencies", "")) == 2]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    filters = Awards.seen[-1][0]["filters"]
+    assert [a["name"] for a in filters["agencies"]] == ["Agency 0", "Agency 1"] and filters["time_period"] == [{"start_date": "2025-01-05", "end_date": "2025-01-19"}]
+    assert "award_type_codes" in filters
+    # the columns are compared by the source alone; what it doesn't know stays a filter of Spark's
+    assert "length(payload" in plan and "2025-01-20" not in plan.split("BatchScan")[0]
+    expected = {f"A{i}" for i in range(70) if i % 3 < 2 and 5 <= 1 + i % 28 <= 19}
+    assert {r.grant_number for r in rows} == expected and len(rows) == len(expected)
+    assert load().where("agency_name is not null").count() == 70 and "agencies" not in Awards.seen[-1][0]["filters"]
+
+
+def test_requests_of_a_table(spark, awards_url):
+    """Ids in, payloads out, five pages an award at most, one bound on the rate, failures named."""
+    numbers = ["A", "B", "A", "LONG", "NONE", "BAD", None, "ELSE"]
+    awards = spark.createDataFrame([(g, "Other" if g == "ELSE" else "National Science Foundation") for g in numbers], "grant_number string, agency_name string")
+    periods, failed = executor.fetch_file_c(awards, awards_url, probe=False, streams=2, interval=0.05, tries=2, wait=0)
+    got = {}
+    for r in periods.collect():
+        got.setdefault(r.grant_number, []).append(r.outlay_amount)
+    assert {g: len(x) for g, x in got.items()} == {"A": 2, "B": 2, "LONG": 5}
+    times = [t for _, t in Awards.seen]
+    assert len(times) == 2 + 2 + 5 + 1 + 2 and times[-1] - times[0] >= 0.05 * (len(times) - 4)
+    bad = failed.collect()
+    assert [(r.grant_number, r.page) for r in bad] == [("BAD", 1)] and "503" in bad[0].error
+
+
+def test_probe(spark, awards_url):
+    plan = lambda g: spark.createDataFrame([(g, "National Science Foundation")], "grant_number string, agency_name string")
+    quick = {"interval": 0, "tries": 1, "wait": 0}
+    assert executor.available(requests.funding_requests(plan("A")), awards_url, **quick)
+    for g in ("NONE", "BAD"):
+        assert not executor.available(requests.funding_requests(plan(g)), awards_url, **quick)
+        n = len(Awards.seen)
+        assert executor.fetch_file_c(plan(g), awards_url, **quick)[0].count() == 0 and len(Awards.seen) == n + 1
+    assert not executor.available(requests.funding_requests(plan("A")).limit(0), awards_url, **quick)
+    assert executor.fetch_file_c(plan("A"), awards_url, **quick)[0].count() == 2
+
+
+def test_one_bad_page_voids_no_other(spark):
+    good = [{"results": [{"reporting_fiscal_year": 2025, "reporting_fiscal_month": 1, "gross_outlay_amount": 2.5}]}] * 20
+    for bad in ("no json", {"results": []}, {"detail": "error"}):
+        assert tables.file_c_if_available(pages(spark, bad, *good, grant_number="G")).count() == 20
+    assert tables.file_c_if_available(pages(spark, "no json", {"results": []}, grant_number="G")).count() == 0
+
+
+def test_batches_of_transactions(spark, awards_url):
+    ids = spark.range(60).selectExpr("if(id % 7 = 0, null, cast(id % 50 as string)) grant_number")
+    known = {str(i % 50) for i in range(60) if i % 7}
+    rows, failed = executor.fetch_transactions(ids, awards_url, batch=10, interval=0)
+    assert sorted(r.grant_number for r in rows.collect()) == sorted(known) and failed.count() == 0
+    body = Awards.seen[0][0]
+    assert body["sort"] == "Action Date" and body["filters"]["award_type_codes"] == list(requests.GRANT_TYPES) and set(body["fields"]) == set(requests.TRANSACTION_FIELDS)
+    none, _ = executor.fetch_transactions(ids.limit(0), awards_url)
+    assert none.count() == 0 and none.columns == rows.columns
+
+
 def test_request_bodies(spark):
     body = json.loads(requests.awards(["Department of Health and Human Services"], "2024-10-01", "2025-09-30"))
     assert body["filters"]["agencies"][0]["name"].startswith("Department") and body["filters"]["time_period"] == [{"start_date": "2024-10-01", "end_date": "2025-09-30"}] and "Total Outlays" in body["fields"]
