@@ -93,7 +93,7 @@ class PagesReader(DataSourceReader):
         """
         offsets = range(0, min(self.most, self.most if self.by_page else MAX_OFFSET + 1), self.size)
         if self.streams == 1 or len(offsets) < 2:
-            return [Pages(offsets)] if offsets else []
+            return [Pages(offsets)]
         first, _ = self.client.ask(self._asked(0))
         total = total_of(first) if first else None
         if total is None:
@@ -173,7 +173,7 @@ class AwardsReader(PagesReader):
 
     def partitions(self) -> list[Pages]:
         nothing = self.agencies == [] or (self.start and self.end and self.start > self.end)
-        return [] if nothing else super().partitions()
+        return [Pages(range(0))] if nothing else super().partitions()
 
     def _asked(self, offset: int) -> dict:
         filters = dict(self.body.get("filters", {}))
