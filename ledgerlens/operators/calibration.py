@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
+from math import erfc, sqrt
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens import constants as k
 from ledgerlens.functions.scalars import activity_group, holds, member, parse_period_outlays, safe_ratio
+from ledgerlens.operators.numbering import number_rows
 
 
 def join_labels(labels: DataFrame, discrepancies: DataFrame) -> DataFrame:
@@ -157,54 +159,106 @@ MODEL_FEATURES = ("our_outlay_ratio", "our_elapsed_ratio", "days_since_txn", "ac
 
 
 def model_data(data: DataFrame, folds: int = 5) -> DataFrame:
-    """label, the features and a fold, which is a hash of the award's id."""
+    """label, the features and a fold; folds are dealt in the order of a hash of the award's id, so their sizes differ by one at most."""
     rows = data.where("gw_frozen is not null and our_outlay_ratio is not null and our_elapsed_ratio is not null")
     rows = rows.withColumn("days_since_txn", F.coalesce(F.col("days_since_last_transaction").cast("double"), F.lit(365.0)))
     rows = rows.withColumns({f"activity_{x}": (F.col("activity_code_group") == x).cast("double") for x in "RTFK"})
-    fold = F.pmod(F.conv(F.substring(F.md5(F.concat(F.col("gw_award_id"), F.lit(":42"))), 1, 8), 16, 10).cast("long"), F.lit(folds))
-    return rows.select("gw_award_id", F.col("gw_frozen").cast("int").alias("label"), *MODEL_FEATURES, fold.cast("int").alias("fold"))
+    # 60 bits of the hash, stretched over the range of a long
+    key = F.shiftleft(F.conv(F.substring(F.md5(F.concat(F.coalesce("gw_award_id", F.lit("")), F.lit(":42"))), 1, 15), 16, 10).cast("long") - F.lit(1 << 59), 4)
+    numbered = number_rows(rows.select("gw_award_id", F.col("gw_frozen").cast("int").alias("label"), *MODEL_FEATURES), "_n", key)
+    return numbered.withColumn("fold", F.pmod(F.col("_n") - 1, F.lit(folds)).cast("int")).drop("_n")
+
 
+def _linear(weights: Column, features: list[str]) -> Column:
+    """Intercept, then the features, times their weights."""
+    return weights[0] + sum((weights[i + 1] * F.coalesce(F.col(f), F.lit(0.0)) for i, f in enumerate(features)), F.lit(0.0))
 
-def _glm() -> GeneralizedLinearRegression:
-    return GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="features", labelCol="label")
 
+def fit_logistic(rows: DataFrame, features: list[str], folds: int, steps: int = 25, tolerance: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+    """Logistic regressions of all folds but one, for each, and of all rows, last: weights[model, 1 + features] (the intercept first) and their covariances.
 
-def _assembled(data: DataFrame, folds: int, least: int) -> tuple[DataFrame, list[str]]:
-    """Rows with their feature vector, held in memory while models are fitted, and the features that vary; none below `least` rows."""
+    Newton's method, all models at once: a step is one pass over the rows, in which each row is
+    weighed under every model that it belongs to, and the sums X'WX and X'(y - p) of each model are grouped and
+    combined before the shuffle. Some fifty numbers a model reach the driver. Weights that can't be told
+    apart share their effect; a separation that no finite weights fit ends after `steps`.
+    """
+    k = len(features) + 1
+    weights, models = np.zeros((folds + 1, k)), list(range(folds + 1))
+    x = [F.lit(1.0), *(F.coalesce(F.col(f), F.lit(0.0)) for f in features)]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    square = np.zeros((folds + 1, k, k))
+    for _ in range(steps):
+        told = F.array(*[F.struct(F.lit(m).alias("m"), F.array(*[F.lit(float(v)) for v in weights[m]]).alias("w")) for m in models])
+        under = rows.select("label", "fold", *features, F.explode(told).alias("_model")).where("_model.m <> fold")
+        p = 1 / (1 + F.exp(-_linear(F.col("_model.w"), features)))
+        # the products are columns of their own, so that a sum is of a column
+        made = under.select(F.col("_model.m").alias("m"), "label", p.alias("_p"), *[c.alias(f"_x{i}") for i, c in enumerate(x)])
+        made = made.withColumn("_w", F.greatest(F.col("_p") * (1 - F.col("_p")), F.lit(1e-12)))
+        sums = [F.sum(F.col("_w") * F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"h{i}_{j}") for i, j in pairs] + [F.sum((F.col("label") - F.col("_p")) * F.col(f"_x{i}")).alias(f"g{i}") for i in range(k)]
+        most = 0.0
+        for r in made.groupBy("m").agg(*sums).collect():  # one row a model
+            for i, j in pairs:
+                square[r["m"], i, j] = square[r["m"], j, i] = r[f"h{i}_{j}"]
+            step = np.linalg.lstsq(square[r["m"]], np.array([r[f"g{i}"] for i in range(k)]), rcond=1e-13)[0]
+            weights[r["m"]] += step
+            most = max(most, float(np.max(np.abs(step) / (1 + np.abs(weights[r["m"]])))))
+        if most < tolerance:
+            break
+    return weights, np.array([np.linalg.pinv(s, rcond=1e-13) for s in square])
+
+
+def _fitted(data: DataFrame, folds: int, least: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The features that vary and fit_logistic() of them; no features below `least` rows."""
     rows = model_data(data, folds).persist()
     spread = rows.agg(F.count(F.lit(1)).alias("n"), *[(F.max(f) > F.min(f)).alias(f) for f in MODEL_FEATURES]).first()
     used = [f for f in MODEL_FEATURES if spread[f]] if spread.n >= least else []
-    return rows, used
+    weights, covariances = fit_logistic(rows, used, folds) if used else (np.zeros((0, 0)), np.zeros((0, 0, 0)))
+    rows.unpersist()
+    return used, weights, covariances
 
 
-def coefficients(data: DataFrame, least: int = 50) -> DataFrame:
+def coefficients(data: DataFrame, least: int = 50, folds: int = 5) -> DataFrame:
     """Logistic regression on all rows: feature, coefficient, std_error, z_value, p_value, by p-value.
 
     Features that never vary are left out; their coefficients are null, as all are below `least` rows.
     """
-    rows, used = _assembled(data, 5, least)
+    used, weights, covariances = _fitted(data, folds, least)
     table: list[tuple] = [(f, None, None, None, None) for f in MODEL_FEATURES if f not in used]
-    if used:
-        summary = (fitted := _glm().fit(VectorAssembler(inputCols=used, outputCol="features").transform(rows))).summary
-        # the summary's arrays have the intercept last
-        table += [(f, float(c), float(e), float(t), float(p)) for f, c, e, t, p in zip(used, fitted.coefficients, summary.coefficientStandardErrors, summary.tValues, summary.pValues, strict=False)]
-    rows.unpersist()
+    for i, f in enumerate(used, 1):
+        value, error = float(weights[-1, i]), float(np.sqrt(max(0.0, covariances[-1, i, i])))
+        z = value / error if error else None
+        table.append((f, value, error, z, None if z is None else erfc(abs(z) / sqrt(2))))
     return data.sparkSession.createDataFrame(table, "feature string, coefficient double, std_error double, z_value double, p_value double").orderBy(F.asc_nulls_last("p_value"))
 
 
+def _by_fold(weights: np.ndarray, used: list[str]) -> Column:
+    """The chance that a row is frozen by the model of the other folds, a few numbers a fold."""
+    told = F.array(*[F.array(*[F.lit(float(v)) for v in w]) for w in weights])
+    return 1 / (1 + F.exp(-_linear(F.get(told, F.col("fold")), used)))
+
+
 def predictions(data: DataFrame, folds: int = 5, least: int = 50) -> DataFrame:
     """gw_award_id, label, fold, prediction of each row by the model of the other folds; no rows below `least` rows."""
-    rows, used = _assembled(data, folds, least)
+    used, weights, _ = _fitted(data, folds, least)
     plain = model_data(data, folds)
     if not used:
-        rows.unpersist()
         return plain.where("false").select("gw_award_id", "label", "fold", F.lit(0.0).alias("prediction"))
-    assemble = VectorAssembler(inputCols=used, outputCol="features")
-    models = [_glm().fit(assemble.transform(rows.where(F.col("fold") != i))) for i in range(folds)]
-    rows.unpersist()
-    # one pass over the rows: each fold's coefficients are a few numbers
-    linear = F.coalesce(*[F.when(F.col("fold") == i, sum((F.lit(float(c)) * F.col(f) for f, c in zip(used, m.coefficients, strict=True)), F.lit(float(m.intercept)))) for i, m in enumerate(models)])
-    return plain.select("gw_award_id", "label", "fold", (1 / (1 + F.exp(-linear))).alias("prediction"))
+    return plain.select("gw_award_id", "label", "fold", _by_fold(weights, used).alias("prediction"))
+
+
+def fitted_totals(data: DataFrame, folds: int = 5, least: int = 50) -> DataFrame:
+    """(model, feature, total): the sum of chance x feature over the rows that a model was fitted to; model is the fold left out, or `folds` for none.
+
+    Where the likelihood's slope is 0 this is the sum of the feature over the frozen rows, whatever the weights are.
+    """
+    used, weights, _ = _fitted(data, folds, least)
+    plain = model_data(data, folds)
+    if not used:
+        return plain.where("false").select(F.col("fold").alias("model"), F.lit("").alias("feature"), F.lit(0.0).alias("total"))
+    told = F.array(*[F.struct(F.lit(m).alias("m"), F.array(*[F.lit(float(v)) for v in w]).alias("w")) for m, w in enumerate(weights)])
+    rows = plain.withColumn("_model", F.explode(told)).where("_model.m <> fold").withColumn("_p", 1 / (1 + F.exp(-_linear(F.col("_model.w"), used))))
+    sums = rows.groupBy(F.col("_model.m").alias("model")).agg(F.sum("_p").alias("intercept"), *[F.sum(F.col("_p") * F.coalesce(F.col(f), F.lit(0.0))).alias(f) for f in used])
+    return sums.unpivot("model", ["intercept", *used], "feature", "total")
 
 
 def thresholds(predicted: DataFrame) -> DataFrame:
@@ -219,4 +273,4 @@ def classifier(data: DataFrame, folds: int = 5, least: int = 50) -> dict[str, Da
     if model_data(data, folds).limit(least).count() < least:
         return None
     predicted = predictions(data, folds, least)
-    return {"predictions": predicted, "coefficients": coefficients(data, least), "thresholds": thresholds(predicted), "auc": auc(predicted)}
+    return {"predictions": predicted, "coefficients": coefficients(data, least, folds), "thresholds": thresholds(predicted), "auc": auc(predicted)}

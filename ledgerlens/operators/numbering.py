@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def number_rows(df: DataFrame, name: str, seed: int = 42, buckets: int | None = None) -> DataFrame:
-    """df with a column `name`, 1 to n, in the order of a seeded hash of the rows' values and then of the values.
+def number_rows(df: DataFrame, name: str, key: Column | None = None, buckets: int | None = None) -> DataFrame:
+    """df with a column `name`, 1 to n, in the order of `key` and then of the rows' values.
+
+    key is a whole number of 64 bits, spread evenly over their range: a hash of the row's values if it isn't given.
 
     Two levels: equal rows are first one, with a count, so that a row that repeats
     often is no load; the hash's range is cut into `buckets` of like size, rows are
@@ -19,8 +21,8 @@ def number_rows(df: DataFrame, name: str, seed: int = 42, buckets: int | None =
     values = df.columns
     buckets = buckets or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.groupBy(*[F.col(f"`{c}`") for c in values]).agg(F.count(F.lit(1)).alias("_copies"))
-    rows = rows.withColumn("_hash", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in values]))
-    # unsigned order is not needed, only that a bucket holds a range of hashes
+    rows = rows.withColumn("_hash", F.xxhash64(*[F.col(f"`{c}`") for c in values]) if key is None else key)
+    # a bucket holds a range of hashes
     rows = rows.withColumn("_bucket", F.floor(F.col("_hash") / F.lit(2.0**64 / buckets)))
     sizes = rows.groupBy("_bucket").agg(F.sum("_copies").alias("_size"))
     before = sizes.select(F.col("_bucket").alias("_b"), (F.sum("_size").over(Window.orderBy("_bucket")) - F.col("_size")).alias("_before"))

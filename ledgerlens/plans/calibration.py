@@ -156,9 +156,11 @@ def v8(spark, d):
     return charts.sample_timelines(rows)
 
 
-#: The model's rows with their folds, and what the classifier is held against: at its coefficients the likelihood's slope is 0.
-MODEL = f"""{DATA}, md AS (SELECT gw_award_id, CAST(gw_frozen AS INT) AS label, CAST(CAST('0x' || substr(md5(gw_award_id || ':42'), 1, 8) AS BIGINT) % 5 AS INT) AS fold FROM cd
-    WHERE gw_frozen IS NOT NULL AND our_outlay_ratio IS NOT NULL AND our_elapsed_ratio IS NOT NULL)"""
+#: The model's rows with their folds, dealt in the order of a hash.
+MODEL = f"""{DATA}, ml AS (SELECT gw_award_id, CAST(gw_frozen AS INT) AS label, our_outlay_ratio, our_elapsed_ratio, coalesce(days_since_last_transaction, 365) AS days_since_txn,
+        CAST(activity_code_group = 'R' AS INT) AS activity_R, CAST(activity_code_group = 'T' AS INT) AS activity_T, CAST(activity_code_group = 'F' AS INT) AS activity_F, CAST(activity_code_group = 'K' AS INT) AS activity_K
+        FROM cd WHERE gw_frozen IS NOT NULL AND our_outlay_ratio IS NOT NULL AND our_elapsed_ratio IS NOT NULL),
+    md AS (SELECT *, CAST((row_number() OVER (ORDER BY substr(md5(gw_award_id || ':42'), 1, 15), gw_award_id, label) - 1) % 5 AS INT) AS fold FROM ml)"""
 
 
 @query("g7_classifier_coefficients", None)
@@ -173,7 +175,15 @@ def g7b(spark, d):
 
 @query("g7_fold_totals", f"{MODEL} SELECT fold, count(*) AS n, sum(label) AS n_frozen FROM md GROUP BY fold")
 def g7d(spark, d):
-    return calibration.predictions(data(spark, d)).groupBy("fold").agg(F.count("prediction").alias("n"), F.sum("label").alias("n_frozen"))
+    return calibration.model_data(data(spark, d)).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n_frozen"))
+
+
+#: A model's slope is 0 where its chances' sums are those of the frozen rows, feature by feature: this is what the fits are held against.
+@query("g7_fitted_totals", f"""{MODEL}, mm AS (SELECT m AS model, md.* FROM md, (SELECT CAST(unnest(range(6)) AS INT) AS m) WHERE m <> fold),
+    ms AS (SELECT model, CAST(sum(label) AS DOUBLE) AS intercept, {', '.join(f'CAST(sum(label * {f}) AS DOUBLE) AS {f}' for f in calibration.MODEL_FEATURES)} FROM mm GROUP BY model)
+    SELECT model, feature, round(total, 3) AS total FROM (UNPIVOT ms ON intercept, {', '.join(calibration.MODEL_FEATURES)} INTO NAME feature VALUE total)""")
+def g7e(spark, d):
+    return calibration.fitted_totals(data(spark, d)).withColumn("total", F.round("total", 3))
 
 
 @query("g7_classifier_thresholds", None)

@@ -195,7 +195,7 @@ class AwardsReader(PagesReader):
 class AwardsSource(DataSource):
     """spark.read.format("award_pages"): agency_name, action_date and payload (one award, for tables.awards()).
 
-    `where` on the two columns goes to the server if spark.sql.python.filterPushdown.enabled is set. Spark keeps what was pushed
+    `where` on the two columns goes to the server: Spark asks for spark.sql.python.filterPushdown.enabled = true. It keeps what was pushed
     with the table that was loaded, so each filtered query must load() its own. The option body has what else is
     asked for, see requests.awards(); further options as of PagesSource.
     """

@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -330,7 +331,7 @@ def test_classifier_is_newton_on_the_same_rows(spark):
         p = 1 / (1 + np.exp(-x @ w))
         w += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]), x.T @ (y - p))
     got = {r.feature: r.coefficient for r in found["coefficients"].collect()}
-    assert [got[f] for f in calibration.MODEL_FEATURES] == pytest.approx(w[1:].tolist(), abs=1e-4)
+    assert [got[f] for f in calibration.MODEL_FEATURES] == pytest.approx(w[1:].tolist(), abs=1e-6)
     predicted = {r.gw_award_id: (r.fold, r.prediction) for r in found["predictions"].collect()}
     for fold in range(5):  # each fold by the model of the others
         rest = np.array([predicted[r[0]][0] != fold for r in rows])
@@ -339,7 +340,14 @@ def test_classifier_is_newton_on_the_same_rows(spark):
             p = 1 / (1 + np.exp(-x[rest] @ v))
             v += np.linalg.solve(x[rest].T @ (x[rest] * (p * (1 - p))[:, None]), x[rest].T @ (y[rest] - p))
         want = 1 / (1 + np.exp(-x[~rest] @ v))
-        assert [predicted[r[0]][1] for r, out in zip(rows, ~rest, strict=True) if out] == pytest.approx(want.tolist(), abs=1e-4)
+        assert [predicted[r[0]][1] for r, out in zip(rows, ~rest, strict=True) if out] == pytest.approx(want.tolist(), abs=1e-6)
+    folds = [f for f, _ in predicted.values()]
+    assert {folds.count(i) for i in range(5)} == {60}
+    error = np.sqrt(np.diag(np.linalg.inv(x.T @ (x * (p_ := 1 / (1 + np.exp(-x @ w)))[:, None] * (1 - p_)[:, None]))))[1:]
+    assert [r.std_error for r in sorted(found["coefficients"].collect(), key=lambda r: calibration.MODEL_FEATURES.index(r.feature))] == pytest.approx(error.tolist(), rel=1e-6)
+    assert all(r.p_value == pytest.approx(math.erfc(abs(r.coefficient / r.std_error) / 2**0.5)) for r in found["coefficients"].collect())
+    totals = {(r.model, r.feature): r.total for r in calibration.fitted_totals(df).collect()}
+    assert len(totals) == 6 * 8 and totals[5, "intercept"] == pytest.approx(y.sum()) and totals[5, "our_outlay_ratio"] == pytest.approx((y * x[:, 1]).sum())
     few = df.limit(20)
     assert calibration.predictions(few).count() == calibration.thresholds(calibration.predictions(few)).count() == 0
     assert [r.coefficient for r in calibration.coefficients(few).collect()] == [None] * 7
