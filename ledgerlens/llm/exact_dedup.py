@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from itertools import pairwise
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import attach, id_text, materialise, table
+from ledgerlens.llm.common import attach, id_text, materialise, shared_dir, table
 
 #: Bits of one filter block: what one bitmap of Spark's bitmap functions holds (4 KB).
 BLOCK_BITS = 32768
@@ -53,6 +56,26 @@ def possibly_repeated(rows: DataFrame, bitmaps: DataFrame, blocks: int) -> DataF
     return cells.join(F.broadcast(bitmaps), F.col("_at") == F.col("_block"), "left").select(*rows.columns, maybe)
 
 
+def tested(hashed: DataFrame, n_rows: int, bits_per_row: int = 16, max_blocks: int = 8192) -> DataFrame:
+    """hashed (a table with a column `hash`) with `maybe`, by as many filters of bounded size as the rows need.
+
+    Each filter is of a range of hashes, and clears the rows of that range like any other; ranges go one after
+    the other into one table. The table is sorted by hash within its files, so that a
+    range's pass skips the pages of others.
+    """
+    passes = max(1, -(-n_rows * bits_per_row // (max_blocks * BLOCK_BITS)))
+    if passes == 1:
+        return possibly_repeated(hashed, *repeated_cells(hashed, n_rows, bits_per_row, max_blocks))
+    path = f"{shared_dir(hashed.sparkSession)}/tested-{uuid.uuid4().hex}"
+    edges = [None, *(F.lit(((i << 64) // passes).to_bytes(8, "big")) for i in range(1, passes)), None]
+    for low, high in pairwise(edges):
+        part = hashed if low is None else hashed.where(F.col("hash") >= low)
+        part = part if high is None else part.where(F.col("hash") < high)
+        out = possibly_repeated(part, *repeated_cells(part, -(-n_rows // passes), bits_per_row, max_blocks))
+        out.write.mode("append").parquet(path)
+    return hashed.sparkSession.read.schema(out.schema).parquet(path)
+
+
 def text_hash(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
 
@@ -62,18 +85,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical (a null text is empty); of equal texts the
     row with the largest doc_id stays. Texts are read once, into a table of ids
-    and hashes. Rows that the filter clears pass straight through; of the others
+    and hashes. Rows that the filter clears (see tested()) pass straight through; of the others
     only (hash, doc_id) is shuffled, counted per task first.
 
     Null ids rank below all others; a group of null ids only has keep_id null.
     Of rows that repeat both id and text, one is kept. No rows give no rows;
     other columns of docs are not read, so their names cannot clash.
     """
-    hashed = materialise(id_text(docs, id_col, text_col).select("doc_id", text_hash(F.col("text")).alias("hash")), "text-hashes")
+    hashed = materialise(id_text(docs, id_col, text_col).select("doc_id", text_hash(F.col("text")).alias("hash")).sortWithinPartitions("hash"), "text-hashes")
     n = hashed.count()
-    tested = possibly_repeated(hashed, *repeated_cells(hashed, n, bits_per_row, max_blocks))
-    single = tested.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "hash")
-    pairs = materialise(tested.where("maybe").groupBy("hash", "doc_id").agg(F.count(F.lit(1)).alias("_copies")), "maybe-repeated")
+    rows = tested(hashed, n, bits_per_row, max_blocks)
+    single = rows.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "hash")
+    pairs = materialise(rows.where("maybe").groupBy("hash", "doc_id").agg(F.count(F.lit(1)).alias("_copies")), "maybe-repeated")
     groups = pairs.groupBy("hash").agg(F.max("doc_id").alias("keep_id"), F.sum("_copies").alias("group_size"))
     told = attach(pairs, groups, "hash", "group_size", n, ["doc_id"])
     repeated = told.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(
@@ -89,9 +112,9 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per repeated hash at most, so a hot text never gathers its rows.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text_hash(F.col(f"`{text_col}`")).alias("hash"))
-    tested = possibly_repeated(rows, *repeated_cells(rows.select("hash"), docs.count(), bits_per_row, max_blocks))
-    best = tested.where("maybe").groupBy("hash").agg(F.max_by("_row", F.coalesce(F.col(f"_row.`{id_col}`").cast("long"), F.lit(-(2**63)))).alias("_row"))
-    return tested.where(~F.col("maybe")).select("_row.*").unionByName(best.select("_row.*"))
+    told = tested(rows, docs.count(), bits_per_row, max_blocks)
+    best = told.where("maybe").groupBy("hash").agg(F.max_by("_row", F.coalesce(F.col(f"_row.`{id_col}`").cast("long"), F.lit(-(2**63)))).alias("_row"))
+    return told.where(~F.col("maybe")).select("_row.*").unionByName(best.select("_row.*"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

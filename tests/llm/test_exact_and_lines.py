@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 
 from ledgerlens.llm.common import attach
-from ledgerlens.llm.exact_dedup import drop_duplicates, exact_dedup
+from ledgerlens.llm.exact_dedup import drop_duplicates, exact_dedup, possibly_repeated, repeated_cells, tested, text_hash
 from ledgerlens.llm.line_dedup import line_dedup
 from tests.llm.cases import ODD, SCHEMA, clashing, docs, rows
 
@@ -37,6 +37,22 @@ def test_exact_dedup_is_brute_force(spark, table, blocks):
     assert rows(found) == brute_exact(table)
 
 
+def test_filter_clears_single_rows_beyond_its_bound(spark):
+    """20,000 rows against a filter of 32,768 bits: ranges of hashes go one after the other, each with a filter of its own."""
+    from pyspark.sql import functions as F
+
+    table = spark.range(20_000).selectExpr("id AS doc_id", "if(id % 10 = 0, concat('copy', id % 1000), concat('single', id)) AS text")
+    hashed = table.select("doc_id", "text", text_hash(F.col("text")).alias("hash"))
+    told = tested(hashed, 20_000, 16, 1)
+    assert told.count() == 20_000
+    single = told.where("text like 'single%'")
+    assert single.where("maybe").count() < 0.02 * single.count() and told.where("text like 'copy%' and not maybe").count() == 0
+    # one filter of that size for all rows would be full
+    assert possibly_repeated(hashed, *repeated_cells(hashed, 20_000, 16, 1)).where("maybe and text like 'single%'").count() > 0.2 * single.count()
+    found = exact_dedup(table, max_blocks=1)
+    assert found.count() == 20_000 and found.where("group_size = 20").count() == 2000 and found.where("kept").count() == 18_100
+
+
 def test_other_columns_do_not_matter(spark):
     assert rows(exact_dedup(clashing(docs(spark)))) == brute_exact(ODD)
 
