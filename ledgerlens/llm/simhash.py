@@ -354,6 +354,16 @@ def checked_links(texts: DataFrame, members: DataFrame, similarity: float, shing
     return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(check, "u long, v long")
 
 
+#: Bits of the hash by which sets and rows go at first; tests take fewer, so that hashes collide.
+NODE_MASK = (1 << 64) - 1
+
+
+def told_apart(rows: DataFrame, twins: DataFrame, key: str, also: str) -> DataFrame:
+    """rows with another hash in place of those of twins (few): of it and of a second hash, so that 128 bits tell."""
+    marked = rows.join(twins.select(F.col(key).alias("_twin")), F.col(key) == F.col("_twin"), "left")
+    return marked.withColumn(key, F.when(F.col("_twin").isNotNull(), F.xxhash64(key, also)).otherwise(F.col(key))).drop("_twin")
+
+
 def similar_groups(docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 58, words: int = 4, bands: list[list[int]] | None = None) -> DataFrame:
     """One row per row of docs: doc_id (unique, not null) and component_id, the least doc_id reachable by pairs of texts that are similar.
 
@@ -372,15 +382,20 @@ def similar_groups(docs: DataFrame, similarity: float, id_col: str = "doc_id", t
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, n, x = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, words), np.uint64)
+            node, also, n, x = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, words), np.uint64)
             for i, text in enumerate(b.column("text")):
                 grams = shingle_set(text.as_py(), shingle)
-                node[i], n[i] = xxhash.xxh64_intdigest(grams.tobytes(), SEED), len(grams)
+                node[i], also[i], n[i] = xxhash.xxh64_intdigest(grams.tobytes(), SEED) & NODE_MASK, xxhash.xxh64_intdigest(grams.tobytes(), SEED + 1), len(grams)
                 x[i] = np.packbits(_ones(grams, words) * 2 > len(grams)).view(">u8")
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node.view(np.int64)), pa.array(n), *(pa.array(x[:, w].view(np.int64)) for w in range(words))], ["doc_id", "node", "n", *f])
-
-    own = materialise(texts.mapInArrow(prints, "doc_id long, node long, n long, " + ", ".join(f"{c} long" for c in f)), "set-fingerprints")
-    classes = materialise(own.groupBy("node").agg(*[F.min(c).alias(c) for c in ("n", *f)], F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_size")), "set-classes")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node.view(np.int64)), pa.array(also.view(np.int64)), pa.array(n), *(pa.array(x[:, w].view(np.int64)) for w in range(words))], ["doc_id", "node", "also", "n", *f])
+
+    own = materialise(texts.mapInArrow(prints, "doc_id long, node long, also long, n long, " + ", ".join(f"{c} long" for c in f)), "set-fingerprints")
+    sets = lambda: own.groupBy("node").agg(*[F.min(c).alias(c) for c in ("n", *f)], F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_size"), F.min("also").alias("_a"), F.max("also").alias("_z"))
+    classes = materialise(sets(), "set-classes")
+    twins = classes.where("_a <> _z")
+    if not twins.isEmpty():  # different sets of one hash get others
+        own = materialise(told_apart(own, twins, "node", "also"), "set-fingerprints")
+        classes = materialise(sets(), "set-classes")
     proposed = components(links(classes.where("n > 0").select("node", *f), bands, words, radius))
     members = materialise(classes.join(proposed, "node").select("node", "root", "n", F.col("_least").alias("doc_id")), "candidates")
     roots = components(checked_links(texts, members, similarity, shingle))
@@ -393,13 +408,16 @@ def similar_groups(docs: DataFrame, similarity: float, id_col: str = "doc_id", t
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, **how) -> DataFrame:
     """The rows of docs, all columns, without those that are similar to another and not the first of their component (similar_groups).
 
-    Rows are told apart by a hash of id and text: a row with a null id, or one that
+    Rows are told apart by two hashes of id and text: a row with a null id, or one that
     repeats an id with another text, goes or stays by its own text. Of rows that
     agree in both, one stays. The one that stays of a component has its least id
     (null last), and of several with that id the least hash.
     """
-    key = F.xxhash64(docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), docs[id_col].cast("long").alias("_id"), key.alias("_key"), docs[text_col].alias("text"))
+    values = docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    key, also = F.xxhash64(*values).bitwiseAND(F.lit(NODE_MASK - (1 << 64) if NODE_MASK >> 63 else NODE_MASK)), F.xxhash64(F.lit("also"), *values)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), docs[id_col].cast("long").alias("_id"), key.alias("_key"), also.alias("_also"), docs[text_col].alias("text"))
+    twins = materialise(keyed.groupBy("_key").agg(F.min("_also").alias("_a"), F.max("_also").alias("_z")).where("_a <> _z").select("_key"), "row-twins")
+    keyed = keyed if twins.isEmpty() else told_apart(keyed, twins, "_key", "_also")
     rows = keyed.select(F.col("_key").alias("doc_id"), "text")
     found = similar_groups(rows, similarity, **how)
     groups = materialise(found.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group")).distinct(), "near-groups")

@@ -144,6 +144,15 @@ def test_rows_go_by_their_own_text(spark):
     assert sorted((r.doc_id or 0, r.text in (a, b, d)) for r in kept) == [(0, False), (1, True), (1, True), (4, True)]
 
 
+def test_rows_and_sets_whose_first_hashes_collide(spark, monkeypatch):
+    """Hashes of one bit: nothing is lost, and only copies go."""
+    monkeypatch.setattr(simhash, "NODE_MASK", 1)
+    base = " ".join(f"w{i}" for i in range(40))
+    table = [(i, " ".join(f"{i}x{k}" for k in range(30)), "en", "s", 1) for i in range(12)] + [(50, base, "en", "s", 1), (51, base, "en", "s", 1), (52, base + " more", "en", "s", 1), (53, "short", "en", "s", 1), (53, "other", "en", "s", 1)]
+    kept = simhash.keep_one_of_each(docs(spark, table))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted((r[0], r[1]) for r in table if r[0] not in (51, 52))
+
+
 def test_centre_of_a_star_is_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(common, "MAX_HOT_GROUPS", 3)
     star = spark.range(1, 900).selectExpr("cast(0 as long) u", "id v").unionByName(spark.range(900, 1000).selectExpr("id u", "id + 1000 v"))
