@@ -11,9 +11,15 @@ from ledgerlens.operators.outlays import first_by_grant
 from ledgerlens.operators.transactions import select_ids
 
 
-def names(c: str, sep: str) -> Column:
-    """Distinct values in order, a null as the text NA."""
-    return F.array_join(F.array_sort(F.collect_set(F.coalesce(c, F.lit("NA")))), sep)
+def seen_at(df: DataFrame) -> Column:
+    """When a row is seen: by date, undated ones last, then by id."""
+    day = F.coalesce(F.col("subaward_date").cast("string"), F.lit("9999-12-31"))
+    return F.concat(day, F.lit(" "), F.coalesce("subaward_id", F.lit(""))) if "subaward_id" in df.columns else day
+
+
+def in_order(pairs: Column, sep: str) -> Column:
+    """The values of an array of (when first seen, value) in this order."""
+    return F.array_join(F.transform(F.array_sort(pairs), lambda x: x["v"]), sep)
 
 
 def flow(subawards: DataFrame, discrepancies: DataFrame) -> DataFrame:
@@ -23,10 +29,15 @@ def flow(subawards: DataFrame, discrepancies: DataFrame) -> DataFrame:
 
 
 def by_prime(joined: DataFrame, types: tuple[str, ...]) -> DataFrame:
-    """By prime award; a row lists all names of its sub-recipients, so it is as long as these are many."""
-    return joined.where(member(F.col("discrepancy_type"), types)).groupBy("prime_award_id", "prime_recipient").agg(
-        F.count(F.lit(1)).alias("n_subawards"), total(F.col("subaward_amount")).alias("total_subaward_amount"),
-        names("subawardee_name", "; ").alias("subawardees"), F.max("subaward_date").alias("latest_subaward_date"))
+    """By prime award, with its sub-recipients in the order in which they are first seen, a null as the text NA.
+
+    Rows are first combined by sub-recipient; a result lists all of these names, so it is as long as they are many.
+    """
+    rows = joined.where(member(F.col("discrepancy_type"), types)).withColumns({"v": F.coalesce("subawardee_name", F.lit("NA")), "_at": seen_at(joined)})
+    once = rows.groupBy("prime_award_id", "prime_recipient", "v").agg(F.count(F.lit(1)).alias("_n"), F.sum("subaward_amount").alias("_sum"), F.max("subaward_date").alias("_latest"), F.min("_at").alias("_at"))
+    return once.groupBy("prime_award_id", "prime_recipient").agg(
+        F.sum("_n").alias("n_subawards"), total(F.col("_sum")).alias("total_subaward_amount"),
+        in_order(F.collect_list(F.struct("_at", "v")), "; ").alias("subawardees"), F.max("_latest").alias("latest_subaward_date"))
 
 
 def frozen(joined: DataFrame) -> DataFrame:
@@ -40,10 +51,17 @@ def terminated(joined: DataFrame) -> DataFrame:
 
 
 def downstream(joined: DataFrame) -> DataFrame:
-    """Sub-recipients of awards that aren't normal, those of the most awards first."""
-    out = joined.where("discrepancy_type <> 'normal'").groupBy("subawardee_name").agg(
-        F.count_distinct("prime_award_id").alias("n_prime_awards"), total(F.col("subaward_amount")).alias("total_subaward_amount"),
-        names("discrepancy_type", ", ").alias("discrepancy_types"), names("prime_recipient", "; ").alias("prime_institutions"))
+    """Sub-recipients of awards that aren't normal, those of the most awards first; types and institutions in the order in which they are first seen.
+
+    Awards, types and institutions are combined by sub-recipient before they are counted and listed.
+    """
+    told = F.array(*[F.struct(F.lit(kind).alias("kind"), F.coalesce(v, F.lit("NA")).alias("v"), amount.alias("a")) for kind, v, amount in (("award", "prime_award_id", F.col("subaward_amount")), ("type", "discrepancy_type", F.lit(None).cast("double")), ("institution", "prime_recipient", F.lit(None).cast("double")))])
+    rows = joined.where("discrepancy_type <> 'normal'").select("subawardee_name", seen_at(joined).alias("_at"), F.inline(told))
+    once = rows.groupBy("subawardee_name", "kind", "v").agg(F.min("_at").alias("_at"), F.sum("a").alias("_sum"))
+    listed = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("_at", "v")))
+    out = once.groupBy("subawardee_name").agg(
+        F.count_if(F.col("kind") == "award").alias("n_prime_awards"), total(F.col("_sum")).alias("total_subaward_amount"),
+        in_order(listed("type"), ", ").alias("discrepancy_types"), in_order(listed("institution"), "; ").alias("prime_institutions"))
     return out.orderBy(F.desc("n_prime_awards"), "subawardee_name")
 
 

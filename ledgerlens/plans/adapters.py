@@ -30,6 +30,12 @@ TEXTS = {
                CASE o.o_orderkey % 4 WHEN 0 THEN 'Q' WHEN 1 THEN 'L,M' WHEN 2 THEN 'Q; N' END AS def_codes
         FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey
              LEFT JOIN {projects} p ON p.l_orderkey = o.o_orderkey LEFT JOIN {outlaid} l ON l.l_orderkey = o.o_orderkey""",
+    "repeated_awards": """
+        SELECT * FROM {awards}
+        UNION ALL SELECT a.* FROM {awards} a CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6)) AS t(i) WHERE CAST(a.grant_number AS INT) % 50 = 3
+        UNION ALL SELECT CAST(NULL AS STRING) AS grant_number, CAST(NULL AS STRING) AS recipient_name, a.* EXCEPT (grant_number, recipient_name) FROM {awards} a WHERE CAST(a.grant_number AS INT) % 40 = 1
+        UNION ALL SELECT CAST(NULL AS STRING) AS grant_number, a.org_name AS recipient_name, a.recipient_id, a.agency_name, a.sub_agency, CAST(NULL AS STRING) AS org_name, a.* EXCEPT (grant_number, recipient_name, recipient_id, agency_name, sub_agency, org_name)
+                  FROM {awards} a WHERE CAST(a.grant_number AS INT) % 40 = 1""",
     "notices": """
         SELECT CASE WHEN o.o_orderkey % 5 = 0 THEN NULL WHEN o.o_orderkey % 3 = 1 THEN 'N' || CAST(o.o_orderkey AS STRING) ELSE CAST(o.o_orderkey AS STRING) END AS grant_number,
                CASE WHEN o.o_orderkey % 2 = 0 THEN 'NIH' ELSE 'NSF' END AS agency_name,
@@ -98,4 +104,5 @@ def ctes(*names: str) -> str:
 
     for name in names:
         add(name)
-    return "WITH " + ", ".join(f"{n} AS ({t})" for n, t in done.items())
+    # the oracle calls Spark's EXCEPT columns EXCLUDE
+    return "WITH " + ", ".join(f"{n} AS ({t.replace('* EXCEPT (', '* EXCLUDE (')})" for n, t in done.items())

@@ -65,6 +65,19 @@ def j3(spark, d):
     return discrepancies(spark, d, True).select(COLUMNS)
 
 
+#: Awards by row, not by number: copies, and rows that differ in where a null stands, are awards each.
+REPEATED = f"""{ctes('repeated_awards', 'notices')}, a AS (SELECT * REPLACE ({duck_org('org_name')} AS org_name), row_number() OVER () AS aid FROM repeated_awards), {NORMAL[NORMAL.index('n AS'):]},
+    x AS (SELECT a.*, n.notice_date, n.award_amount AS award_amount_notice, 'exact' AS match_method FROM a JOIN n USING (grant_number)), {FUZZY.replace('ua.award_amount) AS rn', 'ua.award_amount, ua.action_date, ua.aid) AS rn').replace('BY s.dist, ua.grant_number,', 'BY s.dist, ua.grant_number NULLS FIRST,')},
+    o AS (SELECT a.*, CAST(NULL AS DATE) AS notice_date, CAST(NULL AS DOUBLE) AS award_amount_notice, 'unmatched_award' AS match_method FROM a WHERE aid NOT IN (SELECT aid FROM x) AND aid NOT IN (SELECT aid FROM f)),
+    u AS (SELECT * FROM x UNION ALL BY NAME SELECT * FROM f UNION ALL BY NAME SELECT * FROM o), {FLAGS}"""
+REPEATED_COLUMNS = ["grant_number", "recipient_name", "org_name", "match_method", "notice_date", "award_amount", "discrepancy_type"]
+
+
+@query("j1_j3_p3_repeated_awards", f"{REPEATED} SELECT {', '.join(REPEATED_COLUMNS)} FROM disc")
+def j1r(spark, d):
+    return matching.join_and_flag(table(spark, d, "notices"), table(spark, d, "repeated_awards"), AS_OF).select(REPEATED_COLUMNS)
+
+
 SUMMARY = "SELECT agency_name, discrepancy_type, count(*) AS n, round(coalesce(sum(award_amount), 0), 2) AS total_award_amount, round(coalesce(sum(total_outlays), 0), 2) AS total_outlays FROM disc WHERE discrepancy_type <> 'normal' GROUP BY agency_name, discrepancy_type"
 
 

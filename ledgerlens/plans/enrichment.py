@@ -150,12 +150,16 @@ def p19(spark, d):
 FLOW = "sf AS (SELECT s.*, disc.discrepancy_type FROM subawards s JOIN disc ON s.prime_award_id = disc.grant_number)"
 
 
-def names(c: str, sep: str) -> str:
-    return f"array_to_string(list_sort(list(DISTINCT coalesce({c}, 'NA'))), '{sep}')"
+def names(c: str, sep: str, alias: str, keys: str, where: str) -> str:
+    """The distinct values of a column in the order in which they are first seen, by date and id."""
+    first = "min(coalesce(CAST(subaward_date AS VARCHAR), '9999-12-31') || ' ' || subaward_id)"
+    return f"(SELECT {keys}, string_agg(v, '{sep}' ORDER BY f) AS {alias} FROM (SELECT {keys}, coalesce({c}, 'NA') AS v, {first} AS f FROM sf WHERE {where} GROUP BY {keys}, v) GROUP BY {keys})"
 
 
 def by_prime(types: str) -> str:
-    return f"{disc('subawards')}, {FLOW} SELECT prime_award_id, prime_recipient, count(*) AS n_subawards, round(sum(subaward_amount), 2) AS total_subaward_amount, {names('subawardee_name', '; ')} AS subawardees, max(subaward_date) AS latest_subaward_date FROM sf WHERE discrepancy_type IN ({types}) GROUP BY prime_award_id, prime_recipient"
+    where = f"discrepancy_type IN ({types})"
+    return f"""{disc('subawards')}, {FLOW}, sums AS (SELECT prime_award_id, prime_recipient, count(*) AS n_subawards, round(sum(subaward_amount), 2) AS total_subaward_amount, max(subaward_date) AS latest_subaward_date FROM sf WHERE {where} GROUP BY prime_award_id, prime_recipient)
+        SELECT sums.*, l.subawardees FROM sums JOIN {names('subawardee_name', '; ', 'subawardees', 'prime_award_id, prime_recipient', where)} l ON sums.prime_award_id = l.prime_award_id AND sums.prime_recipient IS NOT DISTINCT FROM l.prime_recipient"""
 
 
 def flow(spark, d):
@@ -172,7 +176,11 @@ def a6b(spark, d):
     return subawards.terminated(flow(spark, d)).withColumns(money("total_subaward_amount"))
 
 
-@query("a7_downstream", f"{disc('subawards')}, {FLOW} SELECT subawardee_name, count(DISTINCT prime_award_id) AS n_prime_awards, round(sum(subaward_amount), 2) AS total_subaward_amount, {names('discrepancy_type', ', ')} AS discrepancy_types, {names('prime_recipient', '; ')} AS prime_institutions FROM sf WHERE discrepancy_type <> 'normal' GROUP BY subawardee_name")
+BAD = "discrepancy_type <> 'normal'"
+
+
+@query("a7_downstream", f"""{disc('subawards')}, {FLOW}, sums AS (SELECT subawardee_name, count(DISTINCT prime_award_id) AS n_prime_awards, round(sum(subaward_amount), 2) AS total_subaward_amount FROM sf WHERE {BAD} GROUP BY subawardee_name)
+    SELECT sums.*, t.discrepancy_types, i.prime_institutions FROM sums JOIN {names('discrepancy_type', ', ', 'discrepancy_types', 'subawardee_name', BAD)} t USING (subawardee_name) JOIN {names('prime_recipient', '; ', 'prime_institutions', 'subawardee_name', BAD)} i USING (subawardee_name)""")
 def a7(spark, d):
     return subawards.downstream(flow(spark, d)).withColumns(money("total_subaward_amount"))
 

@@ -2,6 +2,7 @@ import datetime as dt
 import math
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import calibration, charts, matching, outlays, spending, subawards, transactions, validate
@@ -165,9 +166,15 @@ def test_summary(spark):
 def test_checks(spark):
     good = notices(spark, ("1", "o", None, None))
     validate.check_notices(good)
-    for bad in (good.drop("agency_name"), good.withColumn("notice_date", F.lit("x")), good.withColumn("source_url", F.lit("")), good.withColumn("agency_name", F.lit(None).cast("string"))):
+    for bad in (good.drop("agency_name"), good.withColumn("notice_date", F.lit("x"))):
         with pytest.raises((ValueError, TypeError)):
             validate.check_notices(bad)
+    for column, value in (("source_url", F.lit("")), ("agency_name", F.lit(None).cast("string"))):
+        bad = validate.check_notices(good.union(good.withColumn(column, value)))
+        for use in (bad, bad.select("grant_number"), bad.groupBy().count()):  # also where the column isn't asked for
+            with pytest.raises(PySparkException, match=f"empty values: {column}"):
+                use.collect()
+    assert validate.check_notices(good).count() == 1
     a = awards(spark, ("1", "o", None, 1.0, START, LATER, None))
     validate.check_awards(a)
     for bad in (a.drop("award_amount"), a.withColumn("award_amount", F.lit("x")), a.withColumn("grant_number", F.lit(5))):
@@ -175,6 +182,27 @@ def test_checks(spark):
             validate.check_awards(bad)
 
 
+def test_profile_of_what_is_written(spark, tmp_path):
+    rows = [(i, None if i % 3 else "x", i % 7 == 0, None if i % 2 else i % 5 == 0) for i in range(41)]
+    df = spark.createDataFrame(rows, "`odd.name` int, name string, flag_a boolean, flag_b boolean").repartition(3)
+    written = validate.write_with_profile(df, f"{tmp_path}/t")
+    plain = validate.profile(df.withColumnRenamed("odd.name", "n1")).collect()
+    assert [tuple(r)[1:] for r in written.collect()] == [tuple(r)[1:] for r in plain] and written.first()[0] == "odd.name"
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 41
+    none = validate.write_with_profile(df.limit(0), f"{tmp_path}/u").collect()
+    assert [(r.pct_null, r.high_null, r.n_flagged) for r in none] == [(None, False, None), (None, False, None), (None, False, 0), (None, False, 0)]
+
+
+def test_names_are_listed_as_first_seen(spark):
+    rows = [("P", "r2", "b", 1.0, 3, "s3"), ("P", "r2", "a", 2.0, 5, "s2"), ("P", "r2", "b", 4.0, 9, "s9"), ("P", "r2", None, 8.0, 1, "s1"), ("P", "r2", "z", 1.0, None, "s0"), ("Q", "r1", "b", 1.0, 2, "s8")]
+    schema = "prime_award_id string, prime_recipient string, subawardee_name string, subaward_amount double, day int, subaward_id string"
+    j = spark.createDataFrame(rows, schema).withColumn("subaward_date", F.make_date(F.lit(2025), F.lit(1), "day")).withColumn("discrepancy_type", F.when(F.col("prime_award_id") == "P", "untracked").otherwise("possible_freeze"))
+    got = {r.prime_award_id: (r.n_subawards, r.total_subaward_amount, r.subawardees) for r in subawards.by_prime(j, ("untracked", "possible_freeze")).collect()}
+    assert got == {"P": (5, 16.0, "NA; b; a; z"), "Q": (1, 1.0, "b")}
+    down = {r.subawardee_name: tuple(r)[1:] for r in subawards.downstream(j).collect()}
+    assert down["b"] == (2, 6.0, "possible_freeze, untracked", "r1; r2") and down[None] == (1, 8.0, "untracked", "r2")
+
+
 def test_award_and_notice_flags(spark):
     a = awards(spark, ("1", "o", 500.0, 1000.0, START, PAST, None), ("2", "o", 1000.0, -100.0, LATER, START, None), ("3", "o", 0.0, None, None, None, None))
     got = {r.grant_number: r for r in validate.flag_awards(a, F.lit(NOW).cast("date")).collect()}
@@ -264,9 +292,9 @@ def test_subawards_and_emergency(spark):
     s = spark.createDataFrame([("1", "X", START, 5.0, "P", "Prime"), ("2", None, None, 7.0, "P", "Prime"), ("3", "X", None, 1.0, "T", None)], "subaward_id string, subawardee_name string, subaward_date date, subaward_amount double, prime_award_id string, prime_recipient string")
     d = spark.createDataFrame([("P", "possible_freeze", "Q"), ("T", "active_despite_terminated", None), ("N", "normal", "L")], "grant_number string, discrepancy_type string, def_codes string")
     j = subawards.flow(s, d)
-    assert [tuple(r) for r in subawards.frozen(j).collect()] == [("P", "Prime", 2, 12.0, "NA; X", START)]
+    assert [tuple(r) for r in subawards.frozen(j).collect()] == [("P", "Prime", 2, 12.0, "X; NA", START)]
     assert [tuple(r) for r in subawards.terminated(j).collect()] == [("T", None, 1, 1.0, "X", None)]
-    assert {r.subawardee_name: tuple(r)[1:] for r in subawards.downstream(j).collect()} == {"X": (2, 6.0, "active_despite_terminated, possible_freeze", "NA; Prime"), None: (1, 7.0, "possible_freeze", "Prime")}
+    assert {r.subawardee_name: tuple(r)[1:] for r in subawards.downstream(j).collect()} == {"X": (2, 6.0, "possible_freeze, active_despite_terminated", "Prime; NA"), None: (1, 7.0, "possible_freeze", "Prime")}
     assert {r.grant_number: r.flag_emergency_exempt for r in subawards.emergency_flags(d).collect()} == {"P": False, "T": False, "N": False}
     codes = spark.createDataFrame([("P", "L,M"), ("P", None), ("N", "N")], "grant_number string, def_codes string")
     assert {r.grant_number: (r.def_codes, r.flag_emergency_exempt) for r in subawards.emergency_flags(d, codes).collect()} == {"P": ("L,M", True), "T": (None, False), "N": ("N", False)}
