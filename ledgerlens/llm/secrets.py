@@ -64,7 +64,7 @@ _VOWEL[list(b"aeiouAEIOU")] = True
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 
 #: Offsets of the feature blocks in the weight table.
-_SIZES = {"length": 12, "classes": 64, "turns": 8, "vowels": 8, "digits": 8, "shape": 64, "before": NEAR, "before2": NEAR, "after": NEAR, "tail": 8, "file_digits": 8, "file_symbols": 8, "file_length": 16, "bias": 1}
+_SIZES = {"length": 12, "classes": 64, "turns": 8, "vowels": 8, "digits": 8, "shape": 64, "before": NEAR, "before2": NEAR, "after": NEAR, "tail": 8, "numbers": 8, "file_digits": 8, "file_symbols": 8, "file_length": 16, "bias": 1}
 _AT = dict(zip(_SIZES, np.cumsum([0, *_SIZES.values()]).tolist(), strict=False))
 FEATURES = sum(_SIZES.values())
 
@@ -125,6 +125,8 @@ def tokens(data: bytes, begins: np.ndarray, files: np.ndarray | None = None) ->
         "vowels": _bucket(count["v"] * 8 // n, 8), "digits": _bucket(count[3] * 8 // n, 8),
         "shape": _bucket(np.log2(n).astype(np.int64), 8) * 8 + _bucket(turns * 8 // n, 8),
         "before": before, "before2": before2, "after": after, "tail": c[end - 1].astype(np.int64),
+        # of a token of digits and inner symbols alone, its parts, as of an address or a date
+        "numbers": np.where((count[3] > 0) & (count[1] + count[2] + count[5] == 0), _bucket(1 + count[4], 8), 0),
         "file_digits": _bucket(share[3], 8), "file_symbols": _bucket(share[6], 8), "file_length": _bucket(np.log2(long)[text], 16), "bias": none,
     }
     return start, end, line, np.stack([columns[k] + _AT[k] for k in _SIZES], 1)
@@ -298,9 +300,11 @@ def _harmless(rng: np.random.Generator, words: list[str]) -> str:
     """A made-up token that looks odd but is no secret: an address, a number, a name with digits or a long word."""
     n = lambda low, high: str(int(rng.integers(low, high)))
     word = lambda: words[rng.integers(len(words))] if words else "word"
-    kind = rng.integers(8)
-    if kind == 0:
+    kind = rng.integers(11)
+    if kind in (0, 8):
         return ".".join(n(1, 256) for _ in range(4))
+    if kind == 9:
+        return (".", "-", "/")[rng.integers(3)].join(n(0, (10, 100, 10000)[rng.integers(3)]) for _ in range(int(rng.integers(2, 7))))
     if kind == 1:
         return f"{word()}.{n(1, 100)}@{word()}{n(1, 10)}.example.com"
     if kind == 2:
@@ -313,7 +317,8 @@ def _harmless(rng: np.random.Generator, words: list[str]) -> str:
         return f"https://{word()}.example.org/{word()}/{word()}-{n(1, 1000)}.html"
     if kind == 6:
         return f"{word()}.{n(1, 100)}"
-    return "".join(word() for _ in range(int(rng.integers(2, 5))))
+    long = "".join(word() for _ in range(int(rng.integers(2, 5))))
+    return f"{long.upper()}!!" if rng.random() < 0.5 else long
 
 
 def examples(texts: list[str], max_lines: int = TRAIN_LINES, max_chars: int = TRAIN_CHARS, planted: float = PLANTED, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
