@@ -33,6 +33,16 @@ def repeated_cells(hashes: DataFrame, n_rows: int, bits_per_row: int = 16, max_b
     return materialise(bitmaps, "repeated-cells"), blocks
 
 
+def filter_of(keys: DataFrame, n_rows: int, bits_per_row: int = 16, max_blocks: int = 8192) -> tuple[DataFrame, int]:
+    """A filter of the column `hash` of keys, for possibly_repeated(): false is told only of what is none of them. Bounded like repeated_cells()."""
+    blocks = 1
+    while blocks < max_blocks and blocks * BLOCK_BITS < n_rows * bits_per_row:
+        blocks *= 2
+    block, p1, p2 = _cells(blocks)
+    cells = keys.select(block.alias("_block"), F.explode(F.array(p1, p2)).alias("_p"))
+    return materialise(cells.groupBy("_block").agg(F.bitmap_construct_agg(F.col("_p").cast("long")).alias("_bits")), "key-filter"), blocks
+
+
 def _cells(blocks: int) -> tuple[Column, Column, Column]:
     """Block and two cells in it of a column `hash`."""
     h = F.xxhash64("hash")
@@ -56,7 +66,7 @@ def possibly_repeated(rows: DataFrame, bitmaps: DataFrame, blocks: int) -> DataF
     return cells.join(F.broadcast(bitmaps), F.col("_at") == F.col("_block"), "left").select(*rows.columns, maybe)
 
 
-def tested(hashed: DataFrame, n_rows: int, bits_per_row: int = 16, max_blocks: int = 8192) -> DataFrame:
+def by_filters(hashed: DataFrame, n_rows: int, bits_per_row: int = 16, max_blocks: int = 8192) -> DataFrame:
     """hashed (a table with a column `hash`) with `maybe`, by as many filters of bounded size as the rows need.
 
     Each filter is of a range of hashes, and clears the rows of that range like any other; ranges go one after
@@ -85,7 +95,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical (a null text is empty); of equal texts the
     row with the largest doc_id stays. Texts are read once, into a table of ids
-    and hashes. Rows that the filter clears (see tested()) pass straight through; of the others
+    and hashes. Rows that the filter clears (see by_filters()) pass straight through; of the others
     only (hash, doc_id) is shuffled, counted per task first.
 
     Null ids rank below all others; a group of null ids only has keep_id null.
@@ -94,7 +104,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     hashed = materialise(id_text(docs, id_col, text_col).select("doc_id", text_hash(F.col("text")).alias("hash")).sortWithinPartitions("hash"), "text-hashes")
     n = hashed.count()
-    rows = tested(hashed, n, bits_per_row, max_blocks)
+    rows = by_filters(hashed, n, bits_per_row, max_blocks)
     single = rows.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "hash")
     pairs = materialise(rows.where("maybe").groupBy("hash", "doc_id").agg(F.count(F.lit(1)).alias("_copies")), "maybe-repeated")
     groups = pairs.groupBy("hash").agg(F.max("doc_id").alias("keep_id"), F.sum("_copies").alias("group_size"))
@@ -112,7 +122,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per repeated hash at most, so a hot text never gathers its rows.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text_hash(F.col(f"`{text_col}`")).alias("hash"))
-    told = tested(rows, docs.count(), bits_per_row, max_blocks)
+    told = by_filters(rows, docs.count(), bits_per_row, max_blocks)
     best = told.where("maybe").groupBy("hash").agg(F.max_by("_row", F.coalesce(F.col(f"_row.`{id_col}`").cast("long"), F.lit(-(2**63)))).alias("_row"))
     return told.where(~F.col("maybe")).select("_row.*").unionByName(best.select("_row.*"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import attach, id_text, materialise, table
+from ledgerlens.llm.exact_dedup import filter_of, possibly_repeated
 
 #: [\x20\x09-\x0D]
 BLANKS = " \t\n\x0b\f\r"
@@ -22,8 +23,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A key of min_chars code points or more that min_docs documents hold loses
     its lines in all of them but that with the largest id. Lines travel as
-    128-bit hashes and positions; a text is shuffled once, to meet the positions
-    that it loses. Keys in very many lines are joined by broadcast (common.attach).
+    128-bit hashes and positions. A text is shuffled, to meet the positions
+    that it loses, only if a filter of bounded size of those that lose any has it; the others
+    pass straight through. Keys in very many lines are joined by broadcast (common.attach).
 
     A null or empty text is one empty line. Rows with the same id are one
     document for the count; null ids are one document with the smallest id. No
@@ -43,12 +45,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ).where(F.col("_docs") >= min_docs)
     # lines whose key is common stay few: a null _keeper marks the others
     gone = attach(lines, common, "_hash", "_size", lines.count(), ["_id", "_pos"]).where(F.col("_keeper") != F.col("_id"))
-    gone = gone.groupBy("_id", "_text").agg(F.collect_set("_pos").alias("_gone"))
-    met = split.join(gone, ["_id", "_text"], "left")
+    gone = materialise(gone.groupBy("_id", "_text").agg(F.collect_set("_pos").alias("_gone")).withColumn("hash", F.xxhash64("_id", "_text")), "dropped-lines")
+    tested = possibly_repeated(split.withColumn("hash", F.xxhash64("_id", "_text")), *filter_of(gone, gone.count()))
+    whole = tested.where(~F.col("maybe")).select("doc_id", F.size("_lines").cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.array_join("_lines", "\n").alias("text"))
+    met = tested.where("maybe").select("_id", "_text", "doc_id", "_lines").join(gone.drop("hash"), ["_id", "_text"], "left")
     none = F.array().cast("array<int>")
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.coalesce("_gone", none))
     kept = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.transform(stay, lambda i: F.get("_lines", i)))
-    return met.select("doc_id", F.size("_lines").cast("long").alias("n_lines"), F.size(F.coalesce("_gone", none)).cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("text"))
+    cut = met.select("doc_id", F.size("_lines").cast("long").alias("n_lines"), F.size(F.coalesce("_gone", none)).cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("text"))
+    return whole.unionByName(cut)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

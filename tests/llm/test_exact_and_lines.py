@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 
 from ledgerlens.llm.common import attach
-from ledgerlens.llm.exact_dedup import drop_duplicates, exact_dedup, possibly_repeated, repeated_cells, tested, text_hash
+from ledgerlens.llm.exact_dedup import by_filters, drop_duplicates, exact_dedup, possibly_repeated, repeated_cells, text_hash
 from ledgerlens.llm.line_dedup import line_dedup
 from tests.llm.cases import ODD, SCHEMA, clashing, docs, rows
 
@@ -43,7 +43,7 @@ def test_filter_clears_single_rows_beyond_its_bound(spark):
 
     table = spark.range(20_000).selectExpr("id AS doc_id", "if(id % 10 = 0, concat('copy', id % 1000), concat('single', id)) AS text")
     hashed = table.select("doc_id", "text", text_hash(F.col("text")).alias("hash"))
-    told = tested(hashed, 20_000, 16, 1)
+    told = by_filters(hashed, 20_000, 16, 1)
     assert told.count() == 20_000
     single = told.where("text like 'single%'")
     assert single.where("maybe").count() < 0.02 * single.count() and told.where("text like 'copy%' and not maybe").count() == 0
@@ -105,3 +105,11 @@ def test_line_dedup_is_brute_force(spark, table, chars, least):
 
 def test_line_dedup_with_clashing_columns(spark):
     assert rows(line_dedup(clashing(docs(spark)), min_chars=5, min_docs=2)) == brute_lines(ODD, 5, 2)
+
+
+def test_texts_that_lose_nothing_pass_straight_through(spark):
+    """Of 400 texts 20 share a line."""
+    table = [(i, f"own {i} line\n" + ("a line that is long enough to be dropped if it is shared\n" if i % 20 == 0 else "") + "end", "en", "s", 1) for i in range(400)]
+    found = line_dedup(docs(spark, table))
+    assert sorted((r.doc_id, r.n_dropped) for r in found.collect() if r.n_dropped) == [(i, 1) for i in range(0, 380, 20)]
+    assert found.count() == 400 and {r.text for r in found.where("doc_id = 380").collect()} == {table[380][1]}
