@@ -15,7 +15,7 @@ from ledgerlens.llm.decontaminate import mix, word_hashes
 
 ORDER, ALPHA = 3, 0.4
 #: Words of a chunk, about: what is counted together before any gram is sent.
-CHUNK = 3 << 19
+CHUNK = 1 << 21
 #: Grams of the chunks that a range of hashes should get, about, and grams in a character of text.
 PART_GRAMS, GRAMS_PER_CHARACTER = 1 << 22, 0.3
 #: Bytes of a text that are cut into words at a time.
