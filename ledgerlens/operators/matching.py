@@ -15,16 +15,28 @@ AWARD_OPTIONAL = fields("grant_number string, total_outlays double, end_date dat
 NOTICE_OPTIONAL = fields("grant_number string, org_name string, notice_date date, award_amount double")
 
 
+def _numbered_notices(notices: DataFrame) -> DataFrame:
+    return ensure_columns(notices, NOTICE_OPTIONAL).withColumn("grant_number", normalise_text(F.col("grant_number")))
+
+
+def _numbered_awards(awards: DataFrame) -> DataFrame:
+    a = ensure_columns(awards, AWARD_OPTIONAL)
+    org = "org_name" if "org_name" in awards.columns else "recipient_name" if "recipient_name" in awards.columns else None
+    return a.withColumns({"grant_number": normalise_text(F.col("grant_number")), "org_name": F.col(org) if org else F.lit(None).cast("string")})
+
+
+def _named(df: DataFrame, *columns: str) -> DataFrame:
+    """The names' rules are the dearest of the columns, so they are applied once, after rows were told apart by number."""
+    return df.withColumns({c: normalise_org(F.col(c)) for c in columns})
+
+
 def normalise_notices(notices: DataFrame) -> DataFrame:
-    n = ensure_columns(notices, NOTICE_OPTIONAL)
-    return n.withColumns({"grant_number": normalise_text(F.col("grant_number")), "org_name": normalise_org(F.col("org_name"))})
+    return _named(_numbered_notices(notices), "org_name")
 
 
 def normalise_awards(awards: DataFrame) -> DataFrame:
     """recipient_name serves as org_name only where that column is absent."""
-    a = ensure_columns(awards, AWARD_OPTIONAL)
-    org = "org_name" if "org_name" in awards.columns else "recipient_name" if "recipient_name" in awards.columns else None
-    return a.withColumns({"grant_number": normalise_text(F.col("grant_number")), "org_name": normalise_org(F.col(org)) if org else F.lit(None).cast("string")})
+    return _named(_numbered_awards(awards), "org_name")
 
 
 #: How often a letter is counted in a name's profile; what is beyond is only counted together.
@@ -157,17 +169,18 @@ def join_and_flag(notices: DataFrame, awards: DataFrame, as_of, fuzzy: bool = Tr
     out alone. Null notice dates are never terminated and never match by name. Awards that
     repeat are awards each: those that no notice takes come out alone, beside copies that match.
     """
-    n, a = normalise_notices(notices), normalise_awards(awards)
+    n, a = _numbered_notices(notices), _numbered_awards(awards)
     told = n.withColumnsRenamed({c: f"{c}_notice" for c in n.columns if c in a.columns})
     by_number = F.col("grant_number") == F.col("grant_number_notice")
     alone = F.lit("unmatched_award")
     if not fuzzy:  # one join says all
-        rows = a.join(told.withColumn("match_method", F.lit("exact")), by_number, "left").drop("grant_number_notice")
+        rows = _named(a.join(told.withColumn("match_method", F.lit("exact")), by_number, "left").drop("grant_number_notice"), "org_name", "org_name_notice")
         return add_flags(rows.withColumn("match_method", F.coalesce("match_method", alone)), as_of, non_research)
-    exact = a.join(told, by_number).withColumns({"grant_number_notice": F.lit(None).cast("string"), "match_method": F.lit("exact")})
-    left_n = told.join(a.select("grant_number").where("grant_number is not null").distinct(), by_number, "left_anti")
-    left_a = number_rows(a.join(n.select(F.col("grant_number").alias("grant_number_notice")).where("grant_number_notice is not null").distinct(), by_number, "left_anti"), "award_row_id")
-    best = nearest_awards(left_n.select(F.col("org_name_notice").alias("org_name"), "notice_date"), left_a, similar_names(n, a))
+    exact = _named(a.join(told, by_number), "org_name", "org_name_notice").withColumns({"grant_number_notice": F.lit(None).cast("string"), "match_method": F.lit("exact")})
+    left_n = _named(told.join(a.select("grant_number").where("grant_number is not null").distinct(), by_number, "left_anti"), "org_name_notice")
+    left_a = number_rows(_named(a.join(n.select(F.col("grant_number").alias("grant_number_notice")).where("grant_number_notice is not null").distinct(), by_number, "left_anti"), "org_name"), "award_row_id")
+    dated = left_n.select(F.col("org_name_notice").alias("org_name"), "notice_date").where("org_name is not null and notice_date is not null").distinct()
+    best = nearest_awards(dated, left_a, similar_names(dated, left_a.where("action_date is not null")))
     # an award that no notice takes has no date, and a key of its own, so that these are spread
     met = left_a.join(best.withColumnRenamed("notice_date", "_date"), "award_row_id", "left")
     met = met.withColumns({"_name": F.coalesce("left_name", F.col("award_row_id").cast("string")), "match_method": F.when(F.col("left_name").isNull(), alone).otherwise("fuzzy")})
