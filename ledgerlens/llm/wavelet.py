@@ -22,7 +22,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 SHARD_TOKENS = 1 << 22
 #: Bytes of text that a task encodes at a time.
-SLICE = 1 << 22
+SLICE = 1 << 23
 #: Bits between two stored ranks.
 RANK_STEP = 512
 #: Words in a generation of each worker's cache.
