@@ -34,6 +34,18 @@ def _grams(words: np.ndarray, doc: np.ndarray, order: int) -> tuple[np.ndarray,
     return h[ok], ok + order - 1
 
 
+def _runs(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One order for all that is counted: the places in the order of their hash, and where in it each hash begins, and each document's part of a hash (doc ascends)."""
+    by = np.argsort(h, kind="stable").astype(np.uint32)
+    h = h[by]
+    fresh = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=fresh[1:])
+    began = np.flatnonzero(fresh).astype(np.uint32)
+    d = doc[by]
+    fresh[1:] |= d[1:] != d[:-1]
+    return by, began, np.flatnonzero(fresh).astype(np.uint32)
+
+
 def _words(text: str) -> np.ndarray:
     """The hash of each word, of a slice of the text at a time."""
     data, at, found = text.encode("utf-8", "surrogatepass").translate(FOLD), 0, []
@@ -146,15 +158,21 @@ def joined_counts(rows: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         sizes = [sum(x) for x in table.column("sizes").to_pylist()]
-        grams, counts = [], []
-        for i, size in enumerate(sizes):
-            grams.append(np.cumsum(_unpack(table.column("grams")[i].as_py(), size, "<u8"), dtype=np.uint64))
-            counts.append(_unpack(table.column("counts")[i].as_py(), size, "<u4").astype(np.int64))
-        n = np.concatenate(counts)
-        gram, where = np.unique(np.concatenate(grams), return_inverse=True)  # the count table's keys, and the join
-        total = np.zeros(len(gram), np.int64)
-        np.add.at(total, where, n)
-        beyond = np.split((total[where] - n).astype("<u8"), np.cumsum(sizes)[:-1])
+        ends = np.cumsum(sizes)
+        grams, n = np.empty(ends[-1], np.uint64), np.empty(ends[-1], np.uint32)
+        for i, (size, end) in enumerate(zip(sizes, ends.tolist(), strict=True)):
+            np.cumsum(_unpack(table.column("grams")[i].as_py(), size, "<u8"), dtype=np.uint64, out=grams[end - size : end])
+            n[end - size : end] = _unpack(table.column("counts")[i].as_py(), size, "<u4")
+        by = np.argsort(grams, kind="stable").astype(np.uint32)  # the count table's keys, and the join
+        grams = grams[by]
+        began = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        del grams
+        total = np.repeat(np.add.reduceat(n[by], began, dtype=np.int64), np.diff(began, append=len(by)))
+        beyond_all = np.empty(len(by), "<u8")
+        beyond_all[by] = total
+        del by, began, total
+        beyond_all -= n
+        beyond = np.split(beyond_all, ends[:-1])
         return pa.table([table.column("part"), table.column("chunk"), table.column("sizes"), pa.array([_pack(x) for x in beyond], pa.binary())], ["part", "chunk", "sizes", "beyond"])
 
     return rows.groupBy("part").applyInArrow(run, "part int, chunk long, sizes array<int>, beyond binary")
@@ -202,14 +220,16 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         last, alone = np.full(len(words), True), np.full(len(words), False)  # words whose score comes down to the word alone, and known ones
         for k in range(1, order + 1):
             h, at = _grams(words, doc, k)
-            known, where, n = np.unique(h, return_inverse=True, return_counts=True)
+            by, began, own_began = _runs(h, doc[at])
             del h
-            c = (np.concatenate(others[k - 1]).astype(np.int64) + n)[where]
+            n, own_n = np.diff(began, append=len(by)), np.diff(own_began, append=len(by))
+            told_n = np.repeat(np.concatenate(others[k - 1]).astype(np.int64) + n, n)
             others[k - 1] = []
-            if leave_out and len(at):
-                _, pair, own_n = np.unique(doc[at].astype(np.int64) * len(known) + where, return_inverse=True, return_counts=True)
-                c -= own_n[pair]
-                del pair
+            if leave_out:
+                told_n -= np.repeat(own_n, own_n)
+            c = np.empty_like(told_n)
+            c[by] = told_n
+            del by, began, own_began, n, own_n, told_n
             if k == 1:
                 best[at] = np.log(np.maximum(c, 1))
                 alone[at] = c > 0
