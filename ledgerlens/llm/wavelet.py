@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -26,7 +26,14 @@ SLICE = 1 << 23
 #: Bits between two stored ranks.
 RANK_STEP = 512
 #: Words in a generation of each worker's cache.
-CACHE = 400_000
+CACHE = 100_000
+#: Pieces that each worker keeps from one slice to the next, and bits of the table that finds them.
+PIECES, TABLE_BITS = 1_000_000, 22
+#: Places of the table that are looked at for a piece.
+PROBES = 8
+#: ASCII letters, digits, signs and line ends: the tokenizer cuts wherever one of these kinds meets another, if a line end
+#: stands alone. An apostrophe may be part of what follows.
+KIND = np.array([4 if c == 10 else 0 if c <= 32 or c >= 127 or c == 39 else 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(256)], np.uint8)
 
 
 class WaveletMatrix:
@@ -143,23 +150,69 @@ class _Odd(Exception):
     """A piece that white space touches: the text can't be cut there."""
 
 
-def _same(data: bytes, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Whether each piece data[start:end] has the same bytes as the piece at `other` (a place in start)."""
-    padded = np.frombuffer(data + bytes(8), np.uint8)
-    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    n = end - start
-    ok = n == n[other]
+def _eight(data: bytes) -> np.ndarray:
+    """The 8 bytes at each place of data, as one integer."""
+    return np.ndarray((len(data) + 1,), "<u8", np.frombuffer(data + bytes(8), np.uint8), strides=(1,))
+
+
+def _same(data: bytes, start: np.ndarray, end: np.ndarray, other: bytes, other_start: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Whether each piece data[start:end] has the bytes of the piece beside it, other[other_start:other_end]."""
+    x, y, n = _eight(data), _eight(other), end - start
+    ok = n == other_end - other_start
+    i = np.flatnonzero(ok)
     for at in range(0, 64, 8):  # 8 bytes of each piece at a time
-        i = np.flatnonzero(ok & (n > at) & (other != np.arange(len(n))))
-        x, y = (np.ascontiguousarray(eight[s[i] + at]).view("<u8")[:, 0] for s in (start, start[other]))
-        spare = (np.maximum(0, 8 - (n[i] - at)) * 8).astype(np.uint64)
-        ok[i[(x ^ y) << spare != 0]] = False
-    for i in np.flatnonzero(ok & (n > 64) & (other != np.arange(len(n)))).tolist():
-        j = other[i]
-        ok[i] = data[start[i] : end[i]] == data[start[j] : end[j]]
+        spare = (np.maximum(0, 8 + at - n[i]) * 8).astype(np.uint64)
+        ok[i] = (x[start[i] + at] ^ y[other_start[i] + at]) << spare == 0
+        i = i[n[i] > at + 8]
+    for j in i[ok[i]].tolist():
+        ok[j] = data[start[j] : end[j]] == other[other_start[j] : other_end[j]]
     return ok
 
 
+class _Pieces:
+    """Pieces that were encoded before, in columns: hash, whether a blank goes before, bytes and ids end to end; found by a table of hashes."""
+
+    def __init__(self, dtype: np.dtype):
+        self.table = np.full(1 << TABLE_BITS, -1, np.int32)
+        self.hashed, self.blank = np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.text, self.text_ends = b"", np.zeros(1, np.int64)
+        self.ids, self.ids_ends = np.zeros(0, dtype), np.zeros(1, np.int64)
+
+    def _slot(self, hashed: np.ndarray) -> np.ndarray:
+        return (hashed >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+    def find(self, hashed: np.ndarray, blank: np.ndarray, data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The row of each piece data[start:end], which has the same bytes; -1 if none is found."""
+        row = np.full(len(hashed), -1)
+        slot, left = self._slot(hashed), np.arange(len(hashed))
+        for probe in range(PROBES if len(self.hashed) else 0):
+            met = self.table[slot[left] + probe & len(self.table) - 1].astype(np.int64)
+            hit = (met >= 0) & (self.hashed[met] == hashed[left])
+            row[left[hit]] = met[hit]
+            left = left[~hit & (met >= 0)]
+        at = np.flatnonzero(row >= 0)
+        met = row[at]
+        same = _same(data, start[at], end[at], self.text, self.text_ends[met], self.text_ends[met + 1])
+        row[at[~same | (self.blank[met] != blank[at])]] = -1
+        return row
+
+    def add(self, hashed: np.ndarray, blank: np.ndarray, pieces: list[bytes], codes: list[bytes]) -> np.ndarray:
+        """The rows that the pieces get. One for which the table has no place isn't found later."""
+        rows = np.arange(len(pieces)) + len(self.hashed)
+        slot, left = self._slot(hashed), np.arange(len(rows))
+        for probe in range(PROBES):
+            at = slot[left] + probe & len(self.table) - 1
+            free = self.table[at] < 0
+            self.table[at[free]] = rows[left[free]]
+            left = left[self.table[at] != rows[left]]
+        self.hashed, self.blank = np.concatenate([self.hashed, hashed]), np.concatenate([self.blank, blank])
+        self.text += b"".join(pieces)
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(codes), self.ids.dtype)])
+        self.text_ends = np.append(self.text_ends, self.text_ends[-1] + np.cumsum([len(p) for p in pieces], dtype=np.int64))
+        self.ids_ends = np.append(self.ids_ends, self.ids_ends[-1] + np.cumsum([len(c) // self.ids.itemsize for c in codes], dtype=np.int64))
+        return rows
+
+
 class Encoder:
     """The tokenizer's ids of a text, as packed little-endian integers.
 
@@ -196,12 +249,13 @@ class Encoder:
         self.bytes = {**{b: b for b in printed}, **{b: 256 + i for i, b in enumerate(rest)}}
         self.blank, self.code = chr(self.bytes[32]), "H" if self.bits <= 16 else "I"
         self.word = _Cache(self._word)
+        self.pieces = _Pieces(self.dtype)
 
     def _pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return array(self.code, ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        known = word.replace(" ", self.blank) if word.isascii() and word.replace(" ", "").isprintable() else word.encode().decode("latin-1").translate(self.bytes)
+        known = word.replace(" ", self.blank) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.bytes)
         return self._pack([t.id for t in self.model.tokenize(known)])
 
     def _segment(self, text: str) -> bytes:
@@ -219,6 +273,10 @@ class Encoder:
             raise _Odd
         return self._segment(before + piece)
 
+    def _new(self, piece: str, before: str) -> bytes:
+        """A piece that isn't known yet; its own words needn't be kept twice."""
+        return self._word(before + piece) if piece == "\n" or piece.isascii() and piece.isalpha() else self._piece(piece, before)
+
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
@@ -241,15 +299,15 @@ class Encoder:
         return b"".join(parts)
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        """What the call gives for each text, with one look-up for each distinct piece.
+        """What the call gives for each text, with one look-up for each distinct piece that no batch before had.
 
-        Pieces are found by a 64-bit hash and compared byte by byte with the first of
+        Pieces go from blank to blank, and are cut where kinds of ASCII characters meet.
+        They are found by a 64-bit hash and compared byte by byte with the first of
         that hash; where they disagree, or a text isn't plain, the text is encoded alone.
         """
         data = [t.encode("utf-8", "surrogatepass") for t in texts]
         odd = np.array([not d or any(m in d for m in self.marks) for d in data])
-        joined = b" ".join(data)
-        b = np.frombuffer(joined, np.uint8)
+        b = np.frombuffer(b" ".join(data), np.uint8)
         begins = np.cumsum([0, *(len(d) + 1 for d in data)])[:-1]
         blank = b == 32
         twice = np.flatnonzero(blank[1:] & blank[:-1])
@@ -258,30 +316,47 @@ class Encoder:
             odd[0] = True
         if len(b) and blank[-1]:
             odd[-1] = True
+        kind = KIND[b]
+        line = np.flatnonzero(kind == 4)
+        beside = np.append(kind, 0)
+        kind[line[(beside[line - 1] % 4 == 0) | (beside[line + 1] % 4 == 0)]] = 0
+        inner = 1 + np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0))
+        joined = np.insert(b, inner, 32).tobytes()  # a blank that isn't the text's own at each inner cut
+        begins += np.searchsorted(inner, begins)
         hashed, start = word_hashes(joined)
         if not len(start):
             return [self(t) for t in texts]
-        end = np.append(start[1:] - 1, len(b))  # exact for all but odd texts
-        _, at, where = np.unique(hashed, return_index=True, return_inverse=True)
+        end = np.append(start[1:] - 1, len(joined))  # exact for all but odd texts
         doc = np.searchsorted(begins, start, "right") - 1
-        odd[doc[~_same(joined, start, end, at[where])]] = True
+        cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
+        own = np.ones(len(joined) + 1, bool)  # whether a piece after this place has a blank of the text before it
+        own[inner + np.arange(len(inner))] = False
+        own = own[start - 1]
+        own[cuts[:-1][cuts[:-1] < cuts[1:]]] = False
+        hashed = np.where(own, hashed, ~hashed)
+        if len(self.pieces.hashed) > PIECES:
+            self.pieces = _Pieces(self.dtype)
+        row = self.pieces.find(hashed, own, joined, start, end)
+        new = np.flatnonzero(row < 0)
+        _, first, where = np.unique(hashed[new], return_index=True, return_inverse=True)
+        first = new[first]
         codes: list[bytes | None] = []
-        for a, e in zip(start[at].tolist(), end[at].tolist(), strict=True):
+        found = [joined[a:e].rstrip(b" ") for a, e in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        for piece, before in zip(found, own[first].tolist(), strict=True):
             try:
-                codes.append(self._piece(joined[a:e].decode("utf-8", "surrogatepass").rstrip(" "), " "))
+                codes.append(self._new(piece.decode("utf-8", "surrogatepass"), " " if before else ""))
             except _Odd:
                 codes.append(None)
-        odd[doc[np.array([c is None for c in codes])[where]]] = True
-        cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
-        for i in np.flatnonzero(~odd).tolist():  # the first piece has no blank before it
-            where[cuts[i]] = len(codes)
-            codes.append(self._piece(texts[i].partition(" ")[0]))
-        known = [c or b"" for c in codes]
-        size = np.array([len(c) // self.dtype.itemsize for c in known])
-        flat, began = np.frombuffer(b"".join(known), self.dtype), np.cumsum(size) - size
-        n = size[where]
+        plain = np.array([c is not None for c in codes], bool)
+        rows = np.full(len(first), -1)
+        rows[plain] = self.pieces.add(hashed[first[plain]], own[first[plain]], [p for p, c in zip(found, codes, strict=True) if c is not None], [c for c in codes if c is not None])
+        like = first[where]
+        row[new] = np.where(_same(joined, start[new], end[new], joined, start[like], end[like]) & (own[new] == own[like]), rows[where], -1)
+        odd[doc[row < 0]] = True
+        began = self.pieces.ids_ends[row]
+        n = np.where(row < 0, 0, self.pieces.ids_ends[row + 1] - began)
         ends = np.append(0, np.cumsum(n))
-        all_ = flat[np.repeat(began[where] - ends[:-1], n) + np.arange(ends[-1])]
+        all_ = self.pieces.ids[np.repeat(began - ends[:-1], n) + np.arange(ends[-1])]
         return [self(text) if odd[i] else all_[ends[cuts[i]] : ends[cuts[i + 1]]].tobytes() for i, text in enumerate(texts)]
 
 

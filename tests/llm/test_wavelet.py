@@ -52,6 +52,29 @@ def test_caches_that_fill_up_change_nothing(tokenizer, monkeypatch):
     assert [np.frombuffer(x, e.dtype).tolist() for x in e.batch(texts)] == [tokenizer.encode(t).ids for t in texts]
 
 
+def test_pieces_of_earlier_batches_are_not_encoded_again(tokenizer, monkeypatch):
+    texts = ["A word, (another) word.\nThe é2's end x12-y\nz", "don't 'tis .'s \n's y " + "long" * 20, "word another, The"]
+    want = [tokenizer.encode(t).ids for t in texts]
+    e = Encoder()
+    assert [np.frombuffer(x, e.dtype).tolist() for x in e.batch(texts)] == want
+    monkeypatch.setattr(e, "_piece", lambda *_: pytest.fail("encoded again"))
+    monkeypatch.setattr(e, "_word", lambda *_: pytest.fail("encoded again"))
+    plain = [0, 2]  # white space touches a piece of the other
+    assert [np.frombuffer(x, e.dtype).tolist() for x in e.batch([texts[i] for i in plain])] == [want[i] for i in plain]
+
+
+@pytest.mark.parametrize(("pieces", "bits", "probes"), [(20, 22, 8), (10**6, 3, 1), (50, 4, 3)])
+def test_kept_pieces_that_are_full_or_dropped_change_nothing(tokenizer, monkeypatch, pieces, bits, probes):
+    for name, value in (("PIECES", pieces), ("TABLE_BITS", bits), ("PROBES", probes)):
+        monkeypatch.setattr(wavelet, name, value)
+    rng = random.Random(4)
+    parts = ["the", " ", " ", " ", "\n", "\n\n", "é", "don't", "'s", "'", "12", "...", ",", "A", "_", "²", "x" * 70, "y" * 64, "<|endoftext|>"]
+    e = Encoder()
+    for _ in range(20):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(20)]
+        assert [np.frombuffer(x, e.dtype).tolist() for x in e.batch(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_words_whose_polynomial_hashes_collide(tokenizer):
     """Thue-Morse words: equal under any polynomial modulo 2**64, and with the same letters."""
     one = "".join("ab"[i.bit_count() % 2] for i in range(2048))
