@@ -236,7 +236,8 @@ def pair_counts(chunks: DataFrame) -> DataFrame:
 
     Each task adds up its chunks' pairs, so that a pair is one row a task. These
     rows are range-partitioned and sorted, and runs of equal pairs are summed; only
-    a pair's own rows, one a task, meet in one task.
+    a pair's own rows, one a task, meet in one task. Ranges are as many as the tasks
+    that read the chunks, a fixed number: Spark would put small ones back together.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +276,8 @@ def pair_counts(chunks: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(last_pair), pa.array(last_docs)], ["pair", "docs"])
 
     partial = chunks.select("vocab", "holders").mapInArrow(count, "pair long, docs long")
-    return partial.repartitionByRange("pair").sortWithinPartitions("pair").mapInArrow(runs, "pair long, docs long")
+    ranges = max(1, chunks.rdd.getNumPartitions())
+    return partial.repartitionByRange(ranges, "pair").sortWithinPartitions("pair").mapInArrow(runs, "pair long, docs long")
 
 
 class CountShards:
