@@ -1,11 +1,13 @@
 import datetime as dt
 import math
 
+import duckdb
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import calibration, charts, matching, outlays, spending, subawards, transactions, validate
+from ledgerlens.plans import enrichment
 from ledgerlens.schemas import NOTICES, ensure_columns
 
 D = dt.date
@@ -234,6 +236,20 @@ def test_names_are_listed_as_first_seen(spark):
     assert down["b"] == (2, 6.0, "possible_freeze, untracked", "r1; r2") and down[None] == (1, 8.0, "untracked", "r2")
 
 
+def test_names_without_ids_are_listed_as_by_sql(spark):
+    """A row without an id doesn't tell when its name is first seen, so names that have no other come last, these by date."""
+    rows = [("P", "late", 9, "s9"), ("P", "late", 1, None), ("P", "b", 2, None), ("P", "z", 1, None), ("P", "early", 5, "s5"), ("P", "undated", None, "s0")]
+    schema = "prime_award_id string, subawardee_name string, day int, subaward_id string"
+    j = spark.createDataFrame(rows, schema).withColumns({"subaward_date": F.make_date(F.lit(2025), F.lit(1), "day"), "subaward_amount": F.lit(1.0), "prime_recipient": F.lit("r"), "discrepancy_type": F.lit("possible_freeze")})
+    assert subawards.frozen(j).first().subawardees == "early; late; undated; z; b"
+    con = duckdb.connect()
+    con.execute("CREATE TABLE sf (prime_award_id VARCHAR, subawardee_name VARCHAR, subaward_date DATE, subaward_id VARCHAR)")
+    con.executemany("INSERT INTO sf VALUES (?, ?, make_date(2025, 1, ?), ?)", rows)
+    listed = con.execute(enrichment.names("subawardee_name", "; ", "listed", "prime_award_id", "true")[1:-1]).fetchone()[1].split("; ")
+    # z and b, which have no id at all, are a tie to the SQL
+    assert listed[:3] == ["early", "late", "undated"] and set(listed[3:]) == {"b", "z"}
+
+
 def test_award_and_notice_flags(spark):
     a = awards(spark, ("1", "o", 500.0, 1000.0, START, PAST, None), ("2", "o", 1000.0, -100.0, LATER, START, None), ("3", "o", 0.0, None, None, None, None))
     got = {r.grant_number: r for r in validate.flag_awards(a, F.lit(NOW).cast("date")).collect()}
