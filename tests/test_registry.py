@@ -42,6 +42,21 @@ def test_query(spark, oracle, name):
         assert got[1]
 
 
+@pytest.mark.parametrize("name", ["a6_j9_frozen_subawards", "a6_terminated_subawards"])
+def test_subawards_without_ids(spark, tmp_path, name):
+    """One line of each order has no number, so that its sub-award has no id; the SQL has no ties there."""
+    con = duckdb.connect()
+    for file in os.listdir(SF):
+        if file != "lineitem.parquet":
+            os.symlink(f"{SF}/{file}", tmp_path / file)
+    con.execute(f"COPY (SELECT * EXCLUDE (n) REPLACE (CASE WHEN n > 1 THEN l_linenumber END AS l_linenumber) FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_suppkey) AS n FROM '{SF}/lineitem.parquet')) TO '{tmp_path}/lineitem.parquet'")
+    for file in os.listdir(tmp_path):
+        con.execute(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{tmp_path}/{file}')")
+    df = registry.QUERIES[name](spark, str(tmp_path))
+    found = con.execute(registry.SQL[name])
+    assert same(df.columns, df.collect()) == same([c[0] for c in found.description], found.fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
